@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, pii, sharding
-from factloom.llm.common import table
+from factloom.llm import bpe, neardup, pii, quality, sharding
+from factloom.llm.common import id_crc, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,5 +31,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_sharding, op3_pii_spans, op6_byte_bpe)}
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_scores(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_hilbert_sharding, op3_pii_spans, op6_byte_bpe, op7_quality_gam, op9_minhash_neardup)
+}
 ORACLE_SQL: dict[str, str] = {}
