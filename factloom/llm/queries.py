@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, neardup, pii, quality, sharding
+from factloom.llm import annsearch, bpe, decontam, htmlmain, lm, neardup, pii, quality, sharding
 from factloom.llm.common import id_crc, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -38,12 +38,29 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return annsearch.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hilbert_sharding, op3_pii_spans, op6_byte_bpe, op7_quality_gam, op9_minhash_neardup)
+    for f in (op1_hilbert_sharding, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text)
 }
 ORACLE_SQL: dict[str, str] = {}
