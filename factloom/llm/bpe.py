@@ -155,16 +155,16 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def encode_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip: the ids' and the decoded bytes' digests without the ids' leaving the worker."""
+def encode_digests(documents: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip: the ids' and the decoded bytes' digests; the ids themselves leave the worker only ``with_ids``. The rules are those of ``encode_documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         digits = list(map(str, range(len(c.v.token))))
-        for b in batches:
-            out: list[list] = [[], [], [], []]
+        for b in (big.slice(at, 1024) for big in batches for at in range(0, big.num_rows, 1024)):
+            out: list[list] = [[], [], [], [], []]
             for t in b.column("text").to_pylist():
                 ids = c.encode(t or "")
                 decoded = c.decode(ids)
@@ -172,7 +172,12 @@ def encode_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 out[1].append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 out[2].append(hashlib.sha256(decoded).hexdigest())
                 out[3].append(decoded == (t or "").encode("utf-8", "surrogatepass"))
+                if with_ids:
+                    out[4].append(pa.array(ids, pa.int32()))
             columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())]
+            if with_ids:
+                columns.append(pa.array(out[4], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids
+    return documents.select("doc_id", "text").mapInArrow(run, schema)

@@ -120,6 +120,11 @@ def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]
     yield held
 
 
+def _sent(documents: DataFrame, items: list[tuple[int, str]]):
+    """A block of items on every executor: at most ``BLOCK`` signs and one item."""
+    return documents.sparkSession.sparkContext.broadcast(items)
+
+
 def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block: int = BLOCK) -> DataFrame:
     """One row for each document row and item that occurs in its whole text: doc_id, item_id, distance, budget, start, end.
 
@@ -127,13 +132,12 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = P
     Null and empty texts hold nothing and null or empty items occur nowhere; an item shorter than ``per_error`` must occur
     exactly; repeated rows and items each give their rows; empty tables give none. Extra columns are not read.
     """
-    spark = documents.sparkSession
     kinds = [documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     names = ["doc_id", "item_id", "distance", "budget", "start", "end"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, budget int, start int, end int"
 
     def held_against(items: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)  # at most ``block`` signs and one item
+        sent = _sent(documents, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, per_error)
@@ -151,3 +155,19 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = P
 
     schema_item = to_arrow_type(benchmark.schema["item_id"].dataType)
     return reduce(DataFrame.unionAll, [held_against(items) for items in _blocks(benchmark, block)])
+
+
+def without_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block: int = BLOCK) -> DataFrame:
+    """The documents, all columns, in whose whole text no item occurs within its budget; the rules are those of ``find_passages``. One pass for each block of items, without a shuffle."""
+
+    def held_against(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        sent = _sent(df, items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, per_error)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    return reduce(held_against, _blocks(benchmark, block), documents)
