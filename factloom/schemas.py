@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "BOOLEAN": T.BooleanType(), "ARRAY<STRING>": T.ArrayType(T.StringType()), "MAP<STRING,STRING>": T.MapType(T.StringType(), T.StringType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Name and type of each column; needs no session."""
+    return T.StructType([T.StructField(*(lambda name, kind: (name, _TYPES[kind]))(*part.split(" "))) for part in text.split(", ")])
 
 
 _AT = "line INT, col INT"
