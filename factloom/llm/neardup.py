@@ -1,15 +1,17 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Each distinct token sequence is one class. A class posts itself under its signature's (coordinate, value) pairs, but only
-under the rarest so many that two classes agreeing on ``AGREE`` coordinates must meet in one list (prefix filter over one
+under the rarest so many that two classes agreeing on enough coordinates (``agreement``) must meet in one list (prefix filter over one
 global order, rarest first). In a list nobody is paired with everybody: each member is paired with the list's hub, the
-class whose values are the most common; only members that are then still in different components meet each other. Pairs
-that agree on enough coordinates are confirmed on their full shingle sets.
+class whose values are the most common. Only lists whose members are then still in different components stay open. Members
+of a short open list meet each other; those of long ones are dealt, by hub, into blocks of bounded size, each pair of blocks
+is compared at once on full sets, and only links that join components come out. All pairs are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
 
-COORDINATES, AGREE = 24, 12  # at a similarity of 0.85 fewer than 12 of 24 agree once in some 100,000 pairs
+COORDINATES = 32
+MISS = 1e-4  # share of pairs just at the wanted similarity that may agree on too few coordinates
+SHORT = 64  # members of a list that are paired one by one
+LOAD = 300_000  # shingles in a block of a long list's members
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -58,6 +63,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def agreement(share: int) -> int:
+    """On how many coordinates a pair must agree: as many as all but ``MISS`` of the pairs of ``share`` hundredths do."""
+    tail, t, p = 0.0, 0, share / 100
+    while (tail := tail + comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)) <= MISS:
+        t += 1
+    return t
+
+
 def _signed(documents: DataFrame, size: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
@@ -106,7 +119,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     met = met.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * share))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return met.withColumn("agree", agree).where(F.col("agree") >= AGREE)
+    return met.withColumn("agree", agree).where(F.col("agree") >= agreement(share))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -116,6 +129,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(both * 100 >= (F.size("s_a") + F.size("s_b") - both) * share).select("a", "b")
 
 
+def _joins(share: int):
+    """Of two blocks of one hub (or one twice): a link for each pair of components that they join, one of the similar pairs."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        block, reps, comps = (table.column(c).to_numpy() for c in ("block", "rep", "comp"))
+        rows = table.column("s").combine_chunks()
+        ends, values = rows.offsets.to_numpy(), rows.values.to_numpy()
+        sizes = np.diff(ends)
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        out: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            _, token, df = np.unique(values[ends[0] : ends[-1]], return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(len(reps)), sizes)
+            shared = df[token] > 1
+            token, owner = token[shared], owner[shared]
+            order = np.argsort(token, kind="stable")
+            token, owner = np.unique(token[order], return_inverse=True)[1], owner[order]
+            both = np.zeros((len(a), len(b)), np.float32)
+            at_a, at_b = np.full(len(reps), -1), np.full(len(reps), -1)
+            at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
+            for first in range(0, int(token[-1]) + 1 if len(token) else 0, 2048):
+                x, y = np.searchsorted(token, (first, first + 2048))
+                one, two = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+                t, o = token[x:y] - first, owner[x:y]
+                one[at_a[o[at_a[o] >= 0]], t[at_a[o] >= 0]] = 1
+                two[at_b[o[at_b[o] >= 0]], t[at_b[o] >= 0]] = 1
+                both += one @ two.T  # counts below 2^24 are exact
+            both = both.astype(np.int64)
+            near = both * 100 >= (sizes[a][:, None] + sizes[b][None, :] - both) * share
+            near &= comps[a][:, None] != comps[b][None, :]
+            i, j = np.nonzero(near)
+            _, pick = np.unique(np.stack([np.minimum(comps[a[i]], comps[b[j]]), np.maximum(comps[a[i]], comps[b[j]])]), axis=1, return_index=True)
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for p in pick:
+                x, y = find(int(comps[a[i[p]]])), find(int(comps[b[j[p]]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(reps[a[i[p]]]), int(reps[b[j[p]]])))
+        return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join components among members (hub, rep, comp, n) of one hub: blocks of ``LOAD`` shingles, each pair of blocks once."""
+    loads = members.groupBy("hub").agg(F.ceil(F.sum("n") / LOAD).cast("int").alias("blocks"))
+    dealt = members.join(loads, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("hub", "rep", "comp", "block", "s", other.alias("other"))
+    pairs = pairs.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "s")
+    return pairs.groupBy("hub", "lo", "hi").applyInArrow(_joins(share), "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: documents are linked where 100 * intersection >= ``share`` * union of their sets of ``size``-word shingles.
 
@@ -132,8 +205,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     posts = classes.select("rep", F.posexplode("sig").alias("i", "v"))
     lengths = posts.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
     listed = posts.join(lengths, ["i", "v"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "i", "v"))).alias("at"))
-    listed = listed.where(F.size("at") >= AGREE)
-    prefix = F.slice("at", 1, F.size("at") - AGREE + 1)
+    listed = listed.where(F.size("at") >= agreement(share))
+    prefix = F.slice("at", 1, F.size("at") - agreement(share) + 1)
     weight = F.aggregate("at", F.lit(0).cast("bigint"), lambda acc, x: acc + x["c"])
     lists = cut(listed.select("rep", weight.alias("w"), F.explode(prefix).alias("p")).select("rep", "w", "p.i", "p.v"))
 
@@ -148,12 +221,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     comp = components(first)
 
     member = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("i", "v", "rep", F.coalesce("comp", "rep").alias("comp"))
-    split = member.groupBy("i", "v").agg((F.min("comp") != F.max("comp")).alias("split")).where("split").select("i", "v")
-    open_ = member.join(split, ["i", "v"])
-    other = open_.select("i", "v", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-    rest = open_.withColumnRenamed("rep", "a").join(other, ["i", "v"]).where("comp < comp_b").select("a", "b").distinct()
+    split = member.groupBy("i", "v").agg((F.min("comp") != F.max("comp")).alias("split"), F.count("*").alias("c")).where("split")
+    open_ = cut(member.join(split.select("i", "v", "c"), ["i", "v"]))
+    short = open_.where(F.col("c") <= SHORT).select("i", "v", "rep", "comp")
+    other = short.select("i", "v", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
+    rest = short.withColumnRenamed("rep", "a").join(other, ["i", "v"]).where("comp < comp_b").select("a", "b").distinct()
     more = _confirmed(_agreeing(rest, classes, share), sets, share)
-    final = components(first.unionAll(more))
+    long = open_.where(F.col("c") > SHORT).join(hubs.withColumnRenamed("b", "hub"), ["i", "v"]).select("hub", "rep", "comp").distinct()
+    joined = _long_lists(long.join(classes.select("rep", "n"), "rep"), sets, share)
+    final = components(first.unionAll(more).unionAll(joined))
 
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(by_class, "digest", "left")
