@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, id_crc
+from factloom.llm.common import id_crc
 
 BLOCK = 8_000_000  # bytes of text in a block, about
 K = 8.0  # weight of the single-token estimate in a context
@@ -93,6 +93,27 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers as their first, the width of the differences and these, no byte wider than the widest needs."""
+    if not len(x):
+        return b""
+    steps = np.diff(x)
+    width = max((int(steps.max()).bit_length() + 7) // 8, 1) if len(steps) else 1
+    return x[:1].tobytes() + bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.uint64)
+    width = b[8]
+    steps = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[1:, :width] = steps
+    out = out.reshape(-1).view(np.uint64)
+    out[0] = np.frombuffer(b, np.uint64, 1)[0]
+    return np.cumsum(out, dtype=np.uint64)
+
+
 def _ask(buckets: int):
     """Of one block: for each bucket the block's hashes in it and their counts."""
 
@@ -102,9 +123,10 @@ def _ask(buckets: int):
         parts = []
         for h, c in zip((block.tokens, block.bigrams), counts, strict=True):
             ends = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            parts.append([(h[a:b].tobytes(), _pack(c[a:b])) for a, b in zip(ends, ends[1:], strict=False)])
-        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
+            parts.append([(_pack_sorted(h[a:b]), _pack(c[a:b])) for a, b in zip(ends, ends[1:], strict=False)])
+        # a bucket is asked even for nothing: its answer says how many tokens it has
+        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*parts, strict=True))]
+        columns = list(zip(*rows, strict=True))
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["block", "bucket", "tokens", "token_counts", "bigrams", "bigram_counts"])
 
@@ -112,10 +134,10 @@ def _ask(buckets: int):
 
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one bucket: to each block the whole corpus' counts of what it asked for; with the first answer how many tokens the bucket has, distinct and all."""
+    """Of one bucket: to each block the whole corpus' counts of what it asked for, and how many tokens the bucket has, distinct and all."""
     blocks, out, facts = table.column("block").to_pylist(), [], (0, 0)
     for name, counted in (("tokens", "token_counts"), ("bigrams", "bigram_counts")):
-        h = [np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()]
+        h = [_unpack_sorted(x) for x in table.column(name).to_pylist()]
         c = np.concatenate([_unpack(x, np.int64) for x in table.column(counted).to_pylist()])
         keys, at = np.unique(np.concatenate(h), return_inverse=True)
         total = np.bincount(at, c, len(keys)).astype(np.int64)
@@ -123,7 +145,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             facts = (int((total > 0).sum()), int(total.sum()))
         whole, ends = total[at], np.cumsum([len(x) for x in h])
         out.append([_pack(x) for x in np.split(whole, ends[:-1])])
-    v, n = ([x] + [0] * (len(blocks) - 1) for x in facts)
+    v, n = ([x] * len(blocks) for x in facts)
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     columns = [blocks, [key[0].as_py()] * len(blocks), *out, v, n]
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["block", "bucket", "c", "cc", "v", "n"])
@@ -138,21 +160,21 @@ def score_documents(documents: DataFrame, held_out: int = 10, k: float = K, bloc
     kind = documents.schema["doc_id"].dataType.simpleString()
     size = documents.agg(F.sum(F.octet_length("text").cast("bigint") + 16)).first()[0] or 0
     blocks = -(-size // block) or 1
+    buckets = -(-blocks // 2)
     rest = id_crc(F.col("doc_id")) % held_out
     dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", (rest != 0).alias("learns"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(blocks), "block int, bucket int, tokens binary, token_counts binary, bigrams binary, bigram_counts binary")
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, c binary, cc binary, v bigint, n bigint"))
-    facts = answers.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
-    v, n = facts["v"] or 0, facts["n"] or 0
+    asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block int, bucket int, tokens binary, token_counts binary, bigrams binary, bigram_counts binary")
+    # the texts are dealt once: both the asking and the walking read the same exchange
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, c binary, cc binary, v bigint, n bigint")
 
     def walk(texts: pa.Table, given: pa.Table) -> pa.Table:
         given = given.sort_by("bucket")
         counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack(x, np.int64) for x in given.column(name).to_pylist())]) for name in ("c", "cc")]
+        v, n = (sum(given.column(x).to_pylist()) for x in ("v", "n"))
         found = Block(texts.column("text").to_pylist()).walk(*counts, n, v, k)
         held = pa.array(~texts.column("learns").to_numpy(zero_copy_only=False))
         columns = [texts.column("doc_id"), held, *(pa.array(found[x], pa.int64()) for x in ("n_tokens", "n_known")), pa.array(np.full(len(held), n), pa.int64()), *(pa.array(found[x], pa.float64()) for x in ("base_score", "score"))]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    given = answers.select("block", "bucket", "c", "cc")
-    return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(walk, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, schema)
