@@ -273,13 +273,13 @@ def j6_owners_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.owners_of_hits(R.findings(spark, sf_dir).select("seq", owner.alias("owner_path")), m.where("role IN ('facade', 'entrypoint')"), m)
 
 
-@query(f"WITH {R.DEPENDENCIES}, d AS (SELECT DISTINCT path FROM modules WHERE list_contains(list_transform(export_names, lambda n: lower(n)), 'part')) SELECT from_path, to_path, kind, CASE WHEN kind = 'export' THEN 3 ELSE 4 END AS score, count(*) AS n FROM deps JOIN d ON d.path = to_path WHERE from_path <> to_path GROUP BY ALL")
+@query(f"WITH {R.DEPENDENCIES}, d AS (SELECT DISTINCT path FROM modules WHERE list_contains(list_transform(export_names, lambda n: lower(n)), 'widget')) SELECT from_path, to_path, kind, CASE WHEN kind = 'export' THEN 3 ELSE 4 END AS score, count(*) AS n FROM deps JOIN d ON d.path = to_path WHERE from_path <> to_path GROUP BY ALL")
 def j8_callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
     exports = R.modules(spark, sf_dir).select("path", F.explode("export_names").alias("name"))
-    return J.callsites("Part", exports, _deps(spark, sf_dir)).groupBy("from_path", "to_path", "kind", "score").agg(F.count("*").alias("n"))
+    return J.callsites("Widget", exports, _deps(spark, sf_dir)).groupBy("from_path", "to_path", "kind", "score").agg(F.count("*").alias("n"))
 
 
-_TARGET = "src/m5/f5.ts"
+_TARGET = "src/m5/index.ts"
 
 
 @query(
@@ -662,3 +662,140 @@ def f_version_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = R.table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).alias("a"), (F.col("s_suppkey") % 3).alias("b"), (F.col("s_suppkey") % 2).alias("c")).distinct()
     text = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string"))
     return v.select("a", "b", "c", S.version_status(text("a"), text("b"), F.when(F.col("c") != 0, "^1")).alias("status"))
+
+
+# --- windows, rules, plans, streams of candidates, renderers ----------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS path, s AS start, least(s + 39, o_orderkey % 200 + 1) AS \"end\" FROM orders, unnest(generate_series(1, o_orderkey % 200 + 1, 40)) AS u(s)")
+def g27_range_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.operators import patterns
+
+    k = F.col("o_orderkey")
+    return patterns.range_windows(R.table(spark, sf_dir, "orders").select(k.alias("path"), F.lit(1).cast("bigint").alias("start"), (k % 200 + 1).alias("end")))
+
+
+_METRICS = """m AS (SELECT l_orderkey, count(*) AS nesting, count(*) FILTER (WHERE l_returnflag = 'R') AS loops, count(DISTINCT l_suppkey) + 6 AS branches, max(l_linenumber) - 1 AS chain FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query(
+    f"""WITH {_METRICS} SELECT l_orderkey, array_to_string(list_filter([CASE WHEN nesting >= 5 THEN 'deep-nesting' END, CASE WHEN loops >= 2 AND branches >= 4 THEN 'loops-and-branches' END, CASE WHEN branches >= 12 AND loops = 0 THEN 'many-branches' END, CASE WHEN chain >= 4 THEN 'literal-dispatch' END], lambda x: x IS NOT NULL), ',') AS shapes
+ FROM m WHERE nesting >= 5 OR (loops >= 2 AND branches >= 4) OR (branches >= 12 AND loops = 0) OR chain >= 4"""
+)
+def r_policy_007_flow_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule TS-AGENT-POLICY-007's thresholds over metrics of orders."""
+    from factloom.operators import rules
+
+    m = R.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count("*").alias("max_nesting"), F.count_if(F.col("l_returnflag") == "R").alias("loops"), (F.countDistinct("l_suppkey") + 6).alias("branches"), (F.max("l_linenumber") - 1).alias("max_literal_chain"),
+    )
+    return m.select("l_orderkey", F.array_join(rules.flow_shapes(), ",").alias("shapes")).where("shapes != ''")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS function_name, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 6")
+def r_policy_005_many_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule TS-AGENT-POLICY-005 itself: line items stand for parameters, orders for functions."""
+    from factloom.operators import rules
+    from factloom.schemas import conform, relation
+
+    p = R.table(spark, sf_dir, "lineitem").select(F.lit("a.ts").alias("path"), F.col("l_linenumber").cast("int").alias("seq"), F.col("l_orderkey").cast("string").alias("function_name"), F.lit(1).alias("function_line"), F.col("l_linenumber").cast("string").alias("param_name"))
+    c = rules.Catalog(spark, {"modules": relation(spark, "modules", [{"path": "a.ts", "role": "source", "is_valid": True}]), "params": conform(p, "params")})
+    found = rules.evaluate(c, ["TS-AGENT-POLICY-005"])
+    return found.select(F.col("labels")["function"].alias("function_name"), F.regexp_extract("summary", r"takes (\d+)", 1).cast("bigint").alias("n"))
+
+
+@query(f"WITH {R.DEPENDENCIES} SELECT from_path AS path, to_path AS target, count(*) AS n FROM deps WHERE from_role NOT IN ('test', 'config', 'declaration') AND to_role = 'test' GROUP BY ALL")
+def r_mod_001_production_on_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.operators import rules
+
+    c = rules.Catalog(spark, {"owner_dependencies": _deps(spark, sf_dir).withColumns({"line": F.lit(1), "col": F.lit(0)})})
+    return rules.evaluate(c, ["TS-MOD-R001"]).groupBy("path", F.col("labels")["target"].alias("target")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {R.MODULES}, h AS (SELECT c_custkey, {R._path_sql('c_custkey')} AS owner_path, c_custkey % 4 AS k FROM customer), t AS (SELECT h.*, CASE WHEN m.path IS NULL OR k = 0 OR k = 3 THEN ['review'] WHEN k = 1 THEN ['chaos', 'stress'] ELSE ['security'] END AS kinds FROM h LEFT JOIN modules m ON m.path = h.owner_path)
+ SELECT owner_path, kind, count(DISTINCT k) AS n FROM t, unnest(kinds) AS u(kind) GROUP BY owner_path, kind"""
+)
+def v_verification_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints by turns without responsibilities, with two, with one, and with a pure domain that is something else too."""
+    from factloom.operators import verify
+
+    k = F.col("c_custkey") % 4
+    resp = F.when(k == 1, F.array(F.lit("public_api"), F.lit("persistence"))).when(k == 2, F.array(F.lit("security_boundary"))).when(k == 3, F.array(F.lit("pure_domain"), F.lit("public_api"))).otherwise(F.array().cast("array<string>"))
+    hints = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), R.module_path(F.col("c_custkey")).alias("owner_path"), resp.alias("responsibilities"), F.lit(None).cast("array<string>").alias("task_kinds"), F.lit(None).cast("string").alias("rationale"))
+    return verify.plan(hints, R.modules(spark, sf_dir)).groupBy("owner_path", "kind").agg(F.countDistinct("fingerprint").alias("n"))
+
+
+@query("SELECT event_id AS seq, 'src/e' || (user_id % 50) || '.ts' AS path, CAST(event_id % 90 + 1 AS INTEGER) AS line, CASE WHEN event_id % 2 = 0 THEN CAST(user_id % 9 AS INTEGER) END AS col, event_type AS snippet FROM events WHERE event_id % 5 <> 0")
+def s12_grep_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11, S12: grep lines, a fifth of them malformed."""
+    from factloom.sources import candidates
+
+    e, k = R.table(spark, sf_dir, "events"), F.col("event_id")
+    at = F.concat(F.lit("./src/e"), (F.col("user_id") % 50).cast("string"), F.lit(".ts:"), (k % 90 + 1).cast("string"), F.when(k % 2 == 0, F.concat(F.lit(":"), (F.col("user_id") % 9).cast("string"))).otherwise(""), F.lit(":"), "event_type")
+    return candidates.parse(e.select(k.alias("seq"), F.when(k % 5 == 0, F.lit("no record")).otherwise(at).alias("line")), "vimgrep").select("seq", "path", "line", "col", "snippet")
+
+
+@query("SELECT event_id AS seq, 'src/' || event_type || '.ts' AS path, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS line, CAST(event_id % 7 + 1 AS INTEGER) AS col FROM events WHERE event_id % 3 <> 0")
+def s12_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12: JSON matches; other types and broken lines go."""
+    from factloom.sources import candidates
+
+    e, k = R.table(spark, sf_dir, "events"), F.col("event_id")
+    record = F.to_json(F.struct(F.lit("match").alias("type"), F.struct(F.struct(F.concat(F.lit("src/"), "event_type", F.lit(".ts")).alias("text")).alias("path"), F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("line_number"), F.array(F.struct((k % 7).alias("start"))).alias("submatches")).alias("data")))
+    line = F.when(k % 3 != 0, record).when(k % 2 == 0, F.lit('{"type":"end"}')).otherwise(F.lit('{"type":"mat'))
+    return candidates.parse(e.select(k.alias("seq"), line.alias("line")), "rg-json").select("seq", "path", "line", "col")
+
+
+@query("SELECT 'nation n_nationkey=' || n_nationkey || ' n_name=' || CASE WHEN contains(n_name, ' ') THEN '\"' || n_name || '\"' ELSE n_name END || ' n_regionkey=' || n_regionkey AS line FROM nation")
+def k2_compact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.sources import sinks
+
+    return sinks.compact_lines(R.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
+def k8_session_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.sources import sinks
+
+    c = R.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("at")).distinct().withColumn("argv", F.array(F.lit("run")))
+    return sinks.log_records(c).select(F.col("session").alias("conv_id"), F.col("at").alias("turn"), "ordinal")
+
+
+_ITEMS = "i AS (SELECT p_partkey, 'item' || p_partkey AS name, CAST(p_partkey % 500 AS INTEGER) AS line, p_partkey % 3 = 0 AS is_private, CASE p_partkey % 4 WHEN 0 THEN 'interface' WHEN 1 THEN 'variable' ELSE 'function' END AS kind FROM part)"
+
+
+@query(f"WITH {_ITEMS} SELECT name, line FROM i ORDER BY line + CASE WHEN is_private THEN 10000 ELSE 0 END - CASE WHEN kind = 'interface' THEN 50 ELSE 0 END + CASE WHEN kind = 'variable' THEN 250 ELSE 0 END, name LIMIT 4")
+def w14_item_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    items = R.table(spark, sf_dir, "part").select(F.concat(F.lit("item"), k.cast("string")).alias("name"), (k % 500).cast("int").alias("line"), (k % 3 == 0).alias("is_private"), F.when(k % 4 == 0, "interface").when(k % 4 == 1, "variable").otherwise("function").alias("kind"))
+    return W.items_for(items, ["nothing"]).select("name", "line")
+
+
+@query("WITH h AS (SELECT 'a' || (l_partkey % 20) AS path, CASE WHEN l_returnflag = 'R' THEN 'direct' ELSE 'possible' END AS match FROM lineitem) SELECT path, count(*) FILTER (WHERE match = 'direct') AS n_confirmed, count(*) FILTER (WHERE match = 'possible') AS n_possible FROM h GROUP BY path")
+def a16_surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), (F.col("l_partkey") % 20).cast("string")).alias("path"), F.when(F.col("l_returnflag") == "R", "direct").otherwise("possible").alias("match"))
+    return A.surface_counts(h)
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(p_type || 'AndMore', '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: length(t) > 2), ' ') AS tokens FROM part")
+def f_camel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.camel_tokens(F.concat("p_type", F.lit("AndMore"))), " ").alias("tokens"))
+
+
+@query("SELECT string_split(url, '/')[3] AS host, count(*) AS n, sum(len(regexp_extract_all(html, '<p>'))) AS paragraphs FROM pages GROUP BY 1")
+def f_occurrences_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "pages")
+    return p.groupBy(F.split("url", "/")[2].alias("host")).agg(F.count("*").alias("n"), F.sum(S.occurrences(F.col("html"), F.lit("<p>"))).alias("paragraphs"))
+
+
+def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document whose snapshot, updated incrementally, differs from one made anew; none is right."""
+    from factloom.streaming import incremental
+
+    f = R.files(spark, sf_dir).select("path", F.col("text").alias("content"), F.lit(0).cast("bigint").alias("mtime_ms"))
+    after, _ = incremental.update(f, incremental.snapshot_of(f.where(F.col("path").contains("/tests/"))))
+    return after.exceptAll(incremental.snapshot_of(f))
+
+
+QUERIES["u_incremental_equals_full"] = incremental_equals_full
