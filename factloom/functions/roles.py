@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import scalar as S
 
-_CONFIG = r"^(tsconfig|jsconfig)(\.[^.]+)?\.json$|\.config\.[cm]?tsx?$|^[a-z]+rc\.[cm]?ts$"
-_TEST = r"\.(test|spec)\.[cm]?tsx?$"
+# fixed values
+CONFIG_STEMS = ("eslint.config", "jest.config", "next.config", "playwright.config", "postcss.config", "rollup.config", "tailwind.config", "tsup.config", "vite.config", "vitest.config", "webpack.config")
+MODULE_EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
+
+
+def _named(stems: tuple[str, ...], prefix: str = "^") -> str:
+    """Names of these stems with any module extension."""
+    join = lambda x: "|".join(re.escape(s) for s in x)
+    return f"{prefix}({join(stems)})({join(MODULE_EXTENSIONS)})$"
+
+
+_CONFIG, _TEST, _MAIN, _INDEX = _named(CONFIG_STEMS), _named((".test", ".spec"), ""), _named(("main",)), _named(("index",))
 
 
 def inside_any(path: Column, roots: list[str]) -> Column:
@@ -22,10 +34,10 @@ def inside_any(path: Column, roots: list[str]) -> Column:
 def module_role(path: Column, is_declaration: Column, source_roots: list[str], test_roots: list[str], entry_paths: list[str] | None = None) -> Column:
     """declaration, test, config, entrypoint, facade, source or unknown: the first that fits."""
     name, parent = S.basename(path), S.basename(S.dirname(path))
-    facade = S.stem(name) == "index"
+    facade = name.rlike(_INDEX)
     return (
         F.when(is_declaration, "declaration").when(inside_any(path, test_roots) | name.rlike(_TEST), "test").when(name.rlike(_CONFIG), "config")
-        .when(name.rlike(r"^main\.[cm]?tsx?$") | (parent == "bin") | path.isin(*(entry_paths or [""])), "entrypoint").when(facade, "facade").when(inside_any(path, source_roots), "source").otherwise("unknown")
+        .when(name.rlike(_MAIN) | (parent == "bin") | path.isin(*(entry_paths or [""])), "entrypoint").when(facade, "facade").when(inside_any(path, source_roots), "source").otherwise("unknown")
     )
 
 
@@ -64,12 +76,12 @@ def import_resolution(specifier: Column, target: Column, aliases: list[str], roo
 
 
 def workspace_surface(path: Column) -> Column:
-    low = F.lower(path)
-    return F.when(low.rlike(r"(^|/)(tests?|__tests__|fixtures?|e2e)(/|$)"), "test").when(low.rlike(r"(^|/)(demos?|examples?|playgrounds?|samples?)(/|$)"), "demo").when(low.rlike(r"(^|/)(docs?|website|site)(/|$)"), "docs").otherwise("source")
+    below = lambda d: (path == d) | path.startswith(f"{d}/")
+    return F.when(S.is_test_path(path) | F.contains(path, F.lit("/fixtures/")), "test").when(below("docs"), "docs").when(below("playground"), "demo").otherwise("source")
 
 
 def workspace_score(path: Column, pattern: Column, imported: Column) -> Column:
-    """Lower is better: the surface's score, 10 for a pattern with stars, 5 less if the project imports it."""
+    """Lower is better: the surface's score, 10 for a pattern of tests or all below, 5 less if the project imports it."""
     surface = workspace_surface(path)
     base = F.when(surface == "source", 0).when(surface == "docs", 10).when(surface == "demo", 20).otherwise(40)
-    return base + F.when(F.contains(pattern, F.lit("*")), 10).otherwise(0) - F.when(imported, 5).otherwise(0)
+    return base + F.when((F.contains(pattern, F.lit("__tests__")) | F.contains(pattern, F.lit("**"))), 10).otherwise(0) - F.when(imported, 5).otherwise(0)

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 # fixed values
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".mts", ".cts")
 STRUCTURAL = "._/\"'()[]:"
-ASSET_EXTENSIONS = (".avif", ".bmp", ".css", ".gif", ".ico", ".jpeg", ".jpg", ".json", ".less", ".md", ".mdx", ".png", ".sass", ".scss", ".svg", ".txt", ".wasm", ".webp", ".woff2")
-SECRET_FLAGS = ("--api-key", "--password", "--secret", "--token", "--auth-token")
+ASSET_EXTENSIONS = (".css", ".scss", ".less", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".json", ".yaml", ".yml", ".html", ".md", ".txt")
+SECRET_FLAGS = ("--api-key", "--apikey", "--password", "--secret", "--token")
+BUILT_IN_TYPES = ("Array", "AsyncIterable", "BigInt", "Boolean", "Date", "Error", "Map", "NonNullable", "Omit", "Partial", "Pick", "Promise", "Readonly", "ReadonlyArray", "Record", "Required", "Set", "String", "Symbol", "Uint8Array")
+SEMANTIC_NAMES = ("path", "url", "uri", "key", "token")
+SEMANTIC_SUFFIXES = ("path", "url", "uri", "key", "token", "ms", "secs", "seconds", "bytes")
+SEMANTIC_ALIASES = ("Id", "ID", "Path", "Url", "URL", "Uri", "URI", "Key", "Token", "Ms", "Secs", "Seconds", "Bytes")
+STATE_NAMES = ("kind", "type", "status", "state", "mode", "phase", "tag", "category")
 SURFACE_SCORES = {"source": 0, "docs": 10, "demo": 20, "test": 40}
 
 
@@ -70,7 +75,7 @@ def is_test_path(path: Column) -> Column:
 
 def is_test_path_for_prefilter(path: Column) -> Column:
     """As the prefilter sees it: also directories at the root."""
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__)/|\.test\.|\.spec\.")
+    return path.rlike(r"^tests?$|(^|/)tests?/|\.(test|spec)\.tsx?$")
 
 
 # search text
@@ -130,9 +135,10 @@ def camel_tokens(name: Column) -> Column:
 
 
 def line_class(line: Column, term: str) -> Column:
-    """0: declares the term, 1: calls it, 2: an export, 3: other."""
+    """0: the line declares the term, 1: calls it, 2: holds an export, 3: other."""
     t = re.escape(term)
-    return F.when(line.rlike(rf"(?i)\b(function|class|interface|type|enum|const|let|var)\s+{t}\b"), 0).when(line.rlike(rf"(?i)\b{t}\s*\("), 1).when(F.contains(line, F.lit("export")), 2).otherwise(3)
+    declares = rf"(?i)^\s*(export\s+)?(async\s+)?(function|class|interface|type|enum|const|let|var)\s+{t}\b"
+    return F.when(line.rlike(declares), 0).when(line.rlike(rf"(?i)\b{t}\s*\("), 1).when(line.rlike(r"(?i)\bexport\b"), 2).otherwise(3)
 
 
 def filename_score(name: Column, term: str, primary: str) -> Column:
@@ -155,32 +161,41 @@ def text_score(name: Column, text: Column, term: str) -> Column:
 
 
 # names and types
-_SEMANTIC = r"(^|[a-z0-9])(Id|Path|Url|Key|Token|Ms|Secs|Seconds|Bytes)$|^(id|path|url|key|token|ms|secs|seconds|bytes)$|_(id|path|url|key|token|ms|secs|seconds|bytes)$"
-_FLAG = r"^(is|has|can|allow|include|should|enable|disable)([A-Z_]|$)"
-_STATE = r"(?i)(^|_)(state|status|phase|stage|mode|kind)$|(State|Status|Phase|Stage|Mode|Kind)$"
+def _ends(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """name_suffix or nameSuffix."""
+    return name.rlike("_(" + "|".join(suffixes) + ")$|(" + "|".join(x.capitalize() for x in suffixes) + ")$")
 
 
 def is_semantic_name(name: Column) -> Column:
-    return name.rlike(_SEMANTIC)
+    """Fields that name ids, places, keys or units."""
+    return name.rlike("^id$|_id$|Id$") | name.isin(*SEMANTIC_NAMES) | _ends(name, SEMANTIC_SUFFIXES)
+
+
+def is_semantic_alias(name: Column) -> Column:
+    return name.rlike("(" + "|".join(SEMANTIC_ALIASES) + ")$")
 
 
 def is_flag_name(name: Column) -> Column:
-    return name.rlike(_FLAG)
+    return name.isin("enabled", "disabled") | name.rlike("^(is|has|can|allow|include|should)_|^(is|has|can|allow|include|should|enable|disable)[A-Z]")
+
+
+def is_flag_alias(name: Column) -> Column:
+    return name.rlike("(Flag|Enabled|Disabled|Allowed|Included)$")
 
 
 def is_state_name(name: Column) -> Column:
-    return name.rlike(_STATE)
+    return name.isin(*STATE_NAMES) | _ends(name, STATE_NAMES)
 
 
 def primitive_type(type_text: Column) -> Column:
     """The primitive label of a type: its own name, or, of a union of primitives only, their sorted distinct names joined by |; else null."""
-    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(type_text, r"\|"), F.trim), lambda p: p != "")))
+    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(type_text, r"\|"), lambda p: F.trim(p)), lambda p: p != "")))
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda p: p.isin("string", "number", "boolean", "bigint", "symbol")), F.array_join(parts, " | "))
 
 
 def flag_type(type_text: Column) -> Column:
     """boolean for a boolean and for unions of true, false and boolean; null and undefined beside them don't count."""
-    parts = F.filter(F.transform(F.split(type_text, r"\|"), F.trim), lambda p: ~p.isin("", "undefined", "null"))
+    parts = F.filter(F.transform(F.split(type_text, r"\|"), lambda p: F.trim(p)), lambda p: ~p.isin("", "undefined", "null"))
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda p: p.isin("boolean", "true", "false")), F.lit("boolean"))
 
 
@@ -194,15 +209,14 @@ def collection_kind(type_text: Column) -> Column:
 
 def error_channel(error_text: Column) -> Column:
     """none, weak or domain; of a union weak if a member is weak, none only if all are."""
-    parts = F.transform(F.split(error_text, r"\|"), F.trim)
+    parts = F.transform(F.split(error_text, r"\|"), lambda p: F.trim(p))
     weak = F.exists(parts, lambda p: p.isin("any", "unknown", "Error", "string", "object", "{}"))
     return F.when(F.forall(parts, lambda p: p == "never"), "none").when(weak, "weak").otherwise("domain")
 
 
 def has_custom_type(type_text: Column) -> Column:
     """Whether a capitalised name outside the built-in ones is mentioned."""
-    built_in = ("Array", "Date", "Error", "Map", "Partial", "Pick", "Omit", "Promise", "Readonly", "ReadonlyArray", "ReadonlyMap", "ReadonlySet", "Record", "RegExp", "Required", "Set", "URL", "Uint8Array")
-    return F.exists(F.regexp_extract_all(type_text, F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1)), lambda n: ~n.isin(*built_in))
+    return F.exists(F.regexp_extract_all(type_text, F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1)), lambda n: ~n.isin(*BUILT_IN_TYPES))
 
 
 def mentions_import_type(type_text: Column, specifier: str) -> Column:
@@ -249,7 +263,7 @@ def redact_argv(argv: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         after_flag = (i > 0) & F.coalesce(F.try_element_at(argv, i), F.lit("")).isin(*SECRET_FLAGS)
-        return F.when(after_flag, F.lit("[redacted]")).otherwise(F.regexp_replace(x, rf"^({flags})=.*$", "$1=[redacted]"))
+        return F.when(after_flag, F.lit("[REDACTED]")).otherwise(F.regexp_replace(x, rf"^({flags})=.*$", "$1=[REDACTED]"))
 
     return F.transform(argv, one)
 

@@ -19,6 +19,10 @@ from factloom.operators import aggregates as A
 from factloom.schemas import SCHEMAS, empty
 
 
+# fixed values
+TEST_UTILITIES = ("TestClock", "TestServices", "TestAnnotations", "TestAnnotation", "TestContext", "TestLive", "TestSized", "TestConfig")
+
+
 class Catalog:
     """Relations by name; those that are missing are empty."""
 
@@ -239,7 +243,7 @@ def _semantic_fields(c: Catalog) -> DataFrame:
 
 @register_rule("TS-AGENT-POLICY-010", "agent-policy", "info", "Semantic aliases aren't plain primitives")
 def _semantic_alias(c: Catalog) -> DataFrame:
-    a = c.of("type_aliases", c.source_modules).where(F.col("primitive_type").isNotNull() & S.is_semantic_name(F.col("alias_name")))
+    a = c.of("type_aliases", c.source_modules).where(F.col("primitive_type").isNotNull() & S.is_semantic_alias(F.col("alias_name")))
     return _rows(a, _text(F.col("alias_name"), " is ", F.col("type_text")), F.col("line"), {"alias": F.col("alias_name")})
 
 
@@ -299,31 +303,31 @@ def _signals(c: Catalog, family: str, modules: DataFrame, extension: str, what:
     return _first_per_module(s if c.has_extension(extension) else s.limit(0), what)
 
 
-@register_rule("TS-EFFECT-R001", "effect", "error", "The extension's package is installed")
+@register_rule("TS-EXT-EFFECT-R001", "effect", "error", "The extension's package is installed")
 def _effect_missing(c: Catalog) -> DataFrame:
     return _needs(c, "effect", ["effect"])
 
 
-@register_rule("TS-EFFECT-R002", "effect", "info", "Public asynchronous surfaces return effects")
+@register_rule("TS-EXT-EFFECT-R002", "effect", "info", "Public asynchronous surfaces return effects")
 def _effect_async(c: Catalog) -> DataFrame:
     s = c.of("async_surfaces", c.effect_modules).where("(is_async OR returns_promise) AND NOT returns_effect")
     s = s.withColumn("owner_name", F.col("name")).withColumn("callee", F.lit(""))
     return _first_per_module(s if c.has_extension("effect") else s.limit(0), "a promise surface")
 
 
-@register_rule("TS-EFFECT-R003", "effect", "info", "Effects run at boundaries")
+@register_rule("TS-EXT-EFFECT-R003", "effect", "info", "Effects run at boundaries")
 def _effect_run(c: Catalog) -> DataFrame:
     s = c.of("signals", c.effect_modules).where("family = 'runtime-call' AND NOT array_contains(kinds, 'query-hook')")
     return _first_per_module(s if c.has_extension("effect") else s.limit(0), "an effect runs outside a boundary")
 
 
-@register_rule("TS-EFFECT-R004", "effect", "info", "Service methods have no requirements")
+@register_rule("TS-EXT-EFFECT-R004", "effect", "info", "Service methods have no requirements")
 def _effect_requirements(c: Catalog) -> DataFrame:
     s = c.of("service_methods", c.source_modules).where("requirements IS NOT NULL AND requirements != 'never'")
     return _rows(s if c.has_extension("effect") else s.limit(0), _text(F.col("container_name"), ".", F.col("method_name"), " requires ", F.col("requirements")), F.col("line"), {"method": F.col("method_name")})
 
 
-@register_rule("TS-EFFECT-R005", "effect", "info", "Error channels are typed")
+@register_rule("TS-EXT-EFFECT-R005", "effect", "info", "Error channels are typed")
 def _effect_errors(c: Catalog) -> DataFrame:
     a = c.of("async_surfaces", c.effect_modules).where("error_kind = 'weak'").select("path", "seq", "line", F.col("name").alias("owner_name"), F.lit("").alias("callee"))
     b = c.of("service_methods", c.effect_modules).where("error_kind = 'weak'").select("path", (F.col("seq") + 1_000_000).alias("seq"), "line", F.col("container_name").alias("owner_name"), F.col("method_name").alias("callee"))
@@ -332,50 +336,50 @@ def _effect_errors(c: Catalog) -> DataFrame:
 
 
 for _id, _family, _what in (
-    ("TS-EFFECT-R006", "promise-interop", "promise interop that can reject"), ("TS-EFFECT-R007", "resource-scope", "a resource without a scope"), ("TS-EFFECT-R008", "concurrency", "unbounded concurrency"),
-    ("TS-EFFECT-R009", "schema-boundary", "JSON that no schema decodes"), ("TS-EFFECT-R010", "production-boundary", "external work without observability or resilience"),
+    ("TS-EXT-EFFECT-R006", "promise-interop", "promise interop that can reject"), ("TS-EXT-EFFECT-R007", "resource-scope", "a resource without a scope"), ("TS-EXT-EFFECT-R008", "concurrency", "unbounded concurrency"),
+    ("TS-EXT-EFFECT-R009", "schema-boundary", "JSON that no schema decodes"), ("TS-EXT-EFFECT-R010", "production-boundary", "external work without observability or resilience"),
 ):
     register_rule(_id, "effect", "info", _what.capitalize())(lambda c, f=_family, w=_what: _signals(c, f, c.effect_modules, "effect", w))
 
 
-@register_rule("TS-EFFECT-R011", "effect", "warning", "Sources export no test utilities")
+@register_rule("TS-EXT-EFFECT-R011", "effect", "warning", "Sources export no test utilities")
 def _test_exports(c: Catalog) -> DataFrame:
-    named = F.filter("export_names", lambda n: n.rlike(r"(?i)(^|[a-z])(test|mock|stub|fake)(s|$|[A-Z_])|^(test|mock|stub|fake)"))
-    m = c.source_modules.where("role = 'source'").withColumn("names", named).where("size(names) > 0").orderBy("path").limit(10)
+    named = F.filter("export_names", lambda n: n.rlike("|".join(TEST_UTILITIES)))
+    m = c.source_modules.where("role = 'source' AND path NOT LIKE '%/test/%' AND path NOT LIKE '%.test.%'").withColumn("names", named).where("size(names) > 0").orderBy("path").limit(10)
     return _rows(m, _text("exports ", S.capped_names(F.col("names"), 5)))
 
 
-@register_rule("TS-EFFECT-R012", "effect", "warning", "Services are layers")
+@register_rule("TS-EXT-EFFECT-R012", "effect", "warning", "Services are layers")
 def _services(c: Catalog) -> DataFrame:
     uses = c.dependencies.where("module_specifier = 'effect' OR module_specifier LIKE 'effect/%'").select(F.col("from_path").alias("path"))
     m = c.source_modules.where(F.exists("export_names", lambda n: n.contains("Service"))).join(uses.distinct(), "path", "left_semi")
     return _rows(m, F.lit("exports a service beside an effect import"))
 
 
-@register_rule("TS-EFFECT-R013", "effect", "warning", "Forks keep their fiber refs")
+@register_rule("TS-EXT-EFFECT-R013", "effect", "warning", "Forks keep their fiber refs")
 def _forks(c: Catalog) -> DataFrame:
     refs = c.dependencies.where("module_specifier LIKE '%FiberRef%'").select(F.col("from_path").alias("path"))
     m = c.source_modules.where(F.exists("export_names", lambda n: F.lower(n).contains("fork"))).join(refs.distinct(), "path", "left_anti")
     return _rows(m, F.lit("exports a fork without fiber refs"))
 
 
-@register_rule("TS-REACT-R001", "react", "error", "The extension's package is installed")
+@register_rule("TS-EXT-REACT-R001", "react", "error", "The extension's package is installed")
 def _react_missing(c: Catalog) -> DataFrame:
     return _needs(c, "react", ["react"])
 
 
-for _id, _severity, _family, _what in (("TS-REACT-R002", "info", "render-purity", "an impure render"), ("TS-REACT-R003", "error", "hook-call", "a hook out of order"), ("TS-REACT-R004", "info", "static-definition", "a definition inside a render")):
+for _id, _severity, _family, _what in (("TS-EXT-REACT-R002", "info", "render-purity", "an impure render"), ("TS-EXT-REACT-R003", "error", "hook-call", "a hook out of order"), ("TS-EXT-REACT-R004", "info", "static-definition", "a definition inside a render")):
     register_rule(_id, "react", _severity, _what.capitalize())(lambda c, f=_family, w=_what: _signals(c, f, c.source_modules, "react", w))
 
 
-@register_rule("TS-SHADCN-R001", "shadcn", "error", "Tailwind is installed")
+@register_rule("TS-EXT-SHADCN-R001", "shadcn", "error", "Tailwind is installed")
 def _shadcn(c: Catalog) -> DataFrame:
     tailwind = c["package_dependencies"].where("name = 'tailwindcss'").select(F.lit(1).alias("one")).limit(1)
     missing = c["extensions"].where("name = 'shadcn'").join(tailwind, how="left_anti")  # a few rows
     return _rows(missing, F.lit("shadcn is enabled without tailwindcss"), path=F.lit("package.json"))
 
 
-for _id, _title in (("TS-SHADCN-R002", "Components are owned"), ("TS-SHADCN-R003", "Variants are declared")):
+for _id, _title in (("TS-EXT-SHADCN-R002", "Components are owned"), ("TS-EXT-SHADCN-R003", "Variants are declared")):
     RULES[_id] = Rule(_id, "shadcn", "info", _title, None)
 
 

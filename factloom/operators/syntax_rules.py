@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scalar as S
 
 # fixed values
-BUCKETS = ("common", "helpers", "lib", "misc", "shared", "utils")
+BUCKETS = ("utils", "common", "helpers", "shared", "misc", "lib", "core", "types")
 
 RULES = {
     "TS-SYN-R001": ("Error", "The module is valid"), "TS-AGENT-PROJECT-003": ("Error", "The index only re-exports"), "AGENT-TS-R001": ("Warning", "A comment opens the module"), "AGENT-TS-R003": ("Warning", "No generic bucket"),

@@ -13,7 +13,7 @@ from factloom.operators.joins import hint_coverage, hints_with_modules, last_win
 
 # fixed values
 KINDS_OF = {
-    "public_api": ["stress"], "latency_sensitive": ["performance"], "external_dependency": ["chaos"], "persistence": ["chaos"], "availability_critical": ["chaos"], "security_boundary": ["security"], "pure_domain": [],
+    "public_api": ["stress"], "latency_sensitive": ["performance"], "external_dependency": ["chaos"], "persistence": ["chaos"], "availability_critical": ["chaos"], "security_boundary": ["security"], "pure_domain_logic": [],
 }
 AUTHORITY = {"parser-fact": 5, "compiler-fact": 4, "test-receipt": 3, "human-note": 2, "llm-prose": 1}
 SYNTAX_KINDS = ("unit", "property", "contract", "integration", "render", "effect", "performance")
@@ -60,7 +60,7 @@ def plan(hints: DataFrame, modules: DataFrame, disabled: list[str] | None = None
     off = F.arrays_overlap(kinds, F.array(*[F.lit(d) for d in disabled or [""]]))
     note = (
         F.when(~F.col("known"), "the owner is unknown").when(size(F.col("responsibilities")) == 0, "no responsibilities").when((size(F.col("task_kinds")) > 0) & (F.trim(F.coalesce("rationale", F.lit(""))) == ""), "kinds are overridden without a rationale")
-        .when(off, "a kind is disabled").when(F.array_contains("responsibilities", "pure_domain") & (size(F.col("responsibilities")) > 1), "a pure domain has other responsibilities")
+        .when(off, "a kind is disabled").when(F.array_contains("responsibilities", "pure_domain_logic") & (size(F.col("responsibilities")) > 1), "a pure domain has other responsibilities")
     )
     h = h.withColumn("note", note).withColumn("kind", F.explode(F.when(F.col("note").isNotNull(), F.array(F.lit("review"))).otherwise(kinds)))
     tasks = h.select("kind", "owner_path", fingerprint({"kind": F.col("kind"), "owner": F.col("owner_path"), "responsibilities": F.array_join(F.array_sort(F.coalesce("responsibilities", F.array().cast("array<string>"))), ",")}).alias("fingerprint"), "note", "seq")

@@ -131,7 +131,7 @@ def w8_owner_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.owner_frontier(R.hits(spark, sf_dir), ["src1", "license"]).select("owner_path", "n_terms")
 
 
-@query(f"WITH {R.LINES} SELECT path, min(CASE WHEN regexp_matches(row, '(?i)\\b(function|class|interface|type|enum|const|let|var)\\s+under\\b') THEN 0 WHEN regexp_matches(row, '(?i)\\bunder\\s*\\(') THEN 1 WHEN contains(row, 'export') THEN 2 ELSE 3 END) AS line_class FROM lines WHERE contains(lower(row), 'under') GROUP BY path")
+@query(f"WITH {R.LINES} SELECT path, min(CASE WHEN regexp_matches(row, '(?i)^\\s*(export\\s+)?(async\\s+)?(function|class|interface|type|enum|const|let|var)\\s+under\\b') THEN 0 WHEN regexp_matches(row, '(?i)\\bunder\\s*\\(') THEN 1 WHEN regexp_matches(row, '(?i)\\bexport\\b') THEN 2 ELSE 3 END) AS line_class FROM lines WHERE contains(lower(row), 'under') GROUP BY path")
 def a11_least_line_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = R.files(spark, sf_dir).select("path", F.explode(S.source_lines(F.col("text"))).alias("text"))
     return A.least_class(lines, "under")
@@ -211,7 +211,7 @@ def p10_roles_and_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("role", roles.module_layer(F.col("path"), F.col("role")).alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {R.FILES} SELECT count(*) FILTER (WHERE regexp_matches(lower(path), '/tests?/|/__tests__/|\\.test\\.|\\.spec\\.')) AS as_search, count(*) FILTER (WHERE regexp_matches(lower(substr(path, 5)), '(^|/)(tests?|__tests__)/|\\.test\\.|\\.spec\\.')) AS as_prefilter FROM files")
+@query(f"WITH {R.FILES} SELECT count(*) FILTER (WHERE regexp_matches(lower(path), '/tests?/|/__tests__/|\\.test\\.|\\.spec\\.')) AS as_search, count(*) FILTER (WHERE regexp_matches(substr(path, 5), '^tests?$|(^|/)tests?/|\\.(test|spec)\\.tsx?$')) AS as_prefilter FROM files")
 def p13_test_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = R.files(spark, sf_dir)
     return f.agg(F.count_if(S.is_test_path(F.col("path"))).alias("as_search"), F.count_if(S.is_test_path_for_prefilter(F.substring("path", 5, 1 << 30))).alias("as_prefilter"))
@@ -539,11 +539,11 @@ def w2_global_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(W.CAPS["lexical"]).select("l_orderkey", "l_linenumber")
 
 
-@query("WITH p AS (SELECT s_suppkey, 'packages/' || CASE s_suppkey % 5 WHEN 0 THEN 'docs/' WHEN 1 THEN 'examples/' WHEN 2 THEN 'tests/' ELSE '' END || 'p' || s_suppkey AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'packages/*' ELSE 'packages' END AS pattern FROM supplier), c AS (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 10 ELSE 0 END - CASE WHEN s_suppkey % 7 = 0 THEN 5 ELSE 0 END AS score FROM p) SELECT path, score FROM c ORDER BY score, len(list_filter(string_split(path, '/'), lambda x: x <> '')), path LIMIT 24")
+@query("WITH p AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'docs/' WHEN 1 THEN 'playground/' WHEN 2 THEN 'packages/tests/' ELSE 'packages/' END || 'p' || s_suppkey AS path FROM supplier), c AS (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 10 ELSE 0 END - CASE WHEN s_suppkey % 7 = 0 THEN 5 ELSE 0 END AS score FROM p) SELECT path, score FROM c ORDER BY score, len(string_split(path, '/')), path LIMIT 24")
 def w13_workspace_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    path = F.concat(F.lit("packages/"), F.when(k % 5 == 0, "docs/").when(k % 5 == 1, "examples/").when(k % 5 == 2, "tests/").otherwise(""), F.lit("p"), k.cast("string"))
-    p = R.table(spark, sf_dir, "supplier").select(path.alias("path"), k.cast("string").alias("name"), F.when(k % 3 == 0, "packages/*").otherwise("packages").alias("pattern"))
+    path = F.concat(F.when(k % 5 == 0, "docs/").when(k % 5 == 1, "playground/").when(k % 5 == 2, "packages/tests/").otherwise("packages/"), F.lit("p"), k.cast("string"))
+    p = R.table(spark, sf_dir, "supplier").select(path.alias("path"), k.cast("string").alias("name"), F.when(k % 3 == 0, "packages/**").otherwise("packages/*").alias("pattern"))
     return W.workspace_packages(p, R.table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(k.cast("string").alias("name"))).select("path", "score")
 
 
@@ -644,7 +644,7 @@ def f_sanitised_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "part").select(F.col("p_type").alias("text")).distinct().select("text", S.sanitised_id(F.col("text")).alias("id"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'run --token [redacted] x' ELSE 'run --token=[redacted] x' END AS argv FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'run --token [REDACTED] x' ELSE 'run --token=[REDACTED] x' END AS argv FROM orders")
 def f_redacted_argv(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     argv = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("run"), F.lit("--token"), k, F.lit("x"))).otherwise(F.array(F.lit("run"), F.concat(F.lit("--token="), k), F.lit("x")))
@@ -721,7 +721,7 @@ def v_verification_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.operators import verify
 
     k = F.col("c_custkey") % 4
-    resp = F.when(k == 1, F.array(F.lit("public_api"), F.lit("persistence"))).when(k == 2, F.array(F.lit("security_boundary"))).when(k == 3, F.array(F.lit("pure_domain"), F.lit("public_api"))).otherwise(F.array().cast("array<string>"))
+    resp = F.when(k == 1, F.array(F.lit("public_api"), F.lit("persistence"))).when(k == 2, F.array(F.lit("security_boundary"))).when(k == 3, F.array(F.lit("pure_domain_logic"), F.lit("public_api"))).otherwise(F.array().cast("array<string>"))
     hints = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), R.module_path(F.col("c_custkey")).alias("owner_path"), resp.alias("responsibilities"), F.lit(None).cast("array<string>").alias("task_kinds"), F.lit(None).cast("string").alias("rationale"))
     return verify.plan(hints, R.modules(spark, sf_dir)).groupBy("owner_path", "kind").agg(F.countDistinct("fingerprint").alias("n"))
 

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from factloom.functions.scalar import SOURCE_EXTENSIONS
 
 # fixed values
-IGNORED_DIRECTORIES = (".git", "node_modules", "dist", "build", "coverage", "out", "target", "vendor", ".next", ".turbo")
+IGNORED_DIRECTORIES = (".cache", ".devenv", ".git", ".next", ".nuxt", ".turbo", "build", "coverage", "dist", "node_modules")
 ENTRY_FIELDS = ("main", "module", "types", "typings", "browser")
-DEPENDENCY_FIELDS = {"dependencies": "prod", "devDependencies": "dev", "peerDependencies": "peer", "optionalDependencies": "optional"}
+DEPENDENCY_FIELDS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 EXTENSIONS = {"effect": ("effect",), "react": ("react",), "shadcn": ("shadcn", "shadcn-ui")}
-BUILD_TOOLS = {"rspack": ("@rspack/core", "@rspack/cli"), "rsbuild": ("@rsbuild/core",)}
+BUILD_TOOLS = {"rspack": ("@rspack/core", "@rspack/cli", "@rspack/dev-server"), "rsbuild": ("@rsbuild/core",)}
 
 
 def wanted(path: Column, ignored: tuple[str, ...] = IGNORED_DIRECTORIES, hidden: tuple[str, ...] = ()) -> Column:
@@ -29,9 +29,10 @@ def wanted(path: Column, ignored: tuple[str, ...] = IGNORED_DIRECTORIES, hidden:
     parts = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     extension = F.lit(False)
     for e in SOURCE_EXTENSIONS:
-        extension = extension | path.endswith(e)
+        extension = extension | F.lower(path).endswith(e)
     seen = F.forall(parts, lambda p: ~p.isin(*ignored) & (~p.startswith(".") | p.isin("", ".", "..", *hidden)))
-    return extension & seen & ~path.rlike(r"\.compact\.(generated\.)?[cm]?tsx?$")
+    written = path.rlike("(^|/)tests/fixtures/parser-compact/(expected|real)-output/") & F.contains(path, F.lit("/typescript/"))
+    return extension & seen & ~written
 
 
 def scan(spark: SparkSession, root: str, scopes: list[str] | None = None, ignored: tuple[str, ...] = IGNORED_DIRECTORIES, hidden: tuple[str, ...] = ()) -> DataFrame:
@@ -131,7 +132,7 @@ def parse_manifest(text: str | None) -> Manifest:
     entries += [{"subpath": k, "target": v, "conditions": [], "source": "bin"} for k, v in bins.items() if isinstance(v, str)]
     table = lambda k: data.get(k) if isinstance(data.get(k), dict) else {}
     scripts = [{"name": k, "command": v} for k, v in table("scripts").items() if isinstance(v, str)]
-    deps = [{"name": n, "version_range": v, "source": s} for f, s in DEPENDENCY_FIELDS.items() for n, v in table(f).items() if isinstance(v, str)]
+    deps = [{"name": n, "version_range": v, "source": f} for f in DEPENDENCY_FIELDS for n, v in table(f).items() if isinstance(v, str)]
     spaces = data.get("workspaces")
     spaces = spaces.get("packages") if isinstance(spaces, dict) else spaces
     known = {d["name"] for d in deps}

@@ -19,12 +19,12 @@ from factloom.sources import lexer as L
 
 # fixed values
 PROMISE_COMBINATORS = ("Promise.all", "Promise.allSettled", "Promise.any", "Promise.race")
-EFFECT_COLLECTIONS = ("Effect.all", "Effect.forEach", "Effect.filter", "Effect.partition", "Effect.reduceEffect", "Effect.validateAll", "Effect.validateFirst")
+EFFECT_COLLECTIONS = ("Effect.all", "Effect.allSuccesses", "Effect.allWith", "Effect.forEach", "Effect.mergeAll", "Effect.replicateEffect", "Effect.validateAll")
 RUN_METHODS = ("runCallback", "runFork", "runPromise", "runPromiseExit", "runSync")
 EXTERNAL_IO = ("fetch", "Effect.async", "Effect.promise", "Effect.tryPromise")
-OBSERVES = r"^Effect\.(log\w*|withSpan|annotateLogs|annotateCurrentSpan|tapErrorCause)$|^Metric\."
-RESILIENT = r"^Effect\.(retry\w*|timeout\w*|race\w*|orElse\w*|catch\w*)$|^Schedule\."
-DECODES = r"^Schema\.(decode|validate|parse|is|asserts)\w*$"
+OBSERVES = r"^Effect\.(annotateCurrentSpan|annotateLogs|annotateLogsScoped|log|logDebug|logError|logFatal|logInfo|logTrace|logWarning|withSpan)$|^Metric\."
+RESILIENT = r"^Effect\.(retry|retryOrElse|timeout|timeoutFail|timeoutFailCause|timeoutOption|timeoutTo)$"
+DECODES = r"^Schema\.((decode|validate)\w*|parseJson|is|asserts)$"
 IMPURE_CALLS = ("Date.now", "Math.random")
 BRANCHES = {"if", "case", "catch", "?", "&&", "||", "??"}
 
@@ -465,9 +465,40 @@ def return_shapes(s: L.Source, f: L.Function) -> dict | None:
     return None
 
 
+def function_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
+    """Every function of the module itself with the metrics of its body: nesting by blocks, awaits, tries, boolean parameters."""
+    out = []
+    for f in d[1]:
+        if f.container:
+            continue
+        m = flow_metrics(s, *f.body)
+        words = [s.tokens[i].text for i in range(*f.body)]
+        typed = [_typed(s, x, y)[1] for x, y in L.split_commas(s, *f.params)]
+        text = " ".join(t or "" for t in typed) + " " + (f.returns or "")
+        out.append({
+            "path": path, "seq": len(out), "name": f.name, "exported": f.exported, "is_async": f.is_async, "line": f.line, "line_span": f.line_end - f.line + 1, "n_params": len(typed), "n_boolean_params": sum(flag(t) is not None for t in typed),
+            "statements": m["statements"], "max_nesting": m["max_nesting"], "branches": m["branches"], "loops": m["loops"], "awaits": words.count("await"), "tries": words.count("try"), "uses_any": bool(re.search(r"\bany\b", text)), "returns": f.returns or None,
+        })
+    return out
+
+
+def react_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
+    """Components: boolean props, properties of the value that a context gets, statements in the longest effect."""
+    out = []
+    for f in d[1]:
+        if f.container or not re.match(r"[A-Z]", f.name):
+            continue
+        props = s.slice(*f.params)
+        value = re.search(r"Provider\s+value=\{\{(.*?)\}\}", s.slice(*f.body), re.S)
+        effects = [flow_metrics(s, *c.args)["statements"] for c in L.calls(s, *f.body) if c.callee.rpartition(".")[2] in {"useEffect", "useLayoutEffect"}]
+        out.append({"path": path, "seq": len(out), "name": f.name, "line": f.line, "n_boolean_props": len(re.findall(r"\?*:\s*boolean\b", props)), "n_context_props": len([x for x in value[1].split(",") if x.strip()]) if value else 0, "effect_statements": max(effects, default=0)})
+    return out
+
+
 COLLECTORS: dict[str, Callable[[str, L.Source, tuple], list[dict]]] = {
     "imports": imports, "exports": exports, "items": items, "calls": call_rows, "params": params, "tuple_surfaces": tuple_surfaces, "data_fields": data_fields, "type_aliases": type_aliases,
     "variant_fields": variant_fields, "control_flows": control_flows, "responsibilities": responsibilities, "async_surfaces": async_surfaces, "service_methods": service_methods, "fixtures": fixtures, "signals": signals,
+    "function_shapes": function_shapes, "react_shapes": react_shapes,
 }
 
 

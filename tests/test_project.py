@@ -120,7 +120,7 @@ def test_read_windows(spark, catalog):
 
 def test_verification(spark, catalog):
     hints = relation(spark, "profile_hints", [
-        {"seq": 1, "owner_path": "src/store.ts", "responsibilities": ["public_api", "persistence"]}, {"seq": 2, "owner_path": "src/none.ts", "responsibilities": ["public_api"]}, {"seq": 3, "owner_path": "src/lonely.ts", "responsibilities": ["pure_domain"]},
+        {"seq": 1, "owner_path": "src/store.ts", "responsibilities": ["public_api", "persistence"]}, {"seq": 2, "owner_path": "src/none.ts", "responsibilities": ["public_api"]}, {"seq": 3, "owner_path": "src/lonely.ts", "responsibilities": ["pure_domain_logic"]},
         {"seq": 4, "owner_path": "src/index.ts", "responsibilities": ["public_api"], "task_kinds": ["security"]},
     ])
     tasks = verify.plan(hints, catalog["modules"])
@@ -224,10 +224,44 @@ def test_flow_thresholds(spark, field, at, fires):
 def test_effect_rules_need_the_extension(spark):
     signal = relation(spark, "signals", [{"path": "a.ts", "seq": 0, "family": "concurrency", "owner_name": "f", "callee": "Promise.all", "kinds": ["promise-combinator"], "line": 3, "col": 0}])
     base = {"modules": relation(spark, "modules", [{"path": "a.ts", "role": "source", "is_valid": True, "export_names": []}]), "signals": signal}
-    assert rules.evaluate(rules.Catalog(spark, base), ["TS-EFFECT-R008"]).count() == 0
+    assert rules.evaluate(rules.Catalog(spark, base), ["TS-EXT-EFFECT-R008"]).count() == 0
     on = base | {"extensions": relation(spark, "extensions", [{"name": "effect", "activation": "dependency", "installed": True}])}
-    assert rules.evaluate(rules.Catalog(spark, on), ["TS-EFFECT-R008"]).first().line == 3
+    assert rules.evaluate(rules.Catalog(spark, on), ["TS-EXT-EFFECT-R008"]).first().line == 3
 
 
 def test_all_rules_run_on_an_empty_catalog(spark):
     assert rules.evaluate(rules.Catalog(spark, {})).count() == 0
+
+
+# a text on which the rule fires, and one on which it doesn't
+PAIRS = {
+    "AGENT-TS-R001": ("src/a.ts", "export const a = 1;", "// What it is for.\nexport const a = 1;"),
+    "AGENT-TS-R006": ("src/a.ts", "export function f(a: boolean, b: boolean) {}", "export function f(a: boolean, b: string) {}"),
+    "AGENT-TS-R008": ("src/a.ts", "export function f() { if (a) { for (;;) { while (b) { if (c) { if (d) { x(); } } } } } }", "export function f() { if (a) { x(); } }"),
+    "TS-SYN-R001": ("src/a.ts", "const a = (", "const a = 1;"),
+    "TS-AGENT-PROJECT-003": ("src/index.ts", "export const a = 1;", "export * from './a';"),
+    "TS-REACT-R001": ("src/a.tsx", "export function A() { return window.x; }", "export function A() { return 1; }"),
+    "TS-REACT-R004": ("src/a.tsx", "export function A(p: { isOn: boolean; isBig: boolean }) { return 1; }", "export function A(p: { isOn: boolean }) { return 1; }"),
+    "TS-EFFECT-R002": ("src/a.ts", "import { Effect } from 'effect';\nexport const a = process.env.X;", "export const a = process.env.X;"),
+    "TS-EFFECT-R003": ("src/a.ts", "import { Effect } from 'effect';\nimport { it } from 'vitest';", "import { Effect } from 'effect';"),
+    "R007": ("src/a.ts", "export function f(a: string, b: string, c: string, d: string) {}", "function f(a: string, b: string, c: string, d: string) {}"),
+    "R010": ("src/a.ts", "export function f(): [string, number] { return x; }", "export function f(): string { return x; }"),
+    "R011": ("src/a.ts", "export function f(a: any) {}", "export function f(a: many) {}"),
+}
+
+
+def test_syntax_rules_in_pairs(spark):
+    rows = [(f"{side}/{rule}/{path}", (good, bad)[side == "pos"], 0) for rule, (path, bad, good) in PAIRS.items() for side in ("pos", "neg")]
+    rows = [r for r in rows if "PROJECT-003" not in r[0]]
+    c = project.build(spark.createDataFrame(rows, "path string, content string, mtime_ms long"))
+    found = {(r.rule_id, r.path.split("/")[0], r.path.split("/")[1]) for r in project.check_syntax(c).collect()}
+    for rule in PAIRS:
+        if rule != "TS-AGENT-PROJECT-003":
+            assert (rule, "pos", rule) in found
+            assert (rule, "neg", rule) not in found
+
+
+def test_first_index_only_reexports(spark):
+    for text, fires in ((PAIRS["TS-AGENT-PROJECT-003"][1], True), (PAIRS["TS-AGENT-PROJECT-003"][2], False)):
+        c = project.build(spark.createDataFrame([("src/index.ts", text, 0)], "path string, content string, mtime_ms long"))
+        assert ("TS-AGENT-PROJECT-003" in {r.rule_id for r in project.check_syntax(c).collect()}) == fires

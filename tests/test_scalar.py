@@ -66,7 +66,7 @@ def test_djb2_and_redaction(spark):
         h = (h * 33 ^ ord(c)) & 0xFFFFFFFF
     assert one(spark, S.djb2(F.lit("hello"))) == h
     argv = F.array(*[F.lit(x) for x in ("run", "--token", "s3cret", "--api-key=k", "x")])
-    assert one(spark, S.redact_argv(argv)) == ["run", "--token", "[redacted]", "--api-key=[redacted]", "x"]
+    assert one(spark, S.redact_argv(argv)) == ["run", "--token", "[REDACTED]", "--api-key=[REDACTED]", "x"]
 
 
 def test_line_window(spark):
