@@ -194,7 +194,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
 
     component_id is the smallest doc_id reachable; kept says that it is the row's own. Null and empty texts have no shingles
     and no links and are kept; rows of a null doc_id take no part: component_id null, kept false. Repeated rows of one
-    doc_id each stay. An empty table gives no rows. Columns beyond doc_id and text are not read.
+    doc_id each stay; if their texts differ they are one document, whose links are confirmed on the greatest of its texts. An empty table gives no rows. Columns beyond doc_id and text are not read.
     """
     kind = documents.schema["doc_id"].dataType
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -215,7 +215,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     # a member of several lists is first held against the hub that agrees with it most
     best = _agreeing(stars, classes, share).groupBy("a").agg(F.max(F.struct("agree", F.col("b"))).alias("x")).select("a", F.col("x.b").alias("b"))
     eligible = lists.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(eligible.hint("shuffle_hash"), "rep").dropDuplicates(["rep"])
+    texts = docs.withColumnRenamed("doc_id", "rep").join(eligible.hint("shuffle_hash"), "rep").groupBy("rep").agg(F.max("text").alias("text"))
     sets = cut(_sets(texts, size))
     first = cut(_confirmed(best, sets, share))
     comp = components(first)
