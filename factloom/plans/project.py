@@ -17,7 +17,7 @@ from factloom.sources import typescript
 
 
 @dataclass(frozen=True)
-class HarnessConfig:
+class Settings:
     """What a run takes into account; every ``with_`` method returns a changed copy."""
 
     source_dirs: tuple[str, ...] = ("src",)
@@ -34,46 +34,46 @@ class HarnessConfig:
     disabled_task_kinds: tuple[str, ...] = ()
     extensions: tuple[str, ...] = field(default=())
 
-    def _more(self, name: str, *values: object) -> HarnessConfig:
+    def _more(self, name: str, *values: object) -> Settings:
         return replace(self, **{name: tuple(dict.fromkeys((*getattr(self, name), *values)))})
 
-    def with_disabled_rules(self, *ids: str) -> HarnessConfig:
+    def with_disabled_rules(self, *ids: str) -> Settings:
         return self._more("disabled_rules", *ids)
 
-    def with_disabled_packs(self, *packs: str) -> HarnessConfig:
+    def with_disabled_packs(self, *packs: str) -> Settings:
         return self._more("disabled_packs", *packs)
 
-    def with_rule_severity(self, rule: str, severity: str) -> HarnessConfig:
+    def with_rule_severity(self, rule: str, severity: str) -> Settings:
         return replace(self, rule_severities=tuple((dict(self.rule_severities) | {rule: severity}).items()))
 
-    def with_pack_severity(self, pack: str, severity: str) -> HarnessConfig:
+    def with_pack_severity(self, pack: str, severity: str) -> Settings:
         return replace(self, pack_severities=tuple((dict(self.pack_severities) | {pack: severity}).items()))
 
-    def with_source_dirs(self, *names: str) -> HarnessConfig:
+    def with_source_dirs(self, *names: str) -> Settings:
         return self._more("source_dirs", *names)
 
-    def with_test_dirs(self, *names: str) -> HarnessConfig:
+    def with_test_dirs(self, *names: str) -> Settings:
         return self._more("test_dirs", *names)
 
-    def with_ignored_dirs(self, *names: str) -> HarnessConfig:
+    def with_ignored_dirs(self, *names: str) -> Settings:
         return self._more("ignored_dirs", *names)
 
-    def with_hidden_dirs(self, *names: str) -> HarnessConfig:
+    def with_hidden_dirs(self, *names: str) -> Settings:
         return self._more("hidden_dirs", *names)
 
-    def with_blocking_severities(self, *severities: str) -> HarnessConfig:
+    def with_blocking_severities(self, *severities: str) -> Settings:
         return replace(self, blocking_severities=severities)
 
-    def with_blocking_rules(self, *ids: str) -> HarnessConfig:
+    def with_blocking_rules(self, *ids: str) -> Settings:
         return self._more("blocking_rules", *ids)
 
-    def with_disabled_task_kinds(self, *kinds: str) -> HarnessConfig:
+    def with_disabled_task_kinds(self, *kinds: str) -> Settings:
         return self._more("disabled_task_kinds", *kinds)
 
-    def with_extensions(self, *names: str) -> HarnessConfig:
+    def with_extensions(self, *names: str) -> Settings:
         return self._more("extensions", *names)
 
-    def without_tests(self) -> HarnessConfig:
+    def without_tests(self) -> Settings:
         return replace(self, include_tests=False)
 
     def overrides(self, spark: SparkSession) -> DataFrame:
@@ -85,9 +85,9 @@ class HarnessConfig:
 FAMILIES = tuple(typescript.COLLECTORS)
 
 
-def build(files: DataFrame, manifest: str | None = None, config: str | None = None, harness: HarnessConfig | None = None, mode: str = "project") -> Catalog:
+def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project") -> Catalog:
     """All relations of a project over ``files`` (path, content, mtime_ms). Facts are lazy: only the families that a query reads are read off the texts."""
-    h, spark = harness or HarnessConfig(), files.sparkSession
+    h, spark = settings or Settings(), files.sparkSession
     m, c = src.parse_manifest(manifest), src.parse_config(config)
     files = conform(files, "source_files")
     facts = {f: typescript.facts(files, f) for f in (*FAMILIES, "diagnostics")}
@@ -131,25 +131,25 @@ def import_edges(imports: DataFrame, modules: DataFrame, aliases: dict[str, list
     return e.select(seq.alias("seq"), F.col("path").alias("from_path"), "to_path", "module_specifier", "kind", "is_type_only", resolution.alias("resolution"), "line", "col")
 
 
-def check(catalog: Catalog, harness: HarnessConfig | None = None, rules: list[str] | None = None) -> DataFrame:
+def check(catalog: Catalog, settings: Settings | None = None, rules: list[str] | None = None) -> DataFrame:
     """Findings after the configuration: disabled rules and packs gone, severities overridden."""
-    h = harness or HarnessConfig()
+    h = settings or Settings()
     found = numbered(evaluate(catalog, rules))
     return filters.apply_policy(found, h.overrides(catalog.spark))
 
 
-def check_changed(catalog: Catalog, harness: HarnessConfig | None = None) -> DataFrame:
+def check_changed(catalog: Catalog, settings: Settings | None = None) -> DataFrame:
     """A full run in which a missing configuration only informs."""
-    return check(catalog, (harness or HarnessConfig()).with_rule_severity("TS-AGENT-PROJECT-001", "info"))
+    return check(catalog, (settings or Settings()).with_rule_severity("TS-AGENT-PROJECT-001", "info"))
 
 
 class NotClean(AssertionError):
     pass
 
 
-def assert_clean(findings: DataFrame, harness: HarnessConfig | None = None) -> None:
+def assert_clean(findings: DataFrame, settings: Settings | None = None) -> None:
     """Raises with the first blocking findings."""
-    h = harness or HarnessConfig()
+    h = settings or Settings()
     bad = filters.blocking(findings, list(h.blocking_severities), list(h.blocking_rules)).orderBy("seq").limit(20).collect()
     if bad:
         raise NotClean("\n".join(f"{r.rule_id} {r.path}:{r.line} {r.summary}" for r in bad))

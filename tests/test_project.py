@@ -62,7 +62,7 @@ def test_findings(catalog):
 
 
 def test_policy_config(catalog):
-    h = project.HarnessConfig().with_disabled_packs("agent-policy").with_rule_severity("TS-SYN-R001", "info").with_disabled_rules("TS-AGENT-PROJECT-005")
+    h = project.Settings().with_disabled_packs("agent-policy").with_rule_severity("TS-SYN-R001", "info").with_disabled_rules("TS-AGENT-PROJECT-005")
     found = project.check(catalog, h)
     assert {r.rule_id for r in found.collect()} == {"TS-SYN-R001"}
     project.assert_clean(found, h)
