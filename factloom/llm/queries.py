@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import annsearch, bpe, decontam, htmlmain, lm, neardup, pii, quality, sharding
+from factloom.llm import annsearch, bpe, decontam, fixity, htmlmain, lm, neardup, pii, quality, sharding
 from factloom.llm.common import id_crc, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,15 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages against a replica in which every 500th is altered and every 700th is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    replica = pages.where("page_id % 700 != 5 OR page_id IS NULL").withColumn("html", F.when(F.col("page_id") % 500 == 3, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    found = fixity.audit(fixity.records(pages), fixity.records(replica))
+    page = F.col("file") * fixity.FAN**fixity.LEVELS + F.col("offset")
+    return found.select(page.alias("page_id"), "status", "left_digest", "right_digest")
+
+
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = found.select("doc_id", "pii", F.filter("pii", lambda x: x["kind"].isin(*pii.BASE)).alias("base"))
@@ -61,6 +70,9 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hilbert_sharding, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text)
+    for f in (op1_hilbert_sharding, op2_merkle_fixity, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_merkle_fixity": """SELECT page_id, CASE WHEN page_id % 700 = 5 THEN 'missing' ELSE 'changed' END AS status, sha256(url || chr(10) || html) AS left_digest,
+ CASE WHEN page_id % 700 = 5 THEN NULL ELSE sha256(url || chr(10) || html || '!') END AS right_digest FROM pages WHERE page_id % 500 = 3 OR page_id % 700 = 5""",
 }
-ORACLE_SQL: dict[str, str] = {}
