@@ -1,17 +1,20 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Pages of one host, in blocks of bounded size, are read as tokens: each tag is told apart by the path of elements it stands
-in. Tokens with the same occurrence vector (how often they occur on each page of the block) form a class. Classes that
-keep one order on all pages are valid; the class that occurs once on every page is the template's spine, and further
-classes nest into the slot of the spine that holds all their occurrences. What the slots hold is the pages' own text; slots
-in a menu, advert, form and the like are left out, and, where the template has an article or main element, those outside it.
+Pages of one host, in blocks of bounded size, are read as tokens: each tag, and each whole block of text, is told apart by the
+path of elements it stands in. Tokens with the same occurrence vector (how often they occur on each page of the block) form
+a class. Classes of tags that keep one order on all pages are valid; the class that occurs once on every page is the template's
+spine, and further classes nest into the slot of the spine that holds all their occurrences. Blocks of text that are on every
+page, or in one slot on half of the pages, belong to the template and go, from three distinct pages on; inside an article or
+main element only those on every page do, and only if the article is no copy. What the slots hold besides is the pages' own text. It may vary and still be a menu,
+an advert or a form, so fixed names of elements and words of classes leave such slots out, unless nearly all of the pages' own text
+is in them; and where the template has an article or main element, what is outside it is left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +45,8 @@ WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice popup modal newsletter subscribe signup login share sharing social comment comments disqus replies related recommended toolbar pagination pager".split()
 )
 ROOTS = frozenset({"article", "main"})
+LEAST = 3  # distinct pages that a text must be on to belong to the template
+TEXT = "#"  # begins the last part of a text token; labels begin with a letter
 
 
 @dataclass
@@ -50,6 +55,7 @@ class Page:
 
     tokens: list[tuple[tuple[str, ...], str | None]] = field(default_factory=list)
     breaks: list[int] = field(default_factory=list)  # of each token, the number of block borders before it
+    blocks: dict[int, tuple[str, ...]] = field(default_factory=dict)  # by number of borders: the text token of a block, its element's path and its text
 
 
 def _label(name: str, attributes: str) -> str:
@@ -100,16 +106,54 @@ def read(html: str | None) -> Page:
                 page.tokens.append((path, " "))
                 page.breaks.append(border)
         path = tuple(x[1] for x in open_)
+    page.blocks = _blocks(page)
     return page
 
 
+def _name(label: str) -> str:
+    return re.split(r"[.!]", label, maxsplit=1)[0]
+
+
+def _spaced(parts: list[str]) -> str:
+    return " ".join(entities.unescape("".join(parts)).split())
+
+
+def _blocks(page: Page) -> dict[int, tuple[str, ...]]:
+    found: dict[int, tuple[tuple[str, ...], list[str]]] = {}
+    for (path, text), border in zip(page.tokens, page.breaks, strict=True):
+        if text is not None and (border in found or text.strip()):
+            found.setdefault(border, (path, []))[1].append(text)
+    out = {}
+    for border, (path, parts) in found.items():
+        if text := _spaced(parts):
+            at = next((i for i in range(len(path), 0, -1) if _name(path[i - 1]) in BLOCKS), 0)
+            out[border] = (*path[:at], TEXT + text)
+    return out
+
+
+def _sequence(page: Page) -> Iterator[tuple[str, ...]]:
+    """The page's tokens in order: paths of tags, and text tokens where their blocks begin."""
+    last = None
+    for (path, text), border in zip(page.tokens, page.breaks, strict=True):
+        if text is None:
+            yield path
+        elif border != last and border in page.blocks:
+            last = border
+            yield page.blocks[border]
+
+
+def _is_text(token: tuple[str, ...]) -> bool:
+    return bool(token) and token[-1][:1] == TEXT
+
+
 def classes_of(pages: list[Page]) -> dict[tuple[int, ...], list[tuple[str, ...]]]:
-    """Equivalence classes: occurrence vector → the tag tokens that have it, in order of the first page that has them."""
+    """Equivalence classes: occurrence vector → the tokens that have it, in order of the first page that has them; texts on fewer than ``LEAST`` pages are in none."""
+    on = Counter(t for p in pages for t in set(p.blocks.values()))
     counts: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0] * len(pages))
     for i, p in enumerate(pages):
-        for path, text in p.tokens:
-            if text is None:
-                counts[path][i] += 1
+        for t in _sequence(p):
+            if not _is_text(t) or on[t] >= LEAST:
+                counts[t][i] += 1
     out: dict[tuple[int, ...], list[tuple[str, ...]]] = defaultdict(list)
     for path, vector in counts.items():
         out[tuple(vector)].append(path)
@@ -137,55 +181,90 @@ class Template:
     spine: list[tuple[str, ...]]  # occurs once on every page, in order
     nested: dict[tuple[str, ...], int]  # token of another valid class → the slot of the spine that holds it
     roots: set[tuple[str, ...]]  # paths of article and main elements in the template
+    fixed: set[tuple[str, ...]] = field(default_factory=set)  # text tokens on every page
+    usual: set[tuple[str, ...]] = field(default_factory=set)  # text tokens on half of the pages, all in one slot of the spine
+    wrappers: set[tuple[str, ...]] = field(default_factory=set)  # paths of elements whose class has a listed word, but which hold the pages' own text
 
 
 def deduce(pages: list[Page]) -> Template:
     """The template of a block of pages. A class is valid if it occurs on half of the pages at least and all its occurrences fall into one slot of the spine."""
     found = classes_of(pages)
-    spine = _ordered(pages, found.get((1,) * len(pages), []))
+    spine = _ordered(pages, [t for t in found.get((1,) * len(pages), []) if not _is_text(t)])
     place = {t: i for i, t in enumerate(spine)}
     slots: dict[tuple[str, ...], set[int]] = defaultdict(set)
     for p in pages:
         slot = -1
-        for path, text in p.tokens:
-            if text is None:
-                slot = place.get(path, slot)
-                slots[path].add(slot)
-    nested = {}
+        for t in _sequence(p):
+            slot = place.get(t, slot)
+            slots[t].add(slot)
+    nested, fixed, usual = {}, set(), set()
     for vector, tokens in found.items():
         if 2 * sum(map(bool, vector)) >= len(pages):
-            held = set().union(*(slots[t] for t in tokens if t not in place))
+            texts, tags = [t for t in tokens if _is_text(t)], [t for t in tokens if t not in place and not _is_text(t)]
+            held = set().union(*(slots[t] for t in tags))
             if len(held) == 1:
-                nested |= {t: min(held) for t in tokens if t not in place}
-    roots = {t for t in (*spine, *nested) if t and re.split(r"[.!]", t[-1])[0] in ROOTS and not _dropped(t)}
-    return Template(spine, nested, roots)
-
-
-def _dropped(path: tuple[str, ...]) -> bool:
+                nested |= {t: min(held) for t in tags}
+            if all(vector):
+                fixed.update(texts)
+            else:
+                usual.update(t for t in texts if len(slots[t]) == 1)
+    wrappers = _wrappers(pages, fixed | usual)
+    roots = {t for t in (*spine, *nested) if t and _name(t[-1]) in ROOTS and not _dropped(t, wrappers)}
+    return Template(spine, nested, roots, fixed, usual, wrappers)
+
+
+def _wrappers(pages: list[Page], constant: set[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Paths of elements marked by a word of their class that hold nine tenths, on the pages that have them, of the text that is not the template's: a page's wrapper may be called "with-sidebar"."""
+    held: Counter[tuple[str, ...]] = Counter()
+    beside: Counter[tuple[str, ...]] = Counter()
+    for p in pages:
+        own: Counter[tuple[str, ...]] = Counter()
+        whole = 0
+        for *path, text in p.blocks.values():
+            if (*path, text) not in constant and not any("!" in x and _fixed_mark(x) for x in path):
+                whole += len(text)
+                for i, x in enumerate(path):
+                    if "!" in x:
+                        own[tuple(path[: i + 1])] += len(text)
+        held += own
+        for t in own:
+            beside[t] += whole
+    return {t for t, n in held.items() if 10 * n >= 9 * beside[t]}
+
+
+def _fixed_mark(label: str) -> bool:
+    """Whether the element's name itself, or a section of comments, is what marks it."""
+    name, _, hints = label.partition("!")
+    return name in DROPPED or not {"comment", "comments"}.isdisjoint(hints.split("."))
+
+
+def _dropped(path: tuple[str, ...], wrappers: set[tuple[str, ...]]) -> bool:
     """Whether an element on the path holds no main text; a header within an article is the article's own heading only if nothing else marks it."""
-    return any("!" in x for x in path)
+    return any("!" in x and path[: i + 1] not in wrappers for i, x in enumerate(path))
 
 
 def extract(page: Page, template: Template) -> str:
-    """The text of the template's slots that hold main text, white space in a block made one space, blocks joined by line ends."""
+    """The text of the template's slots that hold main text, white space in a block made one space, blocks joined by line ends. An article of which half is on every page is a copy and stays whole; so does what a page of usual texts only has."""
     own = [t for t in template.roots if any(path[: len(t)] == t for path, text in page.tokens if text)]
-    blocks: list[list[str]] = []
-    last = None
+    blocks: dict[int, list[str]] = defaultdict(list)
     for (path, text), border in zip(page.tokens, page.breaks, strict=True):
-        if text is None or _dropped(path) or own and not any(path[: len(t)] == t for t in own):
+        if text is None or _dropped(path, template.wrappers) or own and not any(path[: len(t)] == t for t in own):
             continue
-        if border != last:
-            blocks.append([])
-            last = border
-        blocks[-1].append(text)
-    return "\n".join(x for x in (" ".join(entities.unescape("".join(b)).split()) for b in blocks) if x)
+        blocks[border].append(text)
+    texts = {border: x for border, b in blocks.items() if (x := _spaced(b))}
+    varying = {border: x for border, x in texts.items() if page.blocks.get(border) not in template.fixed}
+    if own:
+        return "\n".join((varying if 2 * sum(map(len, varying.values())) >= sum(map(len, texts.values())) else texts).values())
+    alone = {border: x for border, x in varying.items() if page.blocks.get(border) not in template.usual}
+    return "\n".join((alone or varying).values())
 
 
 def texts_of(htmls: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
-    pages = [read(h) for h in htmls]
-    template = deduce(pages)
-    return [extract(p, template) for p in pages]
+    """Main texts of pages of one host. Copies of a page and pages without any token say nothing about the template."""
+    pages = {h: read(h) for h in dict.fromkeys(htmls)}
+    template = deduce([p for p in pages.values() if p.tokens])
+    texts = {h: extract(p, template) for h, p in pages.items()}
+    return [texts[h] for h in htmls]
 
 
 def main_texts(pages: DataFrame, per_block: int = PAGES) -> DataFrame:

@@ -61,3 +61,26 @@ def test_hot_host_is_split(spark):
     df = spark.range(300).selectExpr("id AS page_id", "'http://hot.example/' AS url", "concat('<body><article><p>text ', id, '</p></article></body>') AS html")
     got = {r.page_id: r.text for r in htmlmain.main_texts(df, per_block=20).collect()}
     assert got == {i: f"text {i}" for i in range(300)}
+
+
+def test_text_on_every_page_is_the_template():
+    page = "<body><div class=x1><p>Follow us everywhere</p></div><div class=x2><p>Story {0} begins.</p><p>{1}</p></div><div class=x3>All rights reserved</div></body>"
+    own = ["It ends well.", "It rains.", "It ends well.", "Nobody knows."]
+    pages = [page.format(i, x) for i, x in enumerate(own)]
+    assert htmlmain.texts_of(pages) == [f"Story {i} begins.\n{x}" for i, x in enumerate(own)]
+    odd = "<body><div class=x2><p>Story 9 begins.</p></div></body>"  # a page without the boilerplate does not bring it back
+    assert htmlmain.texts_of([*pages, odd, None, ""]) == [*(f"Story {i} begins.\n{x}" for i, x in enumerate(own)), "Story 9 begins.", "", ""]
+    assert htmlmain.texts_of([pages[0]] * 5) == [f"Follow us everywhere\nStory 0 begins.\n{own[0]}\nAll rights reserved"] * 5  # copies tell nothing
+
+
+def test_boilerplate_in_an_article_goes_and_copied_articles_stay():
+    page = "<body><nav>{0}</nav><article><p>Story {1} is a long one and is told here.</p><p>Share this!</p></article></body>"
+    assert htmlmain.texts_of([page.format(i, i) for i in range(4)]) == [f"Story {i} is a long one and is told here." for i in range(4)]
+    assert htmlmain.texts_of([page.format(i, 7) for i in range(4)]) == ["Story 7 is a long one and is told here.\nShare this!"] * 4
+
+
+def test_wrapper_with_a_listed_word_stays():
+    page = '<body><div class="page with-sidebar"><div class="content"><p>Story {0} is a long one and is told here in full.</p></div><div class="sidebar"><p>{0}</p></div></div></body>'
+    assert htmlmain.texts_of([page.format(i) for i in range(4)]) == [f"Story {i} is a long one and is told here in full." for i in range(4)]
+    inner = page.replace('<div class="content">', "<article>").replace('</div><div class="sidebar">', '</article><div class="sidebar">')
+    assert htmlmain.texts_of([inner.format(i) for i in range(4)]) == [f"Story {i} is a long one and is told here in full." for i in range(4)]
