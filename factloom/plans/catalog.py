@@ -500,7 +500,7 @@ def a23_dependency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gr1_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = spark.createDataFrame([], "resolution string, to_path string")
-    return G.orphans(R.modules(spark, sf_dir), _deps(spark, sf_dir).where("module_specifier = './f1'"), nothing)
+    return G.orphans(R.modules(spark, sf_dir), _deps(spark, sf_dir), nothing)
 
 
 @query(f"WITH {R.DEPENDENCIES} SELECT 'out' AS direction, to_path AS peer, module_specifier, kind, count(*) AS n FROM deps WHERE from_path = '{_TARGET}' AND to_path IS NOT NULL GROUP BY ALL UNION ALL SELECT 'in', from_path, module_specifier, kind, count(*) FROM deps WHERE to_path = '{_TARGET}' GROUP BY ALL")

@@ -1,6 +1,9 @@
 import pytest
+from oracle import connect
 
 from factloom.operators import graph as G
+from factloom.plans import analogues as R
+from factloom.plans import catalog
 
 
 def edges(spark, pairs):
@@ -62,3 +65,21 @@ def test_flow_lite(spark):
     c = spark.createDataFrame([("a.ts", "load", "req.query", 2), ("a.ts", "load", "new Db", 3)], "path string, owner string, callee string, line int")
     r = G.flow_lite(f, c, "load", "query", "Db").first()
     assert (r.source_line, r.sink_line, r.bounded) == (2, 3, True)
+
+
+def plain_dependencies(sf_dir):
+    """All dependencies of the tables (from, to, from_role, is_test_context), and the modules' roles, without Spark."""
+    con = connect(sf_dir)
+    deps = con.execute(f"WITH {R.DEPENDENCIES} SELECT DISTINCT from_path, to_path, from_role, is_test_context FROM deps WHERE to_path IS NOT NULL").fetchall()
+    return deps, dict(con.execute(f"WITH {R.MODULES} SELECT path, role FROM modules").fetchall())
+
+
+def test_orphans_query_follows_every_edge(spark, sf_dir):
+    deps, role = plain_dependencies(sf_dir)
+    inside = {p for p, r in role.items() if r in ("source", "facade", "entrypoint")}
+    seen = {p for p in inside if role[p] != "source"}
+    front = seen
+    while front:
+        front = {b for a, b, _, test in deps if not test and a in front and b in inside} - seen
+        seen = seen | front
+    assert sorted(r.path for r in catalog.gr1_orphans(spark, sf_dir).collect()) == sorted(p for p in inside - seen if role[p] == "source")
