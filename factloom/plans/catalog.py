@@ -288,7 +288,7 @@ _TARGET = "src/m5/index.ts"
  SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 )
 def gr2_bounded_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.depth_to_target(_deps(spark, sf_dir), _TARGET, 3)
+    return G.depth_to_target(_deps(spark, sf_dir), _TARGET)
 
 
 @query(

@@ -83,3 +83,13 @@ def test_orphans_query_follows_every_edge(spark, sf_dir):
         front = {b for a, b, _, test in deps if not test and a in front and b in inside} - seen
         seen = seen | front
     assert sorted(r.path for r in catalog.gr1_orphans(spark, sf_dir).collect()) == sorted(p for p in inside - seen if role[p] == "source")
+
+
+def test_bounded_depth_query_goes_to_eight(spark, sf_dir, monkeypatch):
+    deps, _ = plain_dependencies(sf_dir)
+    into = [(b, a) for a, b, role, _ in deps if role != "test"]
+    target = max({b for b, _ in into}, key=lambda t: (max(depths(into, t).values()), t))  # in this table the query's own target may have few
+    monkeypatch.setattr(catalog, "_TARGET", target)
+    want = {n: d + 1 for n, d in depths(into, target).items() if d < 8}
+    assert max(want.values()) > 3
+    assert {r.node: r.depth for r in catalog.gr2_bounded_depth(spark, sf_dir).collect()} == want
