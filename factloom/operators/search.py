@@ -238,9 +238,10 @@ for _axis in ("env", "lang", "std", "capability", "extension", "pattern", "compa
 def _ingest(c: Catalog, query: str, stream: str = "") -> Packet:
     from factloom.sources import candidates as I
 
-    known = {r.path for r in c["source_files"].select("path").limit(10_000).collect()} if "\n" in stream or stream else set()
-    fmt = I.detect(stream, known)
+    fmt = I.detect(stream)
     rows = c.spark.createDataFrame(list(enumerate([stream] if fmt == "path-list-nul" else stream.replace("\r\n", "\n").split("\n"))), "seq long, line string")
+    if fmt == "unknown":  # a list of paths if any line is one
+        fmt = I.detect(stream, {r.path for r in c["source_files"].select("path").join(rows.select(F.col("line").alias("path")), "path", "left_semi").limit(1).collect()})
     return {"hits": I.ingest_hits(I.parse(rows, fmt), c["source_files"], fmt)}
 
 

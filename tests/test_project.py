@@ -192,6 +192,14 @@ def test_detect(spark, text, fmt):
     assert candidates.detect_rows(rows, spark.createDataFrame([("src/a.ts",)], "path string")).first().format == fmt
 
 
+def test_ingest_knows_every_path_of_a_large_project(spark):
+    files = spark.range(0, 12_000, 1, 1).selectExpr("concat('src/f', id, '.ts') AS path", "'' AS content", "id AS mtime_ms")
+    c = rules.Catalog(spark, {"source_files": files})
+    got = search.search(c, "ingest", stream="src/f11999.ts\nno such line\n")["hits"].collect()
+    assert [(r.path, r.reason) for r in got] == [("src/f11999.ts", "path-list"), ("no such line", "path-list")]
+    assert search.search(c, "ingest", stream="what\nno such line")["hits"].count() == 0
+
+
 def test_parse_streams(spark):
     rows = lambda *x: spark.createDataFrame(list(enumerate(x)), "seq long, line string")
     got = lambda fmt, *x: [tuple(r)[1:5] for r in candidates.parse(rows(*x), fmt).orderBy("seq").collect()]
