@@ -79,12 +79,12 @@ class Tree:
                 todo += [(c, rows[owner == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int | None = None) -> list[int]:
-        """Leaves in best-bin-first order: the branch whose centre is nearest to the query comes next."""
+    def visits(self, q: np.ndarray, most: int | None = None, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: the branch whose centre is nearest to the query comes next. With the number of ids that each leaf holds, on past ``most`` leaves until they have ``least``."""
         out: list[int] = []
         queue = [(-1.0, 0, self.root)]
-        n = 0
-        while queue and (most is None or len(out) < most):
+        n = seen = 0
+        while queue and (most is None or len(out) < most or held is not None and seen < least):
             _, _, node = heapq.heappop(queue)
             while node >= 0:
                 near = self.centres[node] @ q
@@ -94,6 +94,7 @@ class Tree:
                     heapq.heappush(queue, (-float(near[i]), n, self.children[node][i]))
                 node = self.children[node][order[0]]
             out.append(~node)
+            seen += 0 if held is None else int(held[~node])
         return out
 
 
@@ -158,11 +159,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     indexed = cut(rows.mapInArrow(index, "v array<double>, ids array<bigint>, leaf int"))
     visits = _calibrated(indexed, queries, tree, k)
+    held = np.zeros(tree.leaves, np.int64)  # k + 1 ids besides or with a query's own are k neighbours
+    for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r.leaf] = r.n
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.append_column("leaves", pa.array([sent.value.visits(q, visits) for q in _unit(_stack(b.column("v")))], pa.list_(pa.int32())))
+                yield b.append_column("leaves", pa.array([sent.value.visits(q, visits, held, k + 1) for q in _unit(_stack(b.column("v")))], pa.list_(pa.int32())))
 
     # a leaf of many rows is split into parts of bounded size; the counts are as few as the tree's leaves
     parts = indexed.groupBy("leaf").agg(F.count("*").alias("n")).select("leaf", F.ceil(F.col("n") / ROWS).cast("int").alias("parts"))

@@ -52,3 +52,11 @@ def test_all_leaves_are_reached():
     tree = annsearch.Tree(x, leaf=16)
     assert sorted(tree.visits(x[0])) == list(range(tree.leaves))
     assert tree.visits(x[3])[0] == tree.assign(x[3:4])[0]
+
+
+def test_small_leaves_are_topped_up(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "_calibrated", lambda *_: 1)  # as on vectors in close clusters
+    near = np.random.default_rng(2).normal(size=(600, 8)) * 1e-3 + np.eye(8)[np.arange(600) % 3]
+    rows = [(i, x.tolist()) for i, x in enumerate([*near, np.eye(8)[4], np.eye(8)[5], -np.eye(8)[6]])]
+    got = annsearch.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == dict.fromkeys(range(603), 5)
