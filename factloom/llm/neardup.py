@@ -83,9 +83,9 @@ def _signed(documents: DataFrame, size: int) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "digest", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "h", "digest", "n", "sig"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, n bigint, sig array<int>")
+    return documents.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h bigint, digest binary, n bigint, sig array<int>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -194,13 +194,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
 
     component_id is the smallest doc_id reachable; kept says that it is the row's own. Null and empty texts have no shingles
     and no links and are kept; rows of a null doc_id take no part: component_id null, kept false. Repeated rows of one
-    doc_id each stay; if their texts differ they are one document, whose links are confirmed on the greatest of its texts. An empty table gives no rows. Columns beyond doc_id and text are not read.
+    doc_id each stay; if their texts differ they are one document that has the links of each of its texts. An empty table gives no rows. Columns beyond doc_id and text are not read.
     """
     kind = documents.schema["doc_id"].dataType
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")  # h tells the texts of one id apart
     signed = cut(_signed(docs, size))
     real = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "at.doc_id", "at.h", "n", "sig"))
+    several = real.groupBy("doc_id").agg((F.min(F.xxhash64("digest")) != F.max(F.xxhash64("digest"))).alias("differ")).where("differ").select("doc_id")
+    texts_of_one = cut(real.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"))
+    same = texts_of_one.join(texts_of_one.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a != b")
 
     posts = classes.select("rep", F.posexplode("sig").alias("i", "v"))
     lengths = posts.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
@@ -214,10 +218,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     stars = lists.join(hubs, ["i", "v"]).select(F.col("rep").alias("a"), "b").where("a != b").distinct()
     # a member of several lists is first held against the hub that agrees with it most
     best = _agreeing(stars, classes, share).groupBy("a").agg(F.max(F.struct("agree", F.col("b"))).alias("x")).select("a", F.col("x.b").alias("b"))
-    eligible = lists.select("rep").distinct()
-    texts = docs.withColumnRenamed("doc_id", "rep").join(eligible.hint("shuffle_hash"), "rep").groupBy("rep").agg(F.max("text").alias("text"))
+    eligible = lists.select("rep").distinct().join(classes.select("rep", "doc_id", "h"), "rep")
+    texts = docs.join(eligible.hint("shuffle_hash"), ["doc_id", "h"]).groupBy("doc_id", "h", "rep").agg(F.max("text").alias("text"))
     sets = cut(_sets(texts, size))
-    first = cut(_confirmed(best, sets, share))
+    first = cut(_confirmed(best, sets, share).unionAll(same))
     comp = components(first)
 
     member = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("i", "v", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -231,7 +235,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     joined = _long_lists(long.join(classes.select("rep", "n"), "rep"), sets, share)
     final = components(first.unionAll(more).unionAll(joined))
 
-    by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
+    linked = final.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id"), "rep")
+    linked = linked.join(linked.groupBy("comp").agg(F.min("doc_id").alias("low")), "comp").select("rep", "low")
+    by_class = classes.join(linked, "rep", "left").select("digest", F.coalesce("low", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(by_class, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", own.cast(kind).alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -78,3 +78,10 @@ def test_odd_rows(odd, nothing):
     assert (by[2].n_shingles, by[2].component_id, by[3].kept) == (0, 2, True)
     assert (by[None].component_id, by[None].kept) == (None, False)
     assert neardup.near_duplicates(nothing, 3, 85).count() == 0
+
+
+def test_each_text_of_one_id_keeps_its_links(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (9, a), (11, a + " z"), (13, b + " z"), (20, "c d e f"), (20, b + " z y"), (30, "c d e f"), (40, "other words")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [*((i, 5) for i in (5, 5, 9, 11, 13, 20, 20, 30)), (40, 40)]
