@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 THRESHOLD = 0.5
-NEAR = 40  # code points before a span in which context words count
+NEAR = 40  # code points before a span, and after it, in which context words count
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -85,7 +85,9 @@ def spans_of(text: Column, kind: str) -> Column:
         s = acc["at"] + F.length(x["p"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
         near = F.lower(F.substr(text, F.greatest(s + 1 - NEAR, F.lit(1)), F.least(s, F.lit(NEAR))))
-        score = F.least(F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{WORDS[kind]})"), F.lit(CONTEXT)).otherwise(F.lit(0.0)), F.lit(1.0))
+        after = F.lower(F.substr(text, e + 1, F.lit(NEAR)))
+        word = rf"\b(?:{WORDS[kind]})"
+        score = F.least(F.lit(SCORES[kind]) + F.when(near.rlike(word) | after.rlike(word), F.lit(CONTEXT)).otherwise(F.lit(0.0)), F.lit(1.0))
         span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), score.alias("score"))
         found = F.when(x["m"].isNotNull() & _confirmed(kind, x["m"]), F.filter(F.array(span), lambda v: v["score"] >= THRESHOLD))
         return F.struct(e.alias("at"), F.when(found.isNotNull(), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))

@@ -82,3 +82,10 @@ def test_odd_rows(odd, nothing):
     assert sum(r.n for r in rows) == 2
     assert pii.redact(odd).columns == [c for c in odd.columns if c != "_pii"]
     assert pii.find_pii(nothing).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kinds"), [("078-05-1120 (social security number)", ["ssn"]), ("078-05-1120 SSN", ["ssn"]), ("078-05-1120 is a part" + " " * 40 + "ssn", []), ("078-05-1120 lessons", [])])
+def test_context_after_a_span(spark, text, kinds):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [x.kind for x in pii.find_pii(df).first().pii] == kinds
+    assert ("078" in pii.redact(df).first().text) == (not kinds)
