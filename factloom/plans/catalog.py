@@ -122,8 +122,7 @@ def w9_synthesis_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w6_coverage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, W7: the merged hits and the rows that owners matching two terms add, before the last cut."""
-    branches = R.modules(spark, sf_dir).limit(0)
-    return W.query_set(R.hits(spark, sf_dir), branches, list(R.TERMS), k=10_000).select("owner_path", "line_range", "score", "reason")
+    return W.query_set(R.hits(spark, sf_dir), R.modules(spark, sf_dir), list(R.TERMS), k=10_000).select("owner_path", "line_range", "score", "reason")
 
 
 @query(f"WITH {R.HITS}, o AS (SELECT owner_path, count(DISTINCT term) AS n_terms FROM hits WHERE NOT contains(owner_path, '/tests/') AND contains(lower(owner_path), 'src1') GROUP BY owner_path) SELECT owner_path, n_terms FROM o")
@@ -522,7 +521,7 @@ def gr5_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT DISTINCT l_suppkey % 60 AS src, (l_suppkey % 60 * 7 + 3) % 60 AS dst FROM lineitem WHERE l_linenumber < 4), w2 AS (SELECT a.src AS s, b.dst AS n FROM e a JOIN e b ON a.dst = b.src), w3 AS (SELECT s, e.dst AS n FROM w2 JOIN e ON e.src = w2.n), w4 AS (SELECT s, e.dst AS n FROM w3 JOIN e ON e.src = w3.n) SELECT DISTINCT s AS node FROM (SELECT src AS s, dst AS n FROM e UNION SELECT * FROM w2 UNION SELECT * FROM w3 UNION SELECT * FROM w4) WHERE s = n")
 def gr10_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey") % 60
-    return G.cycles(R.table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(s.alias("src"), ((s * 7 + 3) % 60).alias("dst")), most=4)
+    return G.cycles(R.table(spark, sf_dir, "lineitem").select(s.alias("src"), ((s * 7 + 3) % 60).alias("dst")))
 
 
 # --- ranking and sets ------------------------------------------------------------------------------------------------

@@ -25,3 +25,15 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql_or_a_test():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_cycles_query_reads_all_lines(spark, tmp_path):
+    rows = [(k + 4, x) for k, x in enumerate((31, 40, 43, 4))]  # 31 -> 40 -> 43 -> 4 -> 31
+    spark.createDataFrame(rows, "l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.node for r in catalog.gr10_cycles(spark, str(tmp_path)).collect()) == [4, 31, 40, 43]
+
+
+def test_coverage_query_reads_the_modules(spark, sf_dir, monkeypatch):
+    m = spark.createDataFrame([("src/license/apache.ts", "source", ["x"])], "path string, role string, export_names array<string>")
+    monkeypatch.setattr(catalog.R, "modules", lambda *_: m)
+    assert "src/license/apache.ts" in {r.owner_path for r in catalog.w6_coverage_hits(spark, sf_dir).collect()}
