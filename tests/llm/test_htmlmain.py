@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from factloom.llm import htmlmain
 
@@ -34,12 +35,32 @@ def test_without_article_what_is_marked_goes():
 
 
 def test_classes_share_vectors():
-    pages = [htmlmain.read(p) for p in ("<body><article><p>a</p><p>b</p></article></body>", "<body><article><p>c</p></article></body>")]
-    found = htmlmain.classes_of(pages)
-    assert found[2, 1] == [("body", "article", "p")]
-    t = htmlmain.deduce(pages)
-    assert t.spine == [("body",), ("body", "article")]
-    assert t.nested == {("body", "article", "p"): 1}
+    paths = htmlmain.Paths()
+    pages = [htmlmain.read(p, paths) for p in ("<body><article><p>a</p><p>b</p></article></body>", "<body><article><p>c</p></article></body>")]
+    body, article, p = paths.node("body"), paths.node("body", "article"), paths.node("body", "article", "p")
+    assert htmlmain.classes_of(pages)[(0, 2), (1, 1)] == [p]
+    t = htmlmain.deduce(pages, paths)
+    assert t.spine == [body, article]
+    assert t.nested == {p: 1}
+
+
+def test_slots_decide_without_article_or_telling_names():
+    """The container that holds what varies is the main slot; a short varying note, a list of links and a varying footer beside it go."""
+    page = "<body><div class=q1><p>{0}</p></div><div class=q2><h1>Title {1}</h1></div><div class=q3><p>{2}</p><p>{3}</p></div><div class=q4><ul><li><a href=/{1}>Read story {1} too</a></ul></div><div class=q5>Seen {1} times</div></body>"
+    say = lambda i, k: f"Story {i} part {k} is told here at some length, as a story is, with more than a few words in it."
+    pages = [page.format(f"Offer {i}", i, say(i, 1), say(i, 2)) for i in range(5)]
+    assert htmlmain.texts_of(pages) == [f"Title {i}\n{say(i, 1)}\n{say(i, 2)}" for i in range(5)]
+    assert htmlmain.texts_of(pages[:1]) == [f"Offer 0\nTitle 0\n{say(0, 1)}\n{say(0, 2)}\nRead story 0 too\nSeen 0 times"]  # one page deduces nothing
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    took = []
+    for n in (25_000, 100_000):
+        began = time.process_time()
+        for page in ("<div>" * n + "deep", "<b>" * n + "<hr>" * n + "x", "<a " * n, "<![CDATA[" * n, "<!" * n, "<div class=ad>" * n + "y", "<i>" * n + "</b>" * n + "z"):
+            assert len(htmlmain.texts_of([page])) == 1
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.5)
 
 
 def test_broken_markup_ends():
@@ -84,3 +105,10 @@ def test_wrapper_with_a_listed_word_stays():
     assert htmlmain.texts_of([page.format(i) for i in range(4)]) == [f"Story {i} is a long one and is told here in full." for i in range(4)]
     inner = page.replace('<div class="content">', "<article>").replace('</div><div class="sidebar">', '</article><div class="sidebar">')
     assert htmlmain.texts_of([inner.format(i) for i in range(4)]) == [f"Story {i} is a long one and is told here in full." for i in range(4)]
+
+
+def test_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(htmlmain, "TWINS", 50)
+    df = spark.range(400).selectExpr("1 AS page_id", "'http://hot.example/' AS url", "'<body><article><p>same text</p></article></body>' AS html").repartition(8)
+    seen = htmlmain.main_texts(df, per_block=20)
+    assert [(r.text, r["count"]) for r in seen.groupBy("text").count().collect()] == [("same text", 400)]
