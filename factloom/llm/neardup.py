@@ -4,8 +4,9 @@ Each distinct token sequence is one class. A class posts itself under its signat
 under the rarest so many that two classes agreeing on enough coordinates (``agreement``) must meet in one list (prefix filter over one
 global order, rarest first). In a list nobody is paired with everybody: each member is paired with the list's hub, the
 class whose values are the most common. Only lists whose members are then still in different components stay open. Members
-of a short open list meet each other; those of long ones are dealt, by hub, into blocks of bounded size, each pair of blocks
-is compared at once on full sets, and only links that join components come out. All pairs are confirmed on full shingle sets.
+of a short open list meet each other; of a long one, the members outside the hub's component are dealt into blocks of bounded
+size, and each of these meets every block of the list, compared at once on full sets; members that the hub has joined don't meet
+each other, and only links that join components come out. All pairs are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -180,21 +181,28 @@ def _joins(share: int):
 
 
 def _long_lists(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) that join components among members (hub, rep, comp, n) of one hub: blocks of ``LOAD`` shingles, each pair of blocks once."""
-    loads = members.groupBy("hub").agg(F.ceil(F.sum("n") / LOAD).cast("int").alias("blocks"))
-    dealt = members.join(loads, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    """Links (a, b) that join components among members (hub, rep, comp, n) of one hub. Those of the hub's own component (comp = hub_comp) are dealt into
+    even blocks of ``LOAD`` shingles, the others into odd ones; each pair of blocks is compared once, two even ones never."""
+    out = (F.col("comp") != F.col("hub_comp")).cast("int")
+    sided = members.withColumn("side", out)
+    loads = sided.groupBy("hub").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("side") == x, F.col("n"))), F.lit(0)) / LOAD).cast("int").alias(f"blocks{x}") for x in (0, 1)])
+    blocks = F.when(F.col("side") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))
+    dealt = sided.join(loads, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int") * 2 + F.col("side")).join(sets, "rep")
+    odd = F.transform(F.sequence(F.lit(0), F.col("blocks1") - 1), lambda x: x * 2 + 1)  # a list with another component has an odd block
+    even = F.when(F.col("blocks0") > 0, F.transform(F.sequence(F.lit(0), F.greatest("blocks0", F.lit(1)) - 1), lambda x: x * 2)).otherwise(F.array().cast("array<int>"))
+    other = F.explode(F.when(F.col("side") == 0, odd).otherwise(F.concat(even, odd)))
     pairs = dealt.select("hub", "rep", "comp", "block", "s", other.alias("other"))
     pairs = pairs.select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "s")
     return pairs.groupBy("hub", "lo", "hi").applyInArrow(_joins(share), "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: documents are linked where 100 * intersection >= ``share`` * union of their sets of ``size``-word shingles.
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), text_kept for every row: documents are linked where 100 * intersection >= ``share`` * union of their sets of ``size``-word shingles.
 
     component_id is the smallest doc_id reachable; kept says that it is the row's own. Null and empty texts have no shingles
     and no links and are kept; rows of a null doc_id take no part: component_id null, kept false. Repeated rows of one
-    doc_id each stay; if their texts differ they are one document that has the links of each of its texts. An empty table gives no rows. Columns beyond doc_id and text are not read.
+    doc_id each stay; if their texts differ they are one document that has the links of each of its texts. text_kept looks at the row's own
+    text instead: no smaller id has this text or one that links reach from it; it is true for rows without shingles or id. An empty table gives no rows. Columns beyond doc_id and text are not read.
     """
     kind = documents.schema["doc_id"].dataType
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")  # h tells the texts of one id apart
@@ -221,7 +229,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     eligible = lists.select("rep").distinct().join(classes.select("rep", "doc_id", "h"), "rep")
     texts = docs.join(eligible.hint("shuffle_hash"), ["doc_id", "h"]).groupBy("doc_id", "h", "rep").agg(F.max("text").alias("text"))
     sets = cut(_sets(texts, size))
-    first = cut(_confirmed(best, sets, share).unionAll(same))
+    first = cut(_confirmed(best, sets, share))
     comp = components(first)
 
     member = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("i", "v", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -232,12 +240,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     rest = short.withColumnRenamed("rep", "a").join(other, ["i", "v"]).where("comp < comp_b").select("a", "b").distinct()
     more = _confirmed(_agreeing(rest, classes, share), sets, share)
     long = open_.where(F.col("c") > SHORT).join(hubs.withColumnRenamed("b", "hub"), ["i", "v"]).select("hub", "rep", "comp").distinct()
-    joined = _long_lists(long.join(classes.select("rep", "n"), "rep"), sets, share)
-    final = components(first.unionAll(more).unionAll(joined))
-
-    linked = final.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id"), "rep")
-    linked = linked.join(linked.groupBy("comp").agg(F.min("doc_id").alias("low")), "comp").select("rep", "low")
-    by_class = classes.join(linked, "rep", "left").select("digest", F.coalesce("low", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(by_class, "digest", "left")
+    hub_comp = long.where("rep = hub").select("hub", F.col("comp").alias("hub_comp"))
+    joined = _long_lists(long.join(hub_comp, "hub").join(classes.select("rep", "n"), "rep"), sets, share)
+    texts_linked = components(first.unionAll(more).unionAll(joined))
+    final = texts_linked if same.isEmpty() else components(texts_linked.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(same))
+
+    def lowest(linked: DataFrame, name: str) -> DataFrame:
+        held = linked.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id"), "rep")
+        return held.join(held.groupBy("comp").agg(F.min("doc_id").alias(name)), "comp").select("rep", name)
+
+    by_class = classes.join(lowest(final, "low"), "rep", "left").join(lowest(texts_linked, "text_low"), "rep", "left")
+    by_class = by_class.select("digest", F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("text_low", "doc_id").alias("text_low"))
+    out = signed.select("doc_id", F.col("h").alias("text_hash"), "digest", F.col("n").alias("n_shingles")).join(by_class, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", own.cast(kind).alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", own.cast(kind).alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(False)).alias("kept"), "text_hash", F.coalesce(F.col("text_low") == F.col("doc_id"), F.lit(True)).alias("text_kept"))

@@ -148,11 +148,11 @@ def _with_features(df: DataFrame) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     """Fits on labelled rows whose crc32(doc_id as text) mod 3 is not 1, at most ``sample`` of them. Null ids and labels other
-    than 0 and 1 are left out; of an id with both labels the lower counts; of repeated documents one is read."""
+    than 0 and 1 are left out; of an id with both labels the lower counts; of an id with several texts the least is read, however many rows it has."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % 3 != 1))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers, so they go to every executor
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     rows = _with_features(texts).orderBy(F.xxhash64("x", "quality"), "quality").limit(sample).collect()
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return Gam().fit(x, np.array([r.quality for r in rows], dtype=float))

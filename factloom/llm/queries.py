@@ -65,7 +65,7 @@ def op10_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -85,3 +85,19 @@ def test_each_text_of_one_id_keeps_its_links(spark):
     rows = [(5, a), (5, b), (9, a), (11, a + " z"), (13, b + " z"), (20, "c d e f"), (20, b + " z y"), (30, "c d e f"), (40, "other words")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [*((i, 5) for i in (5, 5, 9, 11, 13, 20, 20, 30)), (40, 40)]
+
+
+def test_rows_of_one_id_are_one_document_and_each_text_counts(spark):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(1, x), (1, y), (2, x + " more"), (3, "a b c d"), (4, "e f g h"), (5, "a b c d"), (5, "e f g h"), (5, "c d e f"), (7, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (5, 3), (5, 3), (7, 7)]
+    assert sorted((r.doc_id, r.n_shingles) for r in got if r.text_kept) == [(1, 38), (1, 38), (3, 2), (4, 2), (5, 2), (7, 0)]
+
+
+def test_long_list_of_several_groups(spark, monkeypatch):
+    """Groups around texts of their own that share lists with one hub: only what is outside the hub's component meets all."""
+    monkeypatch.setattr(neardup, "LOAD", 5_000)
+    monkeypatch.setattr(neardup, "SHORT", 8)
+    rows = copies(120, 6, seed=1) + [(i + 100_000, t) for i, t in copies(120, 14, seed=1)] + [(i + 200_000, t + " q1 q2 q3 q4 q5 q6 q7 q8") for i, t in copies(60, 9, seed=1)]
+    agrees(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 85), brute(rows, 3, 85))

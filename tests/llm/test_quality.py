@@ -1,3 +1,6 @@
+from bisect import bisect_right
+from math import exp, isclose
+
 import numpy as np
 
 from factloom.llm import quality, queries
@@ -13,6 +16,35 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def one_score(model, text):
+    """The score of one text, table entry by table entry."""
+    x = quality.features(text)
+    raw = model.base + sum(t[bisect_right(list(e), v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+    for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+        raw += t[bisect_right(list(model.pair_edges[i]), x[i])][bisect_right(list(model.pair_edges[j]), x[j])]
+    return 1 / (1 + exp(-raw))
+
+
+def test_scores_are_sums_of_table_entries(spark, documents, sf_dir):
+    model = quality.train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = quality.with_scores(documents, model).collect()
+    assert rows and all(isclose(r.quality_score, one_score(model, r.text), rel_tol=1e-9) for r in rows)
+
+
+def test_the_fit_sees_just_the_training_rows(spark, documents, sf_dir):
+    """The same tables as a fit on rows chosen in plain Python; repeated rows change nothing."""
+    from zlib import crc32
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = sorted((quality.features(texts[r.doc_id]), r.quality) for r in labels.collect() if r.doc_id in texts and crc32(str(r.doc_id).encode()) % 3 != 1)
+    want = quality.Gam().fit(np.array([x for x, _ in rows]), np.array([y for _, y in rows], dtype=float))
+    for docs in (documents, documents.unionAll(documents)):
+        got = quality.train(docs, labels)
+        assert got.pairs == want.pairs
+        assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got.tables, want.tables, strict=True))
+
+
 def test_pairs_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
