@@ -25,9 +25,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group of near-duplicates, five-word shingles at a similarity of 0.8. Rows of one id are one document and stay together; rows without id stay."""
-    lost = neardup.near_duplicates(docs, size=5, share=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(lost.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicate texts, five-word shingles at a similarity of 0.8, the rows of the smallest id. A row goes only for its own text: of an id with several texts those without a copy stay. Rows without id stay."""
+    lost = neardup.near_duplicates(docs, size=5, share=80).where("NOT text_kept").select("doc_id", "text_hash").distinct()
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(lost.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
