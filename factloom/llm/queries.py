@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import annsearch, bpe, decontam, fixity, htmlmain, lm, neardup, pii, quality, sharding
-from factloom.llm.common import id_crc, table
+from factloom.llm.common import id_crc, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -19,12 +19,13 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages against a replica in which every 500th is altered and every 700th is lost."""
+    """The pages against a replica in which every 500th is altered, every 700th is lost and every 900th has a strange one beside it."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     replica = pages.where("page_id % 700 != 5 OR page_id IS NULL").withColumn("html", F.when(F.col("page_id") % 500 == 3, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
-    found = fixity.audit(fixity.records(pages), fixity.records(replica))
-    page = F.col("file") * fixity.FAN**fixity.LEVELS + F.col("offset")
-    return found.select(page.alias("page_id"), "status", "left_digest", "right_digest")
+    strange = pages.where("page_id % 900 = 7").withColumn("page_id", -1 - F.col("page_id"))
+    archive = stored(fixity.records(pages))
+    found = fixity.byte_ranges(fixity.audit(archive, fixity.records(replica.unionAll(strange))), archive)
+    return found.select(fixity.key_of(F.col("file"), F.col("offset")).alias("page_id"), "status", "left_digest", "right_digest", "byte_offset", "n_bytes")
 
 
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_hilbert_sharding, op2_merkle_fixity, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text)
 }
 ORACLE_SQL: dict[str, str] = {
-    "op2_merkle_fixity": """SELECT page_id, CASE WHEN page_id % 700 = 5 THEN 'missing' ELSE 'changed' END AS status, sha256(url || chr(10) || html) AS left_digest,
- CASE WHEN page_id % 700 = 5 THEN NULL ELSE sha256(url || chr(10) || html || '!') END AS right_digest FROM pages WHERE page_id % 500 = 3 OR page_id % 700 = 5""",
+    "op2_merkle_fixity": """WITH n AS (SELECT page_id, url, html, strlen(url) + strlen(html) + length(CAST(strlen(html) AS VARCHAR)) + length('WARC/1.0..WARC-Type: response..WARC-Target-URI: ..Content-Length: ........') AS n_bytes FROM pages),
+ a AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_offset FROM n)
+ SELECT page_id, CASE WHEN page_id % 700 = 5 THEN 'missing' ELSE 'changed' END AS status, sha256(url || chr(10) || html) AS left_digest, CASE WHEN page_id % 700 = 5 THEN NULL ELSE sha256(url || chr(10) || html || '!') END AS right_digest,
+  CAST(byte_offset AS BIGINT) AS byte_offset, CAST(n_bytes AS BIGINT) AS n_bytes FROM a WHERE page_id % 500 = 3 OR page_id % 700 = 5
+ UNION ALL SELECT -1 - page_id, 'extra', NULL, sha256(url || chr(10) || html), NULL, NULL FROM pages WHERE page_id % 900 = 7""",
 }

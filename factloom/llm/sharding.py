@@ -6,12 +6,13 @@ whatever it is stored with. The global rank comes from one range exchange of nar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import cut, stored
 
 
 def log_cell(value: Column, bits: int, per_octave: int = 2) -> Column:
@@ -51,13 +52,13 @@ def with_hilbert_index(df: DataFrame, cells: list[Column], bits: int, name: str
     return out.withColumn(name, reduce(lambda a, b: a + b, parts)).drop("_axes", "_gray", "_flip")
 
 
-def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+def cut_runs(df: DataFrame, order: list[str], shards: int, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Adds shard (int) and slot (long): the rows in global ``order``, cut into ``shards`` runs of row counts at most one apart.
 
     Rows are dealt by range and sorted in place; a row's rank is its place in its partition plus the counts of the
-    partitions before. The ranked rows are cut off from their plan first, so that a task run again can't see other ranges.
+    partitions before. The ranked rows are cut off from their plan first (by ``keep``), so that a task run again can't see other ranges.
     """
-    ranked = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranked = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
     counts = ranked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,6 +71,16 @@ def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     return placed.withColumn("slot", F.expr(f"_rank - (shard * _all + {shards - 1}L) DIV {shards}L")).drop("_at", "_part", "_before", "_all", "_rank")
 
 
+def _measured(documents: DataFrame, bits: int) -> DataFrame:
+    """The rows with size, text_crc32 and hilbert; columns of these names are replaced."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sized = documents.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8"))})
+    return with_hilbert_index(sized, [log_cell(F.col("size"), bits), name_cell(F.col("source"), bits), name_cell(F.col("lang"), bits)], bits)
+
+
+ORDER = ["hilbert", "doc_id", "text_crc32"]
+
+
 def hilbert_shards(documents: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame:
     """All documents in ``shards`` runs of the curve over size, source and language.
 
@@ -77,10 +88,8 @@ def hilbert_shards(documents: DataFrame, shards: int = 8, bits: int = 5) -> Data
     Null ids, sources and languages keep their rows (ids sort first); equal rows each get a slot of their own; an empty
     table gives no rows; columns beyond doc_id, text, lang and source are not read.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    narrow = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), "source", "lang")
-    cells = [log_cell(F.col("size"), bits), name_cell(F.col("source"), bits), name_cell(F.col("lang"), bits)]
-    return cut_runs(with_hilbert_index(narrow, cells, bits), ["hilbert", "doc_id", "text_crc32"], shards)
+    measured = _measured(documents.select("doc_id", "text", "source", "lang"), bits)
+    return cut_runs(measured.select("doc_id", "size", "text_crc32", "source", "lang", "hilbert"), ORDER, shards)
 
 
 def pruning_manifest(placed: DataFrame) -> DataFrame:
@@ -91,7 +100,11 @@ def pruning_manifest(placed: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(documents: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder for each shard, in slot order within each file."""
-    place = placed.select("doc_id", "shard", "slot", "hilbert").dropDuplicates(["doc_id"])
-    documents.join(place, "doc_id").repartition("shard", F.shiftright("slot", 17)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, path: str, shards: int = 8, bits: int = 5) -> None:
+    """The documents, every row once and all columns, as Parquet: one folder for each shard, in slot order within each file, with size, text_crc32, hilbert and slot.
+
+    The rows themselves go through the one range exchange and are cut where ``hilbert_shards`` cuts them, so that null ids, repeated
+    ids and equal rows need no join. Columns of the added names are replaced; of an empty table only the schema is written.
+    """
+    placed = cut_runs(_measured(documents.drop("shard", "slot"), bits), ORDER, shards, keep=stored)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

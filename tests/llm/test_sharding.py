@@ -46,6 +46,21 @@ def test_manifest_and_files(spark, documents, tmp_path):
     m = sharding.pruning_manifest(placed).orderBy("shard").collect()
     assert sum(r.n_rows for r in m) == documents.count()
     assert all(a.hilbert_to <= b.hilbert_from for a, b in zip(m, m[1:], strict=False))
-    sharding.write_shards(documents, placed, str(tmp_path / "out"))
+    sharding.write_shards(documents, str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.doc_id for r in back.select("doc_id").collect()) == sorted(r.doc_id for r in documents.select("doc_id").collect())
+    assert sorted(map(tuple, back.select("doc_id", "text", "shard", "slot").collect())) == sorted((r.doc_id, r.text, r.shard, r.slot) for r in placed.join(documents.select("doc_id", "text"), "doc_id").collect())
+
+
+def test_every_odd_row_is_written_once(spark, odd, nothing, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "out"), 3)
+    back = check(spark.read.parquet(str(tmp_path / "out")), 3)
+    same = lambda rows: sorted((repr(r.doc_id), repr(r.text), r.lang, repr(r.source), r.digest) for r in rows)
+    assert same(back) == same(odd.collect())
+    assert {(r.doc_id, r.text_crc32) for r in back} == {(r.doc_id, r.text_crc32) for r in sharding.hilbert_shards(odd, 3).collect()}
+    sharding.write_shards(nothing, str(tmp_path / "none"))
+
+
+def test_manifest_of_odd_rows(odd, nothing):
+    m = sharding.pruning_manifest(sharding.hilbert_shards(odd, 3)).collect()
+    assert sum(r.n_rows for r in m) == 10 and sum(r["bytes"] for r in m) == sum(len((r.text or "").encode()) + 1 for r in odd.collect())
+    assert sharding.pruning_manifest(sharding.hilbert_shards(nothing, 3)).count() == 0
