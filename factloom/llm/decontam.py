@@ -3,19 +3,26 @@
 An item with an error budget of k is split into k + 1 pieces: of any occurrence within the budget at least one piece is
 exact. Pieces are found by one automaton over each whole text; a hit climbs a tree of ever longer runs of pieces, each
 verified by Myers' bit-parallel distance within its own budget, so that chance hits end at the first, shortest run.
-Items are read in blocks of bounded size, each held against all documents.
+Items are read in blocks of bounded size, each held against all documents; of several blocks one is sent at a time, and what
+it found is written before the next one is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from factloom.llm.common import stored
+
 PER_ERROR = 12  # one error in the budget for so many signs of an item
 BLOCK = 2_000_000  # signs of items that are sent to the executors at a time
 
@@ -110,19 +117,40 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
-    held, n = [], 0
+    held, n, some = [], 0, False
     for r in benchmark.select("item_id", "text").toLocalIterator():
         held.append((r.item_id, normal(r.text)))
         n += len(held[-1][1])
         if n >= block:
             yield held
-            held, n = [], 0
-    yield held
+            held, n, some = [], 0, True
+    if held or not some:
+        yield held
+
+
+_built: dict[str, Matcher] = {}  # in a worker: the matcher of the block at hand
+
 
+def _matcher(name: str, sent: Broadcast, per_error: int) -> Matcher:
+    """The block's automaton, built once in a worker; the block before is let go."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(sent.value, per_error)
+    return _built[name]
 
-def _sent(documents: DataFrame, items: list[tuple[int, str]]):
-    """A block of items on every executor: at most ``BLOCK`` signs and one item."""
-    return documents.sparkSession.sparkContext.broadcast(items)
+
+def _by_blocks(documents: DataFrame, benchmark: DataFrame, block: int, against: Callable[[Broadcast, str], DataFrame]) -> Iterator[DataFrame]:
+    """What each block of items finds, lazily for a single block; of several each is written, and its items are taken back, before the next is sent. A block has at most ``block`` signs and one item."""
+    send = lambda items: (documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex)
+    blocks = _blocks(benchmark, block)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        yield against(*send(first))
+        return
+    for items in chain((first, second), blocks):
+        sent, name = send(items)
+        yield stored(against(sent, name))
+        sent.destroy()
 
 
 def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block: int = BLOCK) -> DataFrame:
@@ -136,11 +164,11 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = P
     names = ["doc_id", "item_id", "distance", "budget", "start", "end"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, budget int, start int, end int"
 
-    def held_against(items: list[tuple[int, str]]) -> DataFrame:
-        sent = _sent(documents, items)
+    schema_item = to_arrow_type(benchmark.schema["item_id"].dataType)
 
+    def against(sent: Broadcast, name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, per_error)
+            matcher = _matcher(name, sent, per_error)
             for b in batches:
                 rows, found = [], []
                 for i, t in enumerate(b.column("text").to_pylist()):
@@ -153,21 +181,41 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = P
 
         return documents.select("doc_id", "text").mapInArrow(run, schema)
 
-    schema_item = to_arrow_type(benchmark.schema["item_id"].dataType)
-    return reduce(DataFrame.unionAll, [held_against(items) for items in _blocks(benchmark, block)])
+    return reduce(DataFrame.unionAll, _by_blocks(documents, benchmark, block, against))
 
 
 def without_passages(documents: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block: int = BLOCK) -> DataFrame:
-    """The documents, all columns, in whose whole text no item occurs within its budget; the rules are those of ``find_passages``. One pass for each block of items, without a shuffle."""
+    """The documents, all columns, in whose whole text no item occurs within its budget; the rules are those of ``find_passages``.
 
-    def held_against(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        sent = _sent(df, items)
+    One block of items filters in one pass without a shuffle; of several blocks each tells the digests of the texts that it hit,
+    and the documents of these texts go.
+    """
+    items = list(_first_blocks(benchmark, block))
+    if len(items) == 1:
+        sent, name = documents.sparkSession.sparkContext.broadcast(items[0]), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, per_error)
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, per_error)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(normal(t)) for t in b.column("text").to_pylist()], pa.bool_()))
 
-        return df.mapInArrow(run, df.schema)
+        return documents.mapInArrow(clean, documents.schema)
+
+    def against(sent: Broadcast, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(name, sent, per_error)
+            for b in batches:
+                yield b.select(["_text"]).filter(pa.array([bool(matcher.find(normal(t))) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return documents.select(F.md5(F.encode("text", "UTF-8")).alias("_text"), "text").mapInArrow(run, "_text string")
+
+    hit = reduce(DataFrame.unionAll, _by_blocks(documents, benchmark, block, against)).distinct()
+    return documents.withColumn("_text", F.md5(F.encode("text", "UTF-8"))).join(hit, "_text", "left_anti").select(*documents.columns)
+
 
-    return reduce(held_against, _blocks(benchmark, block), documents)
+def _first_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:
+    """The first block and, if there is more, an empty one: enough to see whether one is all."""
+    blocks = _blocks(benchmark, block)
+    yield next(blocks)
+    if next(blocks, None) is not None:
+        yield []

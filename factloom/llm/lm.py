@@ -10,8 +10,10 @@ to right carries the state and sums the arcs' log10 weights:
 
 The model grows with the corpus and is never gathered in one place. Documents are dealt into blocks of bounded bytes; each
 block asks for the counts of just the n-grams that it holds, bucketed by hash; a bucket sums what all blocks counted and
-answers each; a block then walks its part of the automaton over its own texts. Tokens and bigrams are known by 64-bit hashes
-(two different ones of 100 million share one with a probability of about 3 in 10,000).
+answers each; a block then walks its part of the automaton over its own texts. A bucket that a block holds nothing of is not
+asked, so there are never more messages than n-grams in the blocks, however many blocks meet however many buckets. The corpus'
+own two numbers, its tokens and its distinct tokens, are summed over the buckets apart. Tokens and bigrams are known by 64-bit
+hashes (two different ones of 100 million share one with a probability of about 3 in 10,000).
 """
 
 from __future__ import annotations
@@ -124,34 +126,40 @@ def _ask(buckets: int):
         for h, c in zip((block.tokens, block.bigrams), counts, strict=True):
             ends = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
             parts.append([(_pack_sorted(h[a:b]), _pack(c[a:b])) for a, b in zip(ends, ends[1:], strict=False)])
-        # a bucket is asked even for nothing: its answer says how many tokens it has
-        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*parts, strict=True))]
-        columns = list(zip(*rows, strict=True))
+        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["block", "bucket", "tokens", "token_counts", "bigrams", "bigram_counts"])
 
     return run
 
 
+def _sums(table: pa.Table, name: str, counted: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of one bucket's messages: each distinct hash's sum, the place of every asked hash among these, and where each message's hashes end."""
+    h = [_unpack_sorted(x) for x in table.column(name).to_pylist()]
+    c = np.concatenate([_unpack(x, np.int64) for x in table.column(counted).to_pylist()])
+    keys, at = np.unique(np.concatenate(h), return_inverse=True)
+    return np.bincount(at, c, len(keys)).astype(np.int64), at, np.cumsum([len(x) for x in h]).tolist()
+
+
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one bucket: to each block the whole corpus' counts of what it asked for, and how many tokens the bucket has, distinct and all."""
-    blocks, out, facts = table.column("block").to_pylist(), [], (0, 0)
+    """Of one bucket: to each block that asked the whole corpus' counts of what it asked for."""
+    out = []
     for name, counted in (("tokens", "token_counts"), ("bigrams", "bigram_counts")):
-        h = [_unpack_sorted(x) for x in table.column(name).to_pylist()]
-        c = np.concatenate([_unpack(x, np.int64) for x in table.column(counted).to_pylist()])
-        keys, at = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.bincount(at, c, len(keys)).astype(np.int64)
-        if name == "tokens":
-            facts = (int((total > 0).sum()), int(total.sum()))
-        whole, ends = total[at], np.cumsum([len(x) for x in h])
-        out.append([_pack(x) for x in np.split(whole, ends[:-1])])
-    v, n = ([x] * len(blocks) for x in facts)
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    columns = [blocks, [key[0].as_py()] * len(blocks), *out, v, n]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["block", "bucket", "c", "cc", "v", "n"])
-
-
-def score_documents(documents: DataFrame, held_out: int = 10, k: float = K, block: int = BLOCK) -> DataFrame:
+        total, at, ends = _sums(table, name, counted)
+        out.append([_pack(x) for x in np.split(total[at], ends[:-1])])
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [table.column("block").to_pylist(), [key[0].as_py()] * table.num_rows, *out]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["block", "bucket", "c", "cc"])
+
+
+def _facts(table: pa.Table) -> pa.Table:
+    """Of one bucket: how many tokens it has, distinct and all."""
+    total = _sums(table, "tokens", "token_counts")[0]
+    return pa.table([pa.array([int((total > 0).sum())], pa.int64()), pa.array([int(total.sum())], pa.int64())], ["v", "n"])
+
+
+def score_documents(documents: DataFrame, held_out: int = 10, k: float = K, block: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; the model learns from rows whose crc32(doc_id as text) mod ``held_out`` is not 0.
 
     Null and empty texts are one end token; a null id counts as the empty text in the remainder; repeated rows count and are
@@ -159,18 +167,22 @@ def score_documents(documents: DataFrame, held_out: int = 10, k: float = K, bloc
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     size = documents.agg(F.sum(F.octet_length("text").cast("bigint") + 16)).first()[0] or 0
+    block = block or int(BLOCK * min(max((size / 4e9) ** 0.5, 1), 2))  # fewer and larger messages for large inputs, as far as memory allows
     blocks = -(-size // block) or 1
     buckets = -(-blocks // 2)
     rest = id_crc(F.col("doc_id")) % held_out
     dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text", (rest != 0).alias("learns"))
     asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block int, bucket int, tokens binary, token_counts binary, bigrams binary, bigram_counts binary")
     # the texts are dealt once: both the asking and the walking read the same exchange
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, c binary, cc binary, v bigint, n bigint")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, c binary, cc binary")
+    # two numbers over the same exchange, for every answer
+    facts = asked.groupBy("bucket").applyInArrow(_facts, "v bigint, n bigint").agg(F.struct(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))).scalar()
+    answers = answers.withColumn("_f", facts).select("block", "bucket", "c", "cc", "_f.v", "_f.n")
 
     def walk(texts: pa.Table, given: pa.Table) -> pa.Table:
         given = given.sort_by("bucket")
         counts = [np.concatenate([np.zeros(0, np.int64), *(_unpack(x, np.int64) for x in given.column(name).to_pylist())]) for name in ("c", "cc")]
-        v, n = (sum(given.column(x).to_pylist()) for x in ("v", "n"))
+        v, n = (given.column(x)[0].as_py() for x in ("v", "n"))
         found = Block(texts.column("text").to_pylist()).walk(*counts, n, v, k)
         held = pa.array(~texts.column("learns").to_numpy(zero_copy_only=False))
         columns = [texts.column("doc_id"), held, *(pa.array(found[x], pa.int64()) for x in ("n_tokens", "n_known")), pa.array(np.full(len(held), n), pa.int64()), *(pa.array(found[x], pa.float64()) for x in ("base_score", "score"))]

@@ -68,3 +68,27 @@ def test_odd_rows(spark, odd, nothing):
     assert decontam.find_passages(nothing, items).count() == 0
     assert decontam.find_passages(odd, items.limit(0)).count() == 0
     assert decontam.without_passages(odd, items).count() == 7
+
+
+def test_documents_of_equal_texts_go_together(spark, odd):
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(("alpha beta gamma", "no id here", "words of no document", "lorem ipsum dolor"))], "item_id long, text string")
+    docs = odd.selectExpr("*", "'q' AS _text")
+    for block in (decontam.BLOCK, 5):  # one block, and one for each item
+        left = decontam.without_passages(docs, items, block=block)
+        assert left.columns == docs.columns
+        assert sorted(repr(r.doc_id) for r in left.collect()) == ["2", "3", "6", "7", "8"]
+        assert decontam.find_passages(docs, items, block=block).count() == 5
+
+
+def test_documents_as_brute_force(spark, sf_dir, documents):
+    """Distances of every document and item, by the plain recurrence, on a few documents and all items."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = {r.item_id: decontam.normal(r.text) for r in benchmark.collect()}
+    items = dict(sorted(items.items(), key=lambda x: len(x[1]))[:12])
+    some = [r for r in documents.collect() if r.text and len(r.text) < 700][:40]
+    texts = [(r.doc_id, r.text) for r in some] + [(10_000 + i, f"before {t[: len(t) // 2]}q{t[len(t) // 2 + 1 :]} after") for i, t in items.items()]
+    want = {(d, i, k) for d, text in texts for i, t in items.items() if (k := least(t, decontam.normal(text))) <= len(t) // decontam.PER_ERROR}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontam.find_passages(docs, benchmark.where(benchmark.item_id.isin(list(items)))).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == want
+    assert len(want) >= len(items)

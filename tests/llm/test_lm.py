@@ -41,7 +41,7 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block", [lm.BLOCK, 40_000])
+@pytest.mark.parametrize("block", [lm.BLOCK, 40_000, 2_000])
 def test_documents(documents, block):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     got = {r.doc_id: tuple(r) for r in lm.score_documents(documents, block=block).collect()}
