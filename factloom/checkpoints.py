@@ -1,4 +1,4 @@
-"""Where iterative plans cut their lineage: the folder that the cluster names in spark.checkpoint.dir, one of our own only where it is unset."""
+"""Where iterative plans cut their lineage: the folder that the cluster names in spark.checkpoint.dir, on one machine one of our own where it is unset."""
 
 from __future__ import annotations
 
@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
