@@ -33,10 +33,10 @@ def distinct_targets(edges: DataFrame, least: int = 2) -> DataFrame:
 
 
 def repeated_specifiers(edges: DataFrame, least: int = 5, per_branch: int = 3, overall: int = 20) -> DataFrame:
-    """Specifiers that a branch uses so often, the most frequent of each branch, the first of all."""
-    n = edges.groupBy("from_path", "module_specifier").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy("from_path").orderBy(F.desc("n"), "module_specifier")
-    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_branch).orderBy(F.desc("n"), "from_path", "module_specifier").limit(overall)
+    """Specifiers that a branch uses so often: of each branch those first seen, and the first branches by path."""
+    n = edges.groupBy("from_path", "module_specifier").agg(F.count("*").alias("n"), F.min("seq").alias("first")).where(F.col("n") >= least)
+    w = Window.partitionBy("from_path").orderBy("first", "module_specifier")
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_branch).orderBy("from_path", "rank").limit(overall).drop("first")
 
 
 def term_coverage(hits: DataFrame) -> DataFrame:

@@ -155,14 +155,20 @@ def item_order(items: DataFrame) -> DataFrame:
     return items.orderBy(F.when(F.col("name").rlike(NEXT_ACTIONS), 0).otherwise(1), kind, "line", "name")
 
 
+# fixed values: exports from which a facade, and a source, needs a comment
+FACADE_EXPORTS, SOURCE_EXPORTS = 3, 8
+
+
 def undocumented(branches: DataFrame, k: int = 8) -> DataFrame:
-    """Branches without an intent comment: facades first, then by exports, then by path."""
-    return branches.where("NOT has_intent_doc").orderBy(F.when(F.col("role") == "facade", 0).otherwise(1), F.desc(F.size("export_names")), "path").limit(k)
+    """Facades and sources of so many exports without an intent comment: facades first, then by exports, then by path."""
+    facade, n = F.col("role") == "facade", F.size("export_names")
+    needs = (facade & (n >= FACADE_EXPORTS)) | ((F.col("role") == "source") & (n >= SOURCE_EXPORTS))
+    return branches.where(needs & ~F.col("has_intent_doc")).orderBy(F.when(facade, 0).otherwise(1), F.desc(n), "path").limit(k)
 
 
 def finding_order(findings: DataFrame) -> DataFrame:
-    """By one text of rule, path, line (as text) and summary."""
-    return findings.orderBy(F.concat_ws("\x00", "rule_id", "path", F.col("line").cast("string"), "summary"))
+    """By one text of rule, path, line (as text) and summary; then by sequence."""
+    return findings.orderBy(F.concat_ws("\x00", "rule_id", "path", F.col("line").cast("string"), "summary"), "seq")
 
 
 def dependency_scores(imports: DataFrame, query: str, from_manifest: Column | None = None) -> DataFrame:

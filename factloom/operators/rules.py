@@ -24,13 +24,18 @@ TEST_UTILITIES = ("TestClock", "TestServices", "TestAnnotations", "TestAnnotatio
 
 
 class Catalog:
-    """Relations by name; those that are missing are empty."""
+    """Relations by name; those that are missing are empty. A relation may be given as a function that makes it when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame | Callable[[], DataFrame]]):
         self.spark, self.relations = spark, relations
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.relations[name] if name in self.relations else empty(self.spark, name)
+        found = self.relations.get(name)
+        if found is None:
+            return empty(self.spark, name)
+        if not isinstance(found, DataFrame):
+            found = self.relations[name] = found()
+        return found
 
     @property
     def source_modules(self) -> DataFrame:
@@ -50,7 +55,7 @@ class Catalog:
     def dependencies(self) -> DataFrame:
         from factloom.operators.joins import owner_dependencies
 
-        return self.relations["owner_dependencies"] if "owner_dependencies" in self.relations else owner_dependencies(self["edges"], self["modules"])
+        return self["owner_dependencies"] if "owner_dependencies" in self.relations else owner_dependencies(self["edges"], self["modules"])
 
 
 @dataclass(frozen=True)
@@ -126,10 +131,11 @@ def _no_config(c: Catalog) -> DataFrame:
 
 @register_rule("TS-AGENT-PROJECT-004", "project", "info", "Referenced packages are composite")
 def _references(c: Catalog) -> DataFrame:
-    yes = lambda n: F.coalesce(F.col(n), F.lit(False))
-    lacks = F.array_compact(F.array(F.when(F.col("config_path").isNull(), "config"), F.when(F.col("config_path").isNotNull() & ~yes("composite"), "composite"), F.when(F.col("config_path").isNotNull() & ~yes("declaration"), "declaration")))
+    """A package without a configuration, or whose options lack one of two; options that can't be known (null) are not judged."""
+    known = F.col("config_path").isNotNull()
+    lacks = F.array_compact(F.array(F.when(~known, "config"), F.when(known & ~F.col("composite"), "composite"), F.when(known & ~F.col("declaration"), "declaration")))
     r = c["reference_packages"].withColumn("lacks", lacks).where("size(lacks) > 0")
-    return _rows(r, _text("lacks ", F.array_join("lacks", ", ")), labels={"lacks": F.array_join("lacks", ",")})
+    return _rows(r, _text(F.coalesce("name", "path"), " lacks ", F.array_join("lacks", ", ")), labels={"lacks": F.array_join("lacks", ",")}, path=F.coalesce("config_path", F.concat("path", F.lit("/package.json"))))
 
 
 @register_rule("TS-AGENT-PROJECT-005", "project", "info", "Module resolution knows package entries")
@@ -262,13 +268,18 @@ def _variants(c: Catalog) -> DataFrame:
 @register_rule("TS-AGENT-POLICY-013", "agent-policy", "info", "Owners say what they are for")
 def _undocumented(c: Catalog) -> DataFrame:
     from factloom.operators.ranking import undocumented
+    from factloom.operators.search import branches
 
-    return _rows(undocumented(c.source_modules), F.lit("no comment says what the module is for"))
+    return _rows(undocumented(branches(c)), _text(F.size("export_names"), " exports and no comment that says what the module is for"), labels={"exports": F.size("export_names")})
 
 
 @register_rule("TS-AGENT-POLICY-014", "agent-policy", "info", "One import for each specifier")
 def _repeated(c: Catalog) -> DataFrame:
-    return _rows(A.repeated_specifiers(c.dependencies), _text(F.col("module_specifier"), " is imported ", F.col("n"), " times"), labels={"specifier": F.col("module_specifier")}, path=F.col("from_path"))
+    from factloom.operators.search import branches
+
+    own = branches(c).where("role IN ('source', 'facade')").select(F.col("path").alias("from_path"))
+    d = c.dependencies.where("NOT is_test_context").join(own, "from_path", "left_semi")
+    return _rows(A.repeated_specifiers(d), _text(F.col("module_specifier"), " is imported ", F.col("n"), " times"), labels={"specifier": F.col("module_specifier"), "count": F.col("n")}, path=F.col("from_path"))
 
 
 @register_rule("TS-AGENT-POLICY-015", "agent-policy", "info", "A wide facade says why")

@@ -46,7 +46,7 @@ def branches(c: Catalog) -> DataFrame:
 @view("workspace")
 def _workspace(c: Catalog, query: str) -> Packet:
     used = c["imports"].select(S.package_root(F.col("module_specifier")).alias("name"))
-    return {"packages": W.workspace_packages(c["workspace_packages"], used), "edges": J.package_imports(c["imports"], c["workspace_packages"]).limit(W.CAPS["workspace_edges"]), "findings": A.finding_groups(c["findings"]).orderBy(F.desc("n"), "rule_id").limit(W.CAPS["findings"])}
+    return {"packages": W.workspace_packages(c["workspace_packages"], used), "edges": J.package_imports(c["imports"], c["workspace_packages"]).select("path", "package", "via").distinct().orderBy("path", "package", "via").limit(W.CAPS["workspace_edges"]), "findings": A.finding_groups(c["findings"]).orderBy(F.desc("n"), "rule_id").limit(W.CAPS["findings"])}
 
 
 @view("prime")
@@ -102,7 +102,7 @@ def _deps(c: Catalog, query: str, lockfile: str | None = None) -> Packet:
 def _docs(c: Catalog, query: str) -> Packet:
     """Schema documents (relation schema_leaves): $id 12, path 10, key 9, title 8, value 6; a key that matches hides its value."""
     q = query.strip()
-    s = c.relations["schema_leaves"]
+    s = c["schema_leaves"]
     hit = lambda col: S.contains_ci(F.col(col), q)
     score = F.when((F.col("key") == "$id") & hit("value"), 12).when(hit("path"), 10).when(hit("key"), 9).when((F.col("key") == "title") & hit("value"), 8).when(hit("value"), 6)
     best = s.withColumn("score", score).where("score IS NOT NULL").groupBy("path").agg(F.max(F.struct("score", "pointer")).alias("x"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.checkpoints import cut, stored
 from factloom.functions import roles
 from factloom.functions import scalar as S
 from factloom.operators import filters, joins
@@ -85,33 +86,40 @@ class Settings:
 FAMILIES = tuple(typescript.COLLECTORS)
 
 
-def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project") -> Catalog:
-    """All relations of a project over ``files`` (path, content, mtime_ms). Facts are lazy: only the families that a query reads are read off the texts."""
+def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project", documents: DataFrame | None = None, keep: bool = True) -> Catalog:
+    """All relations of a project over ``files`` (path, content, mtime_ms). ``documents`` (path, content) are its JSON files: manifests, configurations and schemas.
+
+    All texts are read in one pass, and the facts are written to the shared folder by family. Without ``keep`` nothing is
+    written: each family that a query reads is read off the texts anew, which suits a query or two.
+    """
     h, spark = settings or Settings(), files.sparkSession
     m, c = src.parse_manifest(manifest), src.parse_config(config)
     files = conform(files, "source_files")
-    facts = {f: typescript.facts(files, f) for f in (*FAMILIES, "diagnostics")}
-    bare = typescript.facts(files, "modules")
+    table = stored(typescript.all_facts(files), "family") if keep else None
+    facts = {f: typescript.family_of(table, f) if keep else typescript.facts(files, f) for f in (*FAMILIES, "diagnostics", "modules")}
     bins = [e["target"].removeprefix("./") for e in m.entries if e["source"] == "bin"]
     role = roles.module_role(F.col("path"), F.col("is_declaration"), list(h.source_dirs), list(h.test_dirs), bins)
-    modules = bare.withColumn("role", role).withColumn("layer", roles.module_layer(F.col("path"), F.col("role")))
+    modules = facts["modules"].withColumn("role", role).withColumn("layer", roles.module_layer(F.col("path"), F.col("role")))
     if not h.include_tests:
         modules = modules.where("role != 'test'")
-    edges = import_edges(facts["imports"], modules, c.aliases)
     notes = [{"path": "tsconfig.json", "phase": "config", "code": 0, "message": d, "category": "error", "line": 1, "col": 0} for d in c.diagnostics]
     notes += [{"path": "package.json", "phase": "package-json", "code": 0, "message": d, "category": "error", "line": 1, "col": 0} for d in m.diagnostics]
     entries = joins.manifest_targets(relation(spark, "package_entries", m.entries).drop("resolution", "to_path"), modules, c.options.get("outDir", "dist").removeprefix("./"), (c.options.get("rootDir") or "src").removeprefix("./"))
     extensions = [*m.extensions, *({"name": e, "activation": "config", "installed": any(x["name"] == e for x in m.extensions)} for e in h.extensions if all(x["name"] != e for x in m.extensions))]
     project = [{"mode": mode, "config_path": "tsconfig.json" if config is not None else None, "module_resolution": c.options.get("moduleResolution"), "source_roots": list(h.source_dirs), "test_roots": list(h.test_dirs)}]
-    return Catalog(spark, facts | {
-        "source_files": files, "modules": modules, "edges": edges, "diagnostics": facts["diagnostics"].unionByName(relation(spark, "diagnostics", notes)), "package_entries": entries,
+    texts = documents.select("path", "content") if documents is not None else spark.createDataFrame([], "path string, content string")
+    catalog = Catalog(spark, facts | {
+        "source_files": files, "modules": modules, "edges": lambda: import_edges(facts["imports"], modules, c.aliases), "diagnostics": facts["diagnostics"].unionByName(relation(spark, "diagnostics", notes)), "package_entries": entries,
         "package_scripts": relation(spark, "package_scripts", m.scripts), "package_dependencies": relation(spark, "package_dependencies", m.dependencies), "extensions": relation(spark, "extensions", extensions),
-        "build_tools": relation(spark, "build_tools", m.build_tools), "project": relation(spark, "project", project), "reference_packages": relation(spark, "reference_packages", [{"path": r} for r in c.references]),
+        "build_tools": relation(spark, "build_tools", m.build_tools), "project": relation(spark, "project", project),
+        "reference_packages": src.reference_packages(texts, c.references), "workspace_packages": src.workspace_packages(texts, m.workspaces), "schema_leaves": src.all_schema_leaves(texts.where(F.col("path").endswith(".schema.json"))),
     })
+    catalog.relations["findings"] = lambda: check(catalog, h)
+    return catalog
 
 
 def import_edges(imports: DataFrame, modules: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Imports with resolution and target: relative ones by their path, aliased ones by the alias' targets in order; the first candidate that is a module."""
+    """Imports with resolution and target: relative ones by their path, aliased ones by the alias' targets in order; the first candidate that is a module. ``seq`` follows the order of paths and, in a file, of its imports."""
     asked = imports.withColumn("_id", F.concat_ws(":", "path", "seq"))
     spec = F.col("module_specifier")
     places = [joins.relative_target(F.col("path"), spec)]
@@ -125,10 +133,12 @@ def import_edges(imports: DataFrame, modules: DataFrame, aliases: dict[str, list
     tried = asked.select("_id", F.posexplode(F.array(*places)).alias("place", "at")).where("at IS NOT NULL")
     tried = tried.withColumn("_k", F.concat_ws("#", "_id", "place"))
     found = tried.join(joins.resolve_paths(tried, modules, "_k", "at"), "_k").groupBy("_id").agg(F.min_by("to_path", "place").alias("to_path"))
-    e = asked.join(found, "_id", "left")
+    # a file's number: its partition in a range order, its place there; written, so that a task run again sees the same ranges
+    order = cut(imports.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id()))
+    number = F.shiftleft(F.shiftrightunsigned("_at", 33), 43) + F.shiftleft(F.col("_at").bitwiseAND(F.lit((1 << 26) - 1)), 17)
+    e = asked.join(found, "_id", "left").join(order, "path")
     resolution = roles.import_resolution(spec, F.col("to_path"), list(aliases or {}))
-    seq = (F.pmod(F.xxhash64("path"), F.lit(1 << 40)) * 100_000 + F.col("seq")).cast("bigint")
-    return e.select(seq.alias("seq"), F.col("path").alias("from_path"), "to_path", "module_specifier", "kind", "is_type_only", resolution.alias("resolution"), "line", "col")
+    return e.select((number + F.col("seq")).cast("bigint").alias("seq"), F.col("path").alias("from_path"), "to_path", "module_specifier", "kind", "is_type_only", resolution.alias("resolution"), "line", "col")
 
 
 def check(catalog: Catalog, settings: Settings | None = None, rules: list[str] | None = None) -> DataFrame:

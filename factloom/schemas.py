@@ -45,6 +45,7 @@ SCHEMAS: dict[str, T.StructType] = {
         "package_dependencies": "name STRING, version_range STRING, source STRING",
         "workspace_packages": "path STRING, name STRING, pattern STRING",
         "reference_packages": "path STRING, name STRING, config_path STRING, composite BOOLEAN, declaration BOOLEAN",
+        "schema_leaves": "path STRING, pointer STRING, key STRING, value STRING",
         "extensions": "name STRING, activation STRING, installed BOOLEAN",
         "build_tools": "name STRING, has_script BOOLEAN",
         "project": "mode STRING, config_path STRING, module_resolution STRING, source_roots ARRAY<STRING>, test_roots ARRAY<STRING>",

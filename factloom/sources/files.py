@@ -9,11 +9,14 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import scalar as S
 from factloom.functions.scalar import SOURCE_EXTENSIONS
 
 # fixed values
@@ -214,3 +217,39 @@ def schema_leaves(path: str, text: str) -> list[tuple[str, str, str, str | None]
     except ValueError:
         return []
     return out
+
+
+def all_schema_leaves(documents: DataFrame) -> DataFrame:
+    """``schema_leaves`` of every JSON document (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for r in schema_leaves(p, c or "")]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["path", "pointer", "key", "value"])
+
+    return documents.select("path", "content").mapInArrow(run, "path string, pointer string, key string, value string")
+
+
+def plain_json(text: Column) -> Column:
+    """``without_json_comments`` as a column."""
+    bare = F.regexp_replace(text, r'(?s)("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', "$1")
+    return F.regexp_replace(bare, r'(?s)("(?:\\.|[^"\\])*")|,(\s*[}\]])', "$1$2")
+
+
+def workspace_packages(documents: DataFrame, patterns: list[str]) -> DataFrame:
+    """(path, name, pattern) of the directories with a manifest that a workspace pattern names."""
+    m = documents.where(F.col("path").endswith("/package.json")).select(S.dirname(F.col("path")).alias("path"), F.get_json_object("content", "$.name").alias("name"))
+    return m.join(expand_workspaces(m, patterns), "path").select("path", "name", "pattern")
+
+
+def reference_packages(documents: DataFrame, references: list[str]) -> DataFrame:
+    """(path, name, config_path, composite, declaration) of a configuration's references: a directory, or the configuration in it. The options are null where the configuration has none or can't be read."""
+    spark = documents.sparkSession
+    named = [(r.removeprefix("./").rstrip("/"),) for r in references]
+    asked = spark.createDataFrame(named, "path string").withColumn("path", F.regexp_replace("path", r"/[^/]*\.json$", "")).distinct()
+    own = lambda file, *columns: documents.where(F.col("path").endswith(f"/{file}")).select(S.dirname(F.col("path")).alias("path"), *columns)
+    options = F.get_json_object(plain_json(F.col("content")), "$.compilerOptions")
+    on = lambda name: F.when(options.isNotNull(), F.coalesce(F.get_json_object(options, f"$.{name}") == "true", F.lit(False))).alias(name)
+    configs = own("tsconfig.json", F.col("path").alias("config_path"), on("composite"), on("declaration"))
+    return asked.join(own("package.json", F.get_json_object("content", "$.name").alias("name")), "path", "left").join(configs, "path", "left").select("path", "name", "config_path", "composite", "declaration")

@@ -1,6 +1,8 @@
 """Tokens and declarations of TypeScript text: a lexer with bracket matching and a scanner for declarations.
 
-There is no compiler here: type-derived facts are best effort. Only text is read; nothing is resolved.
+There is no compiler here: type-derived facts are best effort. Only text is read; nothing is resolved. Of syntax errors those are
+seen that tokens show: brackets, strings, templates, comments and JSX elements without an end, operators without an operand,
+operands side by side, declarations without a name, conditions without parentheses.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class SyntaxFault(ValueError):
 
 @dataclass(slots=True)
 class Token:
-    kind: str  # name, string, template, number, regex, op
+    kind: str  # name, string, template, number, regex, op, jsx
     text: str
     line: int
     col: int
@@ -71,18 +73,67 @@ def _template_end(text: str, at: int) -> int:
     return n
 
 
-def lex(text: str) -> Source:
-    """Raises ``SyntaxFault`` where brackets don't match."""
+_JSX_TEXT = re.compile(r"[^<{]+")
+_JSX_TAG = re.compile(r"<[A-Za-z_$][\w.$:-]*|<(?=\s*>)")
+_JSX_END = re.compile(r"</\s*[\w.$:-]*\s*>")
+_JSX_ATTRIBUTE = re.compile(r"""\s+|[\w.$:-]+|=|"[^"]*"|'[^']*'|/\*.*?\*/|//[^\n]*""", re.S)
+_GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|>\s*\([^()]*\)\s*(?:=>|:))")
+_CALLED_REGEX = re.compile(_REGEX.pattern + r"\.(?:test|exec)\(")
+
+
+def lex(text: str, jsx: bool = False) -> Source:
+    """Raises ``SyntaxFault`` where tokens show an error. With ``jsx``, markup is read as tokens of kind jsx, its holes as code."""
     source, at, line, begin = Source(text), 0, 1, 0
     stack: list[int] = []
+    modes: list[str | int] = []  # open markup: "tag" in a tag, "text" between tags; a hole is the number of brackets around it
+
+    def fault(message: str) -> SyntaxFault:
+        return SyntaxFault(message, line, at - begin)
+
     while at < len(text):
-        m = _TOKEN.match(text, at)
-        kind, end = m.lastgroup, m.end()
-        last = source.tokens[-1] if source.tokens else None
-        if m[0] == "/" and (last is None or last.text in _BEFORE_REGEX) and (r := _REGEX.match(text, at)):
-            kind, end = "regex", r.end()
-        if kind == "tick":
-            kind, end = "template", _template_end(text, at)
+        mode = modes[-1] if modes else None
+        kind, hole = "", False
+        if mode == "text" and text[at] != "{":
+            if m := _JSX_TEXT.match(text, at):
+                kind, end = "jsx", m.end()
+            elif m := _JSX_END.match(text, at):
+                kind, end = "jsx", m.end()
+                modes.pop()
+            elif m := _JSX_TAG.match(text, at):
+                kind, end = "jsx", m.end()
+                modes.append("tag")
+            else:
+                raise fault("an element's text holds a stray '<'")
+        elif mode == "tag" and text[at] != "{":
+            if text.startswith("/>", at):
+                kind, end = "jsx", at + 2
+                modes.pop()
+            elif text[at] == ">":
+                kind, end = "jsx", at + 1
+                modes[-1] = "text"
+            elif m := _JSX_ATTRIBUTE.match(text, at):
+                kind, end = "space" if m[0].isspace() else "jsx", m.end()
+            else:
+                raise fault(f"unexpected {text[at]!r} in a tag")
+        else:
+            hole = mode in ("tag", "text")
+            m = _TOKEN.match(text, at)
+            kind, end = m.lastgroup, m.end()
+            last = source.tokens[-1] if source.tokens else None
+            starts = last is None or last.text in _BEFORE_REGEX or last.text in {"default", "yield"}
+            if m[0] == "/" and ((starts and (r := _REGEX.match(text, at))) or (last is not None and last.text == ")" and _CALLED_REGEX.match(text, at) and (r := _REGEX.match(text, at)))):
+                kind, end = "regex", r.end()
+            if jsx and m[0] == "<" and starts and (r := _JSX_TAG.match(text, at)) and not _GENERIC.match(text, at):
+                kind, end = "jsx", r.end()
+                modes.append("tag")
+            if kind == "tick":
+                kind, end = "template", _template_end(text, at)
+                if end - at < 2 or text[end - 1] != "`":
+                    raise fault("a template has no end")
+            if kind == "op" and m[0] in {'"', "'", "\\"}:
+                raise fault("a string has no end" if m[0] != "\\" else "unexpected '\\\\'")
+            if kind == "comment" and m[0].startswith("/*") and (len(m[0]) < 4 or not m[0].endswith("*/")):
+                raise fault("a comment has no end")
         raw = text[at:end]
         if kind == "comment":
             source.comments.append((line, raw))
@@ -90,21 +141,62 @@ def lex(text: str) -> Source:
             source.tokens.append(Token(kind, raw, line, at - begin, at, end))
             i = len(source.tokens) - 1
             if kind == "op" and raw in OPEN:
+                if hole:
+                    modes.append(len(stack))
                 stack.append(i)
             elif kind == "op" and raw in CLOSE:
                 if not stack or OPEN[source.tokens[stack[-1]].text] != raw:
-                    raise SyntaxFault(f"unexpected {raw!r}", line, at - begin)
+                    raise fault(f"unexpected {raw!r}")
                 j = stack.pop()
                 source.pair[i], source.pair[j] = j, i
+                if modes and modes[-1] == len(stack) and not isinstance(modes[-1], str):
+                    modes.pop()
         if n := raw.count("\n"):
             line, begin = line + n, at + raw.rindex("\n") + 1
         at = end
     if stack:
         t = source.tokens[stack[-1]]
         raise SyntaxFault(f"{t.text!r} is not closed", t.line, t.col)
+    if modes:
+        raise fault("an element is not closed")
+    _check(source)
     return source
 
 
+_NEEDS_RIGHT = frozenset("= => + - * / % ** & | ^ && || ?? == === != !== <= >= += -= *= /= %= &= |= ^= &&= ||= ??= ... ?.".split())
+_ENDS = frozenset(") ] } ; ,".split())
+_AFTER_VALUE = frozenset("as in of instanceof satisfies extends implements is with assert from keyof".split())
+_BEFORE_VALUE = frozenset(
+    "import from case return typeof in of extends as satisfies keyof module default throw await yield new else do is delete void instanceof readonly static get set async public private protected override abstract infer asserts declare require type".split()
+)
+
+
+def _check(s: Source) -> None:
+    t = s.tokens
+    for i, a in enumerate(t):
+        b, before = t[i + 1] if i + 1 < len(t) else None, t[i - 1] if i else None
+        word = a.kind == "name" and not (before and before.text in {".", "?."})
+        ends = b is None or b.kind == "op" and b.text in _ENDS
+        if a.kind == "op" and a.text in _NEEDS_RIGHT and ends:
+            raise SyntaxFault(f"nothing follows {a.text!r}", a.line, a.col)
+        if b is not None and b.line == a.line:
+            side = b.kind in {"number", "string"} or b.kind == "name" and b.text not in _AFTER_VALUE
+            if a.kind in {"number", "string"} and side or word and a.text not in _BEFORE_VALUE and b.kind in {"number", "string"}:
+                raise SyntaxFault(f"{b.text!r} follows {a.text!r} without an operator", b.line, b.col)
+        if not word:
+            continue
+        if a.text in {"const", "let", "var"} and (b is None or b.text in {"=", ";"}) and not (before and before.text in {"as", "<", ",", "{"}):
+            raise SyntaxFault(f"{a.text} declares nothing", a.line, a.col)
+        if a.text in {"const", "let", "var"} and i + 2 < len(t) and b.kind == "name" and b.text != "enum" and t[i + 2].kind == "name" and t[i + 2].line == b.line and t[i + 2].text not in {"of", "in"}:
+            raise SyntaxFault(f"{t[i + 2].text!r} follows {b.text!r} without an operator", b.line, b.col)
+        if a.text in {"if", "while", "switch"} and b is not None and b.kind in {"name", "number", "string"}:
+            raise SyntaxFault(f"{a.text} has no condition in parentheses", a.line, a.col)
+        if a.text in {"function", "class"} and before is not None and before.text == "export" and b is not None and b.text in {"(", "{"}:
+            raise SyntaxFault(f"an exported {a.text} has no name", a.line, a.col)
+        if a.text in {"import", "export"} and b is not None and b.text == ";":
+            raise SyntaxFault(f"{a.text} names nothing", a.line, a.col)
+
+
 def unquote(t: Token) -> str:
     return re.sub(r"\\(.)", r"\1", t.text[1:-1])
 

@@ -1,7 +1,8 @@
 """Fact families of TypeScript modules, and the Spark scans that yield them.
 
-Each collector is apart from the others: one that fails yields nothing for its own family. A text that can't be read into
-tokens yields an invalid module with a diagnostic of code 0, never an exception.
+Each collector is apart from the others: one that fails yields nothing for its own family, and a diagnostic of the phase
+"extract". A text that can't be read into tokens yields an invalid module with a diagnostic of code 0, never an exception.
+``facts`` reads one family; ``all_facts`` reads every family in one pass over the texts, as one tagged table.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.schemas import SCHEMAS
+from factloom.sources import flow
 from factloom.sources import lexer as L
 
 # fixed values
@@ -225,70 +229,15 @@ def variant_fields(path: str, s: L.Source, d: tuple) -> list[dict]:
     return out
 
 
-def flow_metrics(s: L.Source, a: int, b: int) -> dict[str, int]:
-    """Statements, branches, loops, nesting, the longest chain of literal comparisons, loops that push and return, the longest block."""
-    t = s.tokens
-    m = {"statements": 0, "branches": 0, "loops": 0, "max_nesting": 0, "max_literal_chain": 0, "manual_transform_loops": 0, "max_block_statements": 0}
-    nest: list[int] = []  # ends of open control blocks
-    blocks: list[list[int]] = [[b, 0]]
-    i, chain, subject = a, 0, ""
-    begins = True
-    while i < b:
-        x = t[i]
-        while nest and i >= nest[-1]:
-            nest.pop()
-        while len(blocks) > 1 and i >= blocks[-1][0]:
-            m["max_block_statements"] = max(m["max_block_statements"], blocks.pop()[1])
-            begins = True
-        if x.text in {";", "}"} and x.kind == "op":
-            begins = True
-            i += 1
-            continue
-        if begins or (x.kind == "name" and x.line > t[i - 1].line and t[i - 1].text in {")", "]", "}"} | {";"}):
-            if x.text not in {"else", "case", "default", "{", "catch", "finally"}:
-                m["statements"] += 1
-                blocks[-1][1] += 1
-            begins = False
-        if x.kind == "name" and x.text in {"if", "for", "while", "do", "switch", "try"} and not (i and t[i - 1].text == "."):
-            head = next((k for k in range(i + 1, min(i + 3, b)) if t[k].text == "("), None)
-            after = s.pair[head] + 1 if head is not None and x.text not in {"do", "try"} else i + 1
-            if x.text in {"for", "while", "do"}:
-                m["loops"] += 1
-            if x.text == "if":
-                m["branches"] += 1
-                cond = s.slice(head + 1, s.pair[head]) if head is not None else ""
-                eq = re.fullmatch(r"""\s*([\w.$]+)\s*===?\s*(?:"[^"]*"|'[^']*'|\d+)\s*""", cond)
-                is_else = i > a and t[i - 1].text == "else"
-                chain = (chain + 1 if is_else and eq[1] == subject else 1) if eq else 0
-                subject = eq[1] if eq else ""
-                m["max_literal_chain"] = max(m["max_literal_chain"], chain)
-            if after < b and t[after].text == "{":
-                end = s.pair[after]
-                if not (x.text == "if" and i > a and t[i - 1].text == "else"):
-                    nest.append(end + 1)
-                    m["max_nesting"] = max(m["max_nesting"], len(nest))
-                blocks.append([end, 0])
-                begins = True
-                if x.text == "for":
-                    inner = s.slice(after + 1, end)
-                    pushed = re.search(r"([\w$]+)\.push\(", inner)
-                    if pushed and re.search(rf"\breturn\s+{re.escape(pushed[1])}\b", s.slice(end, b)):
-                        m["manual_transform_loops"] += 1
-                i = after + 1
-                continue
-        elif x.text in {"case", "?", "catch"} and not (x.text == "?" and i + 1 < b and t[i + 1].text in {".", ":"}):
-            m["branches"] += 1
-        i += 1
-    for _, n in blocks:
-        m["max_block_statements"] = max(m["max_block_statements"], n)
-    return m
+FLOW_FIELDS = ("statements", "branches", "loops", "max_nesting", "max_literal_chain", "manual_transform_loops", "max_block_statements")
 
 
 def control_flows(path: str, s: L.Source, d: tuple) -> list[dict]:
     out = []
     for f in d[1]:
-        if f.exported and f.body[0] < f.body[1]:
-            out.append({"path": path, "seq": len(out), "function_name": f.name, "line_span": f.line_end - f.line + 1, "line": f.line, "col": f.col, **flow_metrics(s, *f.body)})
+        if f.exported and (f.block or f.body[0] < f.body[1]):
+            m = flow.metrics(s, f.body, f.block)
+            out.append({"path": path, "seq": len(out), "function_name": f.name, "line_span": flow.line_span(s, f.body, f.block), "line": f.line, "col": f.col, **{x: getattr(m, x) for x in FLOW_FIELDS}})
     return out
 
 
@@ -471,17 +420,24 @@ def function_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
     for f in d[1]:
         if f.container:
             continue
-        m = flow_metrics(s, *f.body)
-        words = [s.tokens[i].text for i in range(*f.body)]
-        typed = [_typed(s, x, y)[1] for x, y in L.split_commas(s, *f.params)]
+        m = flow.metrics(s, f.body, f.block)
+        parts = L.split_commas(s, *f.params)
+        typed = [_typed(s, x, y)[1] for x, y in parts]
         text = " ".join(t or "" for t in typed) + " " + (f.returns or "")
         out.append({
-            "path": path, "seq": len(out), "name": f.name, "exported": f.exported, "is_async": f.is_async, "line": f.line, "line_span": f.line_end - f.line + 1, "n_params": len(typed), "n_boolean_params": sum(flag(t) is not None for t in typed),
-            "statements": m["statements"], "max_nesting": m["max_nesting"], "branches": m["branches"], "loops": m["loops"], "awaits": words.count("await"), "tries": words.count("try"), "uses_any": bool(re.search(r"\bany\b", text)), "returns": f.returns or None,
+            "path": path, "seq": len(out), "name": f.name, "exported": f.exported, "is_async": f.is_async, "line": f.line, "line_span": f.line_end - f.line + 1,
+            "n_params": sum(s.tokens[x].kind == "name" for x, _ in parts), "n_boolean_params": sum(t in ("boolean", "Boolean") for t in typed), "statements": m.all_statements, "max_nesting": m.block_nesting, "branches": m.clauses,
+            "loops": m.own_loops, "awaits": m.awaits, "tries": m.tries, "uses_any": bool(re.search(r"\bany\b", text)), "returns": f.returns or None,
         })
     return out
 
 
+def _effect_statements(s: L.Source, c: L.Call) -> int:
+    """Statements of the callback that an effect hook gets."""
+    brace = next((k for k in range(*c.args) if s.tokens[k].text == "{" and s.tokens[k - 1].text in {"=>", ")"}), None)
+    return flow.metrics(s, (brace + 1, s.pair[brace]), True).all_statements if brace is not None else 0
+
+
 def react_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
     """Components: boolean props, properties of the value that a context gets, statements in the longest effect."""
     out = []
@@ -490,7 +446,7 @@ def react_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
             continue
         props = s.slice(*f.params)
         value = re.search(r"Provider\s+value=\{\{(.*?)\}\}", s.slice(*f.body), re.S)
-        effects = [flow_metrics(s, *c.args)["statements"] for c in L.calls(s, *f.body) if c.callee.rpartition(".")[2] in {"useEffect", "useLayoutEffect"}]
+        effects = [_effect_statements(s, c) for c in L.calls(s, *f.body) if c.callee.rpartition(".")[2] in {"useEffect", "useLayoutEffect"}]
         out.append({"path": path, "seq": len(out), "name": f.name, "line": f.line, "n_boolean_props": len(re.findall(r"\?*:\s*boolean\b", props)), "n_context_props": len([x for x in value[1].split(",") if x.strip()]) if value else 0, "effect_statements": max(effects, default=0)})
     return out
 
@@ -502,31 +458,39 @@ COLLECTORS: dict[str, Callable[[str, L.Source, tuple], list[dict]]] = {
 }
 
 
-def read(path: str, content: str | None, family: str) -> list[dict]:
-    """Rows of one family for one file."""
+ALL = ("modules", "diagnostics", *COLLECTORS)
+
+
+def read_all(path: str, content: str | None, wanted: tuple[str, ...] = ALL) -> dict[str, list[dict]]:
+    """Rows of the wanted families for one file, whose text is read into tokens once. Null counts as empty."""
     text = content or ""
-    if family == "modules":
-        row = {"path": path, "role": None, "layer": None, "is_valid": True, "is_declaration": path.endswith((".d.ts", ".d.mts", ".d.cts")), "n_lines": text.count("\n") + 1, "content_hash": hashlib.sha256(text.encode()).hexdigest()}
-        try:
-            s = L.lex(text)
-            d = L.declarations(s)
-            names = exports(path, s, d)
-            head = s.comments[0] if s.comments else None
-            row |= {"has_intent_doc": bool(head and head[0] == 1 and len(re.findall(r"\w{3,}", head[1])) > 2), "export_names": [e["name"] for e in names], "type_only_export_names": [e["name"] for e in names if e["is_type_only"]]}
-        except Exception:
-            row |= {"is_valid": False, "has_intent_doc": False, "export_names": [], "type_only_export_names": []}
-        return [row]
-    if family == "diagnostics":
-        try:
-            L.declarations(L.lex(text))
-            return []
-        except Exception as fault:
-            return [{"path": path, "phase": "syntax", "code": 0, "message": str(fault), "category": "error", "line": getattr(fault, "line", 1), "col": getattr(fault, "col", 0)}]
+    row = {"path": path, "role": None, "layer": None, "is_valid": True, "is_declaration": path.endswith((".d.ts", ".d.mts", ".d.cts")), "n_lines": text.count("\n") + 1, "content_hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()}
+    row |= {"has_intent_doc": False, "export_names": [], "type_only_export_names": []}
+    out: dict[str, list[dict]] = {f: [] for f in wanted}
+    notes = []
+    note = lambda phase, code, message, category, at: notes.append({"path": path, "phase": phase, "code": code, "message": message, "category": category, "line": getattr(at, "line", 1), "col": getattr(at, "col", 0)})
     try:
-        s = L.lex(text)
-        return COLLECTORS[family](path, s, L.declarations(s))
-    except Exception:
-        return []
+        s = L.lex(text, path.endswith((".tsx", ".jsx")))
+        d = L.declarations(s)
+        names = exports(path, s, d)
+        head = s.comments[0] if s.comments else None
+        row |= {"has_intent_doc": bool(head and head[0] == 1 and len(re.findall(r"\w{3,}", head[1])) > 2), "export_names": [e["name"] for e in names], "type_only_export_names": [e["name"] for e in names if e["is_type_only"]]}
+    except Exception as fault:
+        row["is_valid"] = False
+        note("syntax", 0, str(fault), "error", fault)
+    else:
+        for family in wanted:
+            if family in COLLECTORS:
+                try:
+                    out[family] = COLLECTORS[family](path, s, d)
+                except Exception as fault:
+                    note("extract", 1, f"{family}: {fault!r}", "warning", None)
+    return out | {f: x for f, x in (("modules", [row]), ("diagnostics", notes)) if f in wanted}
+
+
+def read(path: str, content: str | None, family: str) -> list[dict]:
+    """Rows of one family for one file."""
+    return read_all(path, content, (family,))[family]
 
 
 def facts(source_files: DataFrame, family: str) -> DataFrame:
@@ -541,3 +505,23 @@ def facts(source_files: DataFrame, family: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], arrow)
 
     return source_files.select("path", "content").mapInArrow(run, schema)
+
+
+def all_facts(source_files: DataFrame) -> DataFrame:
+    """(family, one struct for each family): every fact of every file in one pass; of a row only its family's struct is set. Written once and filtered by family it serves all relations (``family_of``)."""
+    schema = T.StructType([T.StructField("family", T.StringType()), *(T.StructField(f, SCHEMAS[f]) for f in ALL)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                rows = [{"family": f, f: r} for p, c in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True) for f, found in read_all(p, c).items() for r in found]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return source_files.select("path", "content").mapInArrow(run, schema)
+
+
+def family_of(table: DataFrame, family: str) -> DataFrame:
+    """The relation of one family in a table of ``all_facts``."""
+    return table.where(F.col("family") == family).select(f"{family}.*")

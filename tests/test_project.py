@@ -27,10 +27,8 @@ MANIFEST = json.dumps({"name": "demo", "main": "./dist/index.js", "exports": {".
 def catalog(spark):
     rows = [(p, t, i) for i, (p, t) in enumerate(SOURCES.items())]
     c = project.build(spark.createDataFrame(rows, "path string, content string, mtime_ms long"), MANIFEST, '{"compilerOptions": {"outDir": "dist", "rootDir": "src"}} // note')
-    for name in ("modules", *project.FAMILIES):
-        c.relations[name] = spark.createDataFrame(c.relations[name].collect(), c.relations[name].schema).coalesce(1)
-    edges = project.import_edges(c["imports"], c["modules"])
-    c.relations["edges"] = spark.createDataFrame(edges.collect(), edges.schema).coalesce(1)
+    for name in ("modules", "edges", *project.FAMILIES):  # small and asked for often
+        c.relations[name] = spark.createDataFrame(c[name].collect(), c[name].schema).coalesce(1)
     return c
 
 
@@ -219,7 +217,7 @@ def test_lexer_faults():
 def test_control_flow_metrics():
     text = 'export function f(x: string) { const out = []; for (const a of b) { out.push(a); } if (x === "a") { } else if (x === "b") { } else if (x === "c") { } return out; }'
     r = typescript.read("a.ts", text, "control_flows")[0]
-    assert (r["loops"], r["max_literal_chain"], r["manual_transform_loops"], r["max_nesting"]) == (1, 3, 1, 1)
+    assert (r["loops"], r["max_literal_chain"], r["manual_transform_loops"], r["max_nesting"]) == (1, 3, 1, 3)  # an else-if lies in its if
 
 
 @pytest.mark.parametrize(("field", "at", "fires"), [("max_nesting", 5, True), ("max_nesting", 4, False), ("max_literal_chain", 4, True), ("max_literal_chain", 3, False), ("branches", 12, True), ("branches", 11, False)])
@@ -273,3 +271,81 @@ def test_first_index_only_reexports(spark):
     for text, fires in ((PAIRS["TS-AGENT-PROJECT-003"][1], True), (PAIRS["TS-AGENT-PROJECT-003"][2], False)):
         c = project.build(spark.createDataFrame([("src/index.ts", text, 0)], "path string, content string, mtime_ms long"))
         assert ("TS-AGENT-PROJECT-003" in {r.rule_id for r in project.check_syntax(c).collect()}) == fires
+
+
+def test_a_project_reads_each_text_once(spark, catalog):
+    """The plan of the rules reads written facts; no lexing pass is left in it."""
+    c = project.build(catalog["source_files"], MANIFEST)
+    plan = project.check(c, rules=["TS-SYN-R001", "TS-AGENT-POLICY-004", "TS-AGENT-POLICY-007", "TS-AGENT-POLICY-009"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 0
+    bare = project.build(catalog["source_files"], MANIFEST, keep=False)
+    assert sorted(map(repr, bare["params"].collect())) == sorted(map(repr, catalog["params"].collect()))
+
+
+DOCUMENTS = {
+    "packages/a/package.json": '{"name": "@demo/a"}', "packages/a/tsconfig.json": '{ // note "x"\n "compilerOptions": {"composite": true, "paths": {"x": ["http://y//z"],},} }', "packages/b/package.json": '{"name": "@demo/b"}',
+    "packages/c/package.json": "broken", "packages/c/tsconfig.json": "broken", "other/d/package.json": '{"name": "d"}', "schemas/user.schema.json": '{"$id": "user-id", "title": "A user", "properties": {"email/work": {"type": "string"}}}',
+}
+
+
+def test_build_makes_the_relations_of_the_overview_views(spark):
+    manifest = json.dumps({"name": "demo", "workspaces": ["packages/*"], "dependencies": {}})
+    config = '{"compilerOptions": {}, "references": [{"path": "./packages/a"}, {"path": "packages/b/tsconfig.json"}, {"path": "packages/c/"}, {"path": "none"}]}'
+    files = spark.createDataFrame([("src/index.ts", 'import x from "@demo/a";\nimport "@demo/b/sub";\n', 0)], "path string, content string, mtime_ms long")
+    c = project.build(files, manifest, config, documents=spark.createDataFrame(list(DOCUMENTS.items()), "path string, content string"))
+    assert sorted((r.path, r.name, r.pattern) for r in c["workspace_packages"].collect()) == [("packages/a", "@demo/a", "packages/*"), ("packages/b", "@demo/b", "packages/*"), ("packages/c", None, "packages/*")]
+    assert sorted(map(tuple, c["reference_packages"].collect())) == [
+        ("none", None, None, None, None), ("packages/a", "@demo/a", "packages/a/tsconfig.json", True, False), ("packages/b", "@demo/b", None, None, None), ("packages/c", None, "packages/c/tsconfig.json", None, None),
+    ]
+    found = {(r.path, r.labels["lacks"]) for r in rules.evaluate(c, ["TS-AGENT-PROJECT-004"]).collect()}
+    assert found == {("none/package.json", "config"), ("packages/a/tsconfig.json", "declaration"), ("packages/b/package.json", "config")}
+    c.relations["findings"] = rules.numbered(rules.evaluate(c, ["TS-AGENT-PROJECT-004"]))
+    w = search.search(c, "workspace")
+    assert [r.name for r in w["packages"].collect()] == ["@demo/a", "@demo/b", None]
+    assert [tuple(r) for r in w["edges"].collect()] == [("src/index.ts", "@demo/a", "package-name"), ("src/index.ts", "@demo/b", "package-subpath")]
+    assert {r.rule_id for r in w["findings"].collect()} >= {"TS-AGENT-PROJECT-004"}
+    docs = lambda q: [tuple(r) for r in search.search(c, "docs", q)["hits"].collect()]
+    assert docs("user-id") == [("schemas/user.schema.json", 12, "/$id")]
+    assert docs("work") == [("schemas/user.schema.json", 9, "/properties/email~1work")]
+    assert search.search(c, "prime")["owners"].count() == 1
+
+
+def test_edges_follow_the_order_of_paths(catalog):
+    rows = [(r.from_path, r.line) for r in catalog["edges"].orderBy("seq").collect()]
+    assert rows == sorted(rows) and len({r.seq for r in catalog["edges"].collect()}) == len(rows)
+
+
+@pytest.mark.parametrize("text", ["export const a = ;", "const a = \"x", "let a b = 1;", "if x { }", "export function (a) {}", "const a = 1 2;", "const = 2;", "f(a, ...);", "const t = `a ${b}", "/* no end", "x = a &&;", "foo \"bar\";", "import ;"])
+def test_syntax_errors_are_seen(text):
+    assert [r["phase"] for r in typescript.read("a.ts", text, "diagnostics")] == ["syntax"]
+
+
+@pytest.mark.parametrize(("path", "text"), [
+    ("a.tsx", "const x = <a>http://x y</a>;"), ("a.tsx", "export function A() { return (<p>(a</p>); }"), ("a.tsx", "export const f = <T,>(x: T) => x;"), ("a.tsx", "const a = b ? <A x={1} y='2' {...p}>it's {n} <b/> {/* c */}</A> : null;"), ("a.tsx", "const a = <></>;"),
+    ("a.tsx", "const f: <T>(x: T) => T = g; x = a < b ? c : d;"), ("a.ts", "type A = { -readonly [K in keyof T]-?: T[K] };"), ("a.ts", 'export * from "./a"; import * as x from "y" with { type: "json" };'), ("a.ts", "for await (const x of y) { x!; }"),
+    ("a.ts", "const r = /[\"']/.test(s) && x ?? y; if (a) /x[)]/.test(b);"), ("a.ts", 'class A { "m"() { return 1 } get x() { return 2 } static y = 3; #p = 1 }'), ("a.ts", 'let a: "x" | "y" = "x"; switch (a) { case "x": break; default: }'), ("a.ts", 'declare module "x" { export const y: number; }'),
+    ("a.ts", "const f = (a?: string, ...b: number[]): a is string => true"), ("a.ts", "const t = `a ${b('}')} c`; export default class { a = 1 as const; }"), ("a.ts", "abstract class A<T extends B = C> { protected constructor(private readonly x: T) { super(); } async *g() { yield* h(); } }"),
+])
+def test_valid_texts_stay_valid(path, text):
+    assert typescript.read(path, text, "diagnostics") == []
+
+
+def test_a_collector_that_fails_leaves_a_diagnostic(monkeypatch):
+    monkeypatch.setitem(typescript.COLLECTORS, "params", lambda *_: 1 / 0)
+    got = typescript.read_all("a.ts", "export function f(a: string) {}")
+    assert got["params"] == [] and len(got["items"]) == 1
+    assert [(r["phase"], r["category"], r["message"].split(":")[0]) for r in got["diagnostics"]] == [("extract", "warning", "params")]
+
+
+FLOWS = [  # body, statements, branches, loops, nesting, chain, transforms, block
+    ('if ("a" === x) {} else if ((x) === "b") {} else if (("c") == (x)) {} else if (x === `d`) {} else { y(); }', (5, 4, 0, 4, 4, 0, 1)),
+    ("if (k(x) === 1) {} else if (k(x) === 2) {} else if (k(y) === 3) {}", (3, 3, 0, 3, 2, 0, 1)), ("if (x === y) {} if (x === 'a' && z) {} if (1 === 2) {}", (3, 3, 0, 1, 0, 0, 3)),
+    ("const out = []; for (const a of b) { out.push(a); } return (out);", (4, 0, 1, 1, 0, 1, 3)), ("const out = []; for (const a of b) { out.push(1); } return out;", (4, 0, 1, 1, 0, 0, 3)), ("for (const a of b) { out.push(a); } return () => { return out; };", (4, 0, 1, 1, 0, 0, 2)),
+    ("switch (x) { case 1: a(); break; default: b(); } try { c(); } catch (e) { d(); } finally { e(); } return x ? 1 : y ? 2 : 3;", (8, 5, 0, 2, 0, 0, 3)), ("xs.map((v) => { if (v) { return v; } return 0; }); while (a) b(); do { c() } while (d); return;", (9, 1, 2, 1, 0, 0, 4)), ("", (0, 0, 0, 0, 0, 0, 0)),
+]
+
+
+@pytest.mark.parametrize(("body", "want"), FLOWS)
+def test_flow_metrics(body, want):
+    r = typescript.read("a.ts", "export function f(x: string) {" + body + "}", "control_flows")[0]
+    assert tuple(r[k] for k in ("statements", "branches", "loops", "max_nesting", "max_literal_chain", "manual_transform_loops", "max_block_statements")) == want
