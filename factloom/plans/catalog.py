@@ -6,8 +6,6 @@ the operator. Queries without SQL are those that it can't express; the tests hol
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +18,12 @@ from factloom.operators import joins as J
 from factloom.operators import ranking as W
 from factloom.operators import sets as U
 from factloom.plans import analogues as R
+from factloom.plans import rule_queries, source_queries  # noqa: F401  they register their queries
+from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "w1_fuzzy_line_search"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.owner_dependencies(R.edges(spark, sf_dir), R.modules(spark, sf_dir))
 
@@ -283,7 +271,7 @@ _TARGET = "src/m5/index.ts"
 
 @query(
     f"""WITH RECURSIVE {R.DEPENDENCIES}, g AS (SELECT DISTINCT from_path, to_path FROM deps WHERE to_path IS NOT NULL AND from_role <> 'test'),
- walk(node, depth) AS (SELECT '{_TARGET}', 1 UNION SELECT g.from_path, w.depth + 1 FROM walk w JOIN g ON g.to_path = w.node WHERE w.depth < 3)
+ walk(node, depth) AS (SELECT '{_TARGET}', 1 UNION SELECT g.from_path, w.depth + 1 FROM walk w JOIN g ON g.to_path = w.node WHERE w.depth < 8)
  SELECT node, min(depth) AS depth FROM walk GROUP BY node"""
 )
 def gr2_bounded_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +481,7 @@ def a23_dependency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {R.DEPENDENCIES}, s AS (SELECT path, role FROM modules WHERE role IN ('source', 'facade', 'entrypoint')), few AS (SELECT path FROM s WHERE role = 'facade'),
- g AS (SELECT DISTINCT from_path, to_path FROM deps WHERE NOT is_test_context AND module_specifier = './f1' AND from_path IN (SELECT path FROM s) AND to_path IN (SELECT path FROM s)),
+ g AS (SELECT DISTINCT from_path, to_path FROM deps WHERE NOT is_test_context AND from_path IN (SELECT path FROM s) AND to_path IN (SELECT path FROM s)),
  walk(node) AS (SELECT path FROM s WHERE role IN ('facade', 'entrypoint') UNION SELECT g.to_path FROM walk w JOIN g ON g.from_path = w.node)
  SELECT path FROM s WHERE role = 'source' AND path NOT IN (SELECT node FROM walk)"""
 )
@@ -518,7 +506,7 @@ def gr5_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.roots(R.modules(spark, sf_dir).select(F.col("path").alias("owner")), R.edges(spark, sf_dir).where("to_path IS NOT NULL").select(F.col("to_path").alias("to_owner")))
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey % 60 AS src, (l_suppkey % 60 * 7 + 3) % 60 AS dst FROM lineitem WHERE l_linenumber < 4), w2 AS (SELECT a.src AS s, b.dst AS n FROM e a JOIN e b ON a.dst = b.src), w3 AS (SELECT s, e.dst AS n FROM w2 JOIN e ON e.src = w2.n), w4 AS (SELECT s, e.dst AS n FROM w3 JOIN e ON e.src = w3.n) SELECT DISTINCT s AS node FROM (SELECT src AS s, dst AS n FROM e UNION SELECT * FROM w2 UNION SELECT * FROM w3 UNION SELECT * FROM w4) WHERE s = n")
+@query("WITH e AS (SELECT DISTINCT l_suppkey % 60 AS src, (l_suppkey % 60 * 7 + 3) % 60 AS dst FROM lineitem), w2 AS (SELECT a.src AS s, b.dst AS n FROM e a JOIN e b ON a.dst = b.src), w3 AS (SELECT s, e.dst AS n FROM w2 JOIN e ON e.src = w2.n), w4 AS (SELECT s, e.dst AS n FROM w3 JOIN e ON e.src = w3.n) SELECT DISTINCT s AS node FROM (SELECT src AS s, dst AS n FROM e UNION SELECT * FROM w2 UNION SELECT * FROM w3 UNION SELECT * FROM w4) WHERE s = n")
 def gr10_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey") % 60
     return G.cycles(R.table(spark, sf_dir, "lineitem").select(s.alias("src"), ((s * 7 + 3) % 60).alias("dst")))

@@ -175,7 +175,8 @@ def check_syntax(catalog: Catalog) -> DataFrame:
     """Findings of the smaller model, errors first."""
     from factloom.operators import syntax_rules
 
-    kinds = catalog["exports"].groupBy("path").agg(F.collect_list("kind").alias("export_kinds"))
+    kind = F.when(F.col("kind") == "star", "star-reexport").when(F.col("kind") == "reexport", "named-reexport").otherwise(F.col("kind"))
+    kinds = catalog["exports"].groupBy("path").agg(F.collect_list(kind).alias("export_kinds"))
     m = catalog["source_files"].select("path", "content").join(catalog["modules"].select("path", "is_valid"), "path").join(kinds, "path", "left")
     m = m.withColumn("export_kinds", F.coalesce("export_kinds", F.array().cast("array<string>")))
     return syntax_rules.ordered(syntax_rules.module_findings(m).unionAll(syntax_rules.function_findings(catalog["function_shapes"])).unionAll(syntax_rules.react_findings(catalog["react_shapes"])))

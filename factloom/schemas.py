@@ -40,6 +40,7 @@ SCHEMAS: dict[str, T.StructType] = {
         "signals": f"path STRING, seq INT, family STRING, owner_name STRING, callee STRING, kinds ARRAY<STRING>, {_AT}",
         "function_shapes": "path STRING, seq INT, name STRING, exported BOOLEAN, is_async BOOLEAN, line INT, line_span INT, n_params INT, n_boolean_params INT, statements INT, max_nesting INT, branches INT, loops INT, awaits INT, tries INT, uses_any BOOLEAN, returns STRING",
         "react_shapes": "path STRING, seq INT, name STRING, line INT, n_boolean_props INT, n_context_props INT, effect_statements INT",
+        "return_shapes": "path STRING, seq INT, function_name STRING, fields ARRAY<STRING>, spreads ARRAY<STRING>, line INT",
         "package_entries": "subpath STRING, target STRING, conditions ARRAY<STRING>, source STRING, resolution STRING, to_path STRING",
         "package_scripts": "name STRING, command STRING",
         "package_dependencies": "name STRING, version_range STRING, source STRING",

@@ -57,7 +57,7 @@ def imports(path: str, s: L.Source, d: tuple) -> list[dict]:
         if t[i].text == "import" and t[i + 1].text == "(":
             close = s.pair[i + 1]
             if close == i + 3 and t[i + 2].kind == "string":
-                in_type = i > 0 and t[i - 1].text in {":", "<", "|", "&", "typeof"}
+                in_type = i > 0 and (t[i - 1].text in {":", "<", "|", "&", "typeof"} or i > 2 and t[i - 1].text == "=" and t[i - 3].text == "type")
                 add(i, i + 2, "import" if in_type else "dynamic-import", in_type)
             continue
         if t[i].text == "import" and t[i + 1].kind == "string":
@@ -78,10 +78,12 @@ def imports(path: str, s: L.Source, d: tuple) -> list[dict]:
 
 
 def exports(path: str, s: L.Source, d: tuple) -> list[dict]:
-    out, t = [], s.tokens
+    """A row for each name that a statement of the module exports, in order; a declaration without a name is called default."""
+    t = s.tokens
+    found: list[tuple[int, int, str, str, bool]] = []  # line, column, name, kind, type-only
 
-    def add(i: int, name: str, kind: str, type_only: bool = False) -> None:
-        out.append({"path": path, "seq": len(out), "name": name, "kind": kind, "is_type_only": type_only, "line": t[i].line, "col": t[i].col})
+    def add(at: L.Token, name: str, kind: str, type_only: bool = False) -> None:
+        found.append((at.line, at.col, name, kind, type_only))
 
     depth_end = -1
     for i in range(len(t) - 1):
@@ -96,21 +98,22 @@ def exports(path: str, s: L.Source, d: tuple) -> list[dict]:
         j = i + 1 + type_only
         if t[j].text == "*":
             named = t[j + 1].text == "as"
-            add(i, t[j + 2].text if named else "*", "namespace-reexport" if named else "star-reexport", type_only)
+            add(t[i], t[j + 2].text if named else "*", "namespace-reexport" if named else "star", type_only)
         elif t[j].text == "{":
             again = s.pair[j] + 1 < len(t) and t[s.pair[j] + 1].text == "from"
             for _, alias, only in _names(s, j + 1, s.pair[j]):
-                add(i, alias, "named-reexport" if again else "named", type_only or only)
+                add(t[i], alias, "reexport" if again else "export-list", type_only or only)
         elif t[j].text == "=":
-            add(i, "export=", "assignment")
+            add(t[i], s.slice(j + 1, L.statement_end(s, j + 1, len(t))).rstrip("; \n"), "export-assignment")
+        elif t[j].text == "as" and t[j + 1].text == "namespace" and j + 2 < len(t):
+            add(t[i], t[j + 2].text, "global-namespace")
         elif t[j].text == "default" and t[j + 1].text not in {"function", "class", "async", "abstract", "interface"}:
-            add(i, "default", "default-expression")
-        elif t[j].text == "default":
-            add(i, "default", "default-declaration")
+            add(t[i], "default", "default")
     for item in d[0]:
-        if item.exported and not item.container and item.name != "default":
-            out.append({"path": path, "seq": len(out), "name": item.name, "kind": item.kind, "is_type_only": item.kind in {"interface", "type"}, "line": item.line, "col": item.col})
-    return out
+        if item.exported and not item.container:
+            found.append((item.line, item.col, item.name, item.kind, item.kind in {"interface", "type"}))
+    names = ("line", "col", "name", "kind", "is_type_only")
+    return [{"path": path, "seq": i, **dict(zip(names, r, strict=True))} for i, r in enumerate(sorted(found, key=lambda r: r[:2]))]
 
 
 def items(path: str, s: L.Source, d: tuple) -> list[dict]:
@@ -177,8 +180,9 @@ def tuple_surfaces(path: str, s: L.Source, d: tuple) -> list[dict]:
 def _fields(s: L.Source, a: int, b: int) -> Iterator[tuple[str, str | None, L.Token]]:
     i = a
     while i < b:
-        end = i
-        while end < b and s.tokens[end].text not in {";", ","} and not (end > i and s.tokens[end].line > s.tokens[end - 1].line and s.tokens[end].kind == "name" and s.tokens[end - 1].text not in {":", "|", "&", "readonly"}):
+        end, angle = i, 0
+        while end < b and not (s.tokens[end].text == ";" or s.tokens[end].text == "," and not angle) and not (end > i and not angle and s.tokens[end].line > s.tokens[end - 1].line and s.tokens[end].kind == "name" and s.tokens[end - 1].text not in {":", "|", "&", "readonly"}):
+            angle += (s.tokens[end].text == "<") - (s.tokens[end].text == ">" and angle > 0)
             end = s.pair[end] + 1 if end in s.pair and s.pair[end] > end else end + 1
         if end > i and s.tokens[i].kind == "name":
             name, kind = _typed(s, i, end)
@@ -193,7 +197,8 @@ def data_fields(path: str, s: L.Source, d: tuple) -> list[dict]:
         body = x.body
         if x.kind == "type" and body:
             brace = next((k for k in range(body[0], min(body[0] + 3, body[1])) if s.tokens[k].text == "{"), None)
-            body = (brace + 1, s.pair[brace]) if brace is not None else None
+            alone = brace is not None and all(s.tokens[k].text == ";" for k in range(s.pair[brace] + 1, body[1]))
+            body = (brace + 1, s.pair[brace]) if alone else None
         if x.exported and not x.container and body and x.kind in {"interface", "type", "class"}:
             for name, kind, t in _fields(s, *body):
                 out.append({"path": path, "seq": len(out), "type_kind": x.kind, "type_name": x.name, "type_line": x.line, "field_name": name, "type_text": kind, "primitive_type": primitive(kind), "line": t.line, "col": t.col})
@@ -393,7 +398,7 @@ def hook_violations(s: L.Source, body: tuple[int, int], at: int, callee: str) ->
     return sorted(kinds - ({"conditional", "loop", "after-return"} if callee == "use" else set()))
 
 
-def return_shapes(s: L.Source, f: L.Function) -> dict | None:
+def return_shape(s: L.Source, f: L.Function) -> dict | None:
     """Fields and spreads of the first object literal that a function returns."""
     for i in range(f.body[0], f.body[1] - 1):
         if s.tokens[i].text == "return" and s.tokens[i + 1].text in {"{", "("}:
@@ -414,6 +419,11 @@ def return_shapes(s: L.Source, f: L.Function) -> dict | None:
     return None
 
 
+def return_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
+    found = [(f, x) for f in d[1] if (x := return_shape(s, f)) is not None]
+    return [{"path": path, "seq": i, "line": f.line, **x} for i, (f, x) in enumerate(found)]
+
+
 def function_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
     """Every function of the module itself with the metrics of its body: nesting by blocks, awaits, tries, boolean parameters."""
     out = []
@@ -454,7 +464,7 @@ def react_shapes(path: str, s: L.Source, d: tuple) -> list[dict]:
 COLLECTORS: dict[str, Callable[[str, L.Source, tuple], list[dict]]] = {
     "imports": imports, "exports": exports, "items": items, "calls": call_rows, "params": params, "tuple_surfaces": tuple_surfaces, "data_fields": data_fields, "type_aliases": type_aliases,
     "variant_fields": variant_fields, "control_flows": control_flows, "responsibilities": responsibilities, "async_surfaces": async_surfaces, "service_methods": service_methods, "fixtures": fixtures, "signals": signals,
-    "function_shapes": function_shapes, "react_shapes": react_shapes,
+    "function_shapes": function_shapes, "react_shapes": react_shapes, "return_shapes": return_shapes,
 }
 
 
