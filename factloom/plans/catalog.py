@@ -18,7 +18,7 @@ from factloom.operators import joins as J
 from factloom.operators import ranking as W
 from factloom.operators import sets as U
 from factloom.plans import analogues as R
-from factloom.plans import rule_queries, source_queries  # noqa: F401  they register their queries
+from factloom.plans import rule_queries, source_queries, view_queries  # noqa: F401  they register their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 
 FLAGSHIP = "w1_fuzzy_line_search"
@@ -105,12 +105,15 @@ def w9_synthesis_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
  body AS (SELECT m.*, (SELECT any_value(h.snippet) FROM hits h WHERE h.owner_path = m.owner_path AND h.line_range = m.line_range) AS snippet FROM merged m),
  cover AS (SELECT owner_path, CAST(contains(lower(owner_path || chr(10) || snippet), 'license') AS INT) + CAST(contains(lower(owner_path || chr(10) || snippet), 'apache') AS INT) + CAST(contains(lower(owner_path || chr(10) || snippet), 'rights') AS INT) AS n FROM body),
  rows AS (SELECT owner_path, line_range, score + n_terms AS score, 'source-text' AS reason FROM merged
-   UNION ALL SELECT owner_path, NULL, 100 + max(n) * 10 + CASE WHEN contains(owner_path, '/tests/') THEN 0 ELSE 2 END + max(n), 'query-set-owner-coverage' FROM cover WHERE n >= 2 GROUP BY owner_path)
+   UNION ALL SELECT owner_path, NULL, 100 + max(n) * 10 + CASE WHEN contains(owner_path, '/tests/') THEN 0 ELSE 2 END + max(n), 'query-set-owner-coverage' FROM cover WHERE n >= 2 GROUP BY owner_path
+   UNION ALL SELECT 'src/license' || s_suppkey || '.ts', NULL, 124, 'query-set-owner-coverage' FROM supplier WHERE s_suppkey % 3 = 0)
  SELECT owner_path, line_range, score, reason FROM rows"""
 )
 def w6_coverage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, W7: the merged hits and the rows that owners matching two terms add, before the last cut."""
-    return W.query_set(R.hits(spark, sf_dir), R.modules(spark, sf_dir), list(R.TERMS), k=10_000).select("owner_path", "line_range", "score", "reason")
+    k = F.col("s_suppkey")
+    named = R.table(spark, sf_dir, "supplier").select(F.concat(F.lit("src/license"), k.cast("string"), F.lit(".ts")).alias("path"), F.when(k % 3 == 0, F.array(F.lit("Other"), F.lit("Apache"))).otherwise(F.array(F.lit("other"))).alias("export_names"))
+    return W.query_set(R.hits(spark, sf_dir), R.modules(spark, sf_dir).select("path", "export_names").unionByName(named), list(R.TERMS), k=1 << 30).select("owner_path", "line_range", "score", "reason")
 
 
 @query(f"WITH {R.HITS}, o AS (SELECT owner_path, count(DISTINCT term) AS n_terms FROM hits WHERE NOT contains(owner_path, '/tests/') AND contains(lower(owner_path), 'src1') GROUP BY owner_path) SELECT owner_path, n_terms FROM o")
@@ -411,7 +414,7 @@ def a4_distinct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.distinct_targets(R.edges(spark, sf_dir))
 
 
-@query(f"WITH {R.EDGES}, c AS (SELECT from_path, module_specifier, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY from_path ORDER BY n DESC, module_specifier) AS rank FROM c) SELECT from_path, module_specifier, n, rank FROM r WHERE rank <= 3 ORDER BY n DESC, from_path, module_specifier LIMIT 20")
+@query(f"WITH {R.EDGES}, c AS (SELECT from_path, module_specifier, count(*) AS n, min(seq) AS first FROM edges GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY from_path ORDER BY first, module_specifier) AS rank FROM c) SELECT from_path, module_specifier, n, rank FROM r WHERE rank <= 3 ORDER BY from_path, rank LIMIT 20")
 def a5_repeated_specifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.repeated_specifiers(R.edges(spark, sf_dir))
 
@@ -431,13 +434,13 @@ def a13_owner_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.owner_groups(R.modules(spark, sf_dir))
 
 
-@query(f"""WITH {R.FILES}, s AS (SELECT regexp_replace(path, '/[^/]*$', '') AS owner, path FROM files), g AS (SELECT owner, string_agg(path, ',' ORDER BY path) AS paths, count(*) AS n, count(*) FILTER (WHERE contains(path, 'd12')) AS x FROM s GROUP BY owner) SELECT owner, n FROM g WHERE n > 1 AND x = 0""")
+@query("""WITH f AS (SELECT p_partkey AS k, 'src/g' || (p_partkey % 40) || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.ts' END AS path FROM part), u AS (SELECT DISTINCT path FROM f), o AS (SELECT path, regexp_replace(regexp_replace(path, '\\.tsx?$', ''), '/index$', '') AS owner FROM u),
+ joined AS (SELECT DISTINCT a.owner FROM f JOIN o a ON a.path = f.path JOIN o b ON b.path = a.owner || '.ts' WHERE f.k % 120 < 5 AND a.owner = b.owner) SELECT owner, string_agg(path, ',' ORDER BY path) AS paths FROM o WHERE owner NOT IN (SELECT owner FROM joined) GROUP BY owner HAVING count(*) > 1""")
 def a14_shadowed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.files(spark, sf_dir).select("path", F.concat(S.dirname(F.col("path")), F.lit("/index.ts")).alias("index"))
-    m = f.select(F.concat(F.col("index"), F.lit("."), S.basename(F.col("path"))).alias("path"), F.lit("source").alias("role"), S.dirname(F.col("index")).alias("owner"))
-    dup = f.where(F.contains("path", F.lit("d12"))).select(S.dirname(F.col("index")).alias("owner")).distinct()
-    named = m.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
-    return named.join(dup, "owner", "left_anti")
+    k = F.col("p_partkey")
+    f = R.table(spark, sf_dir, "part").select(k, F.concat(F.lit("src/g"), (k % 40).cast("string"), F.when(k % 3 == 0, ".ts").when(k % 3 == 1, ".tsx").otherwise("/index.ts")).alias("path"))
+    exported = f.where("p_partkey % 120 < 5").select(F.col("path").alias("from_path"), F.concat(S.namespace(F.col("path")), F.lit(".ts")).alias("to_path"), F.lit("export").alias("kind"))
+    return A.shadowed_owners(f.select("path", F.lit("source").alias("role")).distinct(), exported).select("owner", F.array_join("paths", ",").alias("paths"))
 
 
 @query(f"WITH {R.FILES} SELECT source, sum(CAST(ceil(length(text) / 3.0) AS BIGINT)) AS tokens, substr(sha256(string_agg(substr(sha256(text), 1, 16), ':' ORDER BY substr(sha256(text), 1, 16))), 1, 16) AS fingerprint FROM files GROUP BY source")
@@ -469,11 +472,12 @@ def a22_finding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.finding_groups(R.findings(spark, sf_dir))
 
 
-@query(f"WITH {R.EDGES} SELECT DISTINCT from_path || ' -> ' || to_path AS line FROM edges WHERE to_path IS NOT NULL UNION SELECT from_path || ' -> pkg' FROM edges WHERE resolution = 'external'")
+@query(f"WITH {R.EDGES} SELECT DISTINCT from_path || ' -> ' || to_path AS line FROM edges WHERE to_path IS NOT NULL UNION SELECT from_path || ' -> pkg' FROM edges WHERE resolution = 'external' UNION SELECT './s' || s_suppkey || ' -> src/f' || s_suppkey || '.ts' FROM supplier")
 def a23_dependency_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = R.edges(spark, sf_dir)
+    e, k = R.edges(spark, sf_dir), F.col("s_suppkey").cast("string")
     packages = e.where("resolution = 'external'").select("from_path", F.lit("pkg").alias("package"))
-    return A.dependency_lines(e, packages, e.select(F.lit(".").alias("subpath"), "to_path").limit(0))
+    entries = R.table(spark, sf_dir, "supplier").select(F.concat(F.lit("./s"), k).alias("subpath"), F.concat(F.lit("src/f"), k, F.lit(".ts")).alias("to_path"))
+    return A.dependency_lines(e, packages, entries)
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
@@ -521,9 +525,12 @@ def w3_per_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.per_group(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3).drop("l_extendedprice")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 12")
+@query("WITH h AS (SELECT 'p' || l_partkey AS path, l_linenumber || ':' || l_linenumber AS line_range, CAST(l_quantity AS INTEGER) AS score, l_suppkey AS mtime_ms FROM lineitem) SELECT path, line_range, score, mtime_ms FROM h ORDER BY score DESC, mtime_ms DESC, path, path || ':' || line_range LIMIT 12")
 def w2_global_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.table(spark, sf_dir, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(W.CAPS["lexical"]).select("l_orderkey", "l_linenumber")
+    """W1, W2: the first twelve hits."""
+    n = F.col("l_linenumber").cast("string")
+    hits = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.concat_ws(":", n, n).alias("line_range"), F.col("l_quantity").cast("int").alias("score"), F.col("l_suppkey").cast("bigint").alias("mtime_ms"))
+    return W.top_hits(hits).select("path", "line_range", "score", "mtime_ms")
 
 
 @query("WITH p AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'docs/' WHEN 1 THEN 'playground/' WHEN 2 THEN 'packages/tests/' ELSE 'packages/' END || 'p' || s_suppkey AS path FROM supplier), c AS (SELECT *, CASE s_suppkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 40 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 10 ELSE 0 END - CASE WHEN s_suppkey % 7 = 0 THEN 5 ELSE 0 END AS score FROM p) SELECT path, score FROM c ORDER BY score, len(string_split(path, '/')), path LIMIT 24")
@@ -534,15 +541,14 @@ def w13_workspace_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.workspace_packages(p, R.table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(k.cast("string").alias("name"))).select("path", "score")
 
 
-@query(f"WITH {R.MODULES} SELECT path FROM modules WHERE NOT has_intent_doc ORDER BY CASE WHEN role = 'facade' THEN 0 ELSE 1 END, len(export_names) DESC, path LIMIT 8")
+@query(f"WITH {rule_queries.M} SELECT path FROM m WHERE NOT doc AND (role = 'facade' AND n_exports >= 3 OR role = 'source' AND n_exports >= 8) ORDER BY CASE WHEN role = 'facade' THEN 0 ELSE 1 END, n_exports DESC, path LIMIT 8")
 def w16_undocumented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.undocumented(R.modules(spark, sf_dir)).select("path")
+    return W.undocumented(rule_queries.modules(spark, sf_dir)).select("path")
 
 
 @query(f"WITH {R.FINDINGS} SELECT seq FROM findings ORDER BY rule_id || chr(0) || path || chr(0) || CAST(line AS VARCHAR) || chr(0) || summary, seq LIMIT 50")
 def w17_finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = R.findings(spark, sf_dir)
-    return f.orderBy(F.concat_ws("\x00", "rule_id", "path", F.col("line").cast("string"), "summary"), "seq").limit(50).select("seq")
+    return W.finding_order(R.findings(spark, sf_dir)).limit(50).select("seq")
 
 
 @query("WITH n AS (SELECT c_nationkey, list_sort(list(c_name)) AS names FROM customer GROUP BY c_nationkey) SELECT c_nationkey, array_to_string(names[1:3], ',') || CASE WHEN len(names) > 3 THEN ',+' || (len(names) - 3) ELSE '' END AS names FROM n")
@@ -776,7 +782,8 @@ def f_occurrences_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.split("url", "/")[2].alias("host")).agg(F.count("*").alias("n"), F.sum(S.occurrences(F.col("html"), F.lit("<p>"))).alias("paragraphs"))
 
 
-def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT 'x' AS path, 'x' AS content_hash, true AS is_valid, 'x' AS facts WHERE false")
+def u_incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document whose snapshot, updated incrementally, differs from one made anew; none is right."""
     from factloom.streaming import incremental
 
@@ -785,4 +792,72 @@ def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.exceptAll(incremental.snapshot_of(f))
 
 
-QUERIES["u_incremental_equals_full"] = incremental_equals_full
+# --- operators over small relations -----------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, contains(lower(s_name), '1') OR s_nationkey = 1 OR contains(CAST(s_nationkey AS VARCHAR), '1') AS hit FROM supplier")
+def p3_any_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", S.any_contains_ci([F.col("s_name"), F.lit(None).cast("string"), F.col("s_nationkey").cast("string")], " 1 ").alias("hit"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'test' WHEN s_suppkey % 3 = 0 THEN 'react' WHEN s_suppkey % 5 = 0 THEN 'effect' WHEN s_suppkey % 7 = 0 THEN 'config' ELSE 'structural' END AS role FROM supplier")
+def p12_syntax_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return R.table(spark, sf_dir, "supplier").select(k, roles.syntax_role(k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0).alias("role"))
+
+
+@query(f"WITH {R.MODULES}, q AS (SELECT c_custkey AS seq, {R._path_sql('c_custkey')} AS path FROM customer) SELECT seq, q.path, role FROM q JOIN modules USING (path)")
+def j7_owners_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), R.module_path(F.col("c_custkey")).alias("path"))
+    return J.owners_of_paths(paths, R.modules(spark, sf_dir)).select("seq", "path", "role")
+
+
+@query("SELECT n_name AS rule, 'pack' || n_regionkey AS pack, CASE WHEN n_regionkey < 3 THEN 'owner' || n_regionkey END AS owner FROM nation")
+def j20_rule_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = F.concat(F.lit("pack"), F.col("n_regionkey").cast("string"))
+    catalog = spark.createDataFrame([(f"pack{i}", f"owner{i}") for i in range(3)], "pack string, owner string")
+    return J.rule_owners(R.table(spark, sf_dir, "nation").select(F.col("n_name").alias("rule"), pack.alias("pack")), catalog).select("rule", "pack", "owner")
+
+
+@query(f"WITH {R.EDGES}, e AS (SELECT from_path AS from_owner, to_path AS to_owner FROM edges WHERE to_path IS NOT NULL) SELECT from_owner, to_owner, count(*) AS weight FROM e WHERE from_owner <> to_owner GROUP BY ALL")
+def a12_weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.weighted_edges(R.edges(spark, sf_dir).where("to_path IS NOT NULL").select(F.col("from_path").alias("from_owner"), F.col("to_path").alias("to_owner"), F.lit(1).alias("weight")).where("from_owner != to_owner"))
+
+
+@query("SELECT count(*) AS n_nodes, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS n_owners, count(*) FILTER (WHERE n_nationkey % 3 = 1) AS n_claims, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS n_stale, count(*) FILTER (WHERE n_nationkey % 3 = 2) AS n_gaps, (SELECT count(*) FROM region) AS n_edges FROM nation")
+def a15_evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    nodes = R.table(spark, sf_dir, "nation").select(F.when(k % 3 == 0, "owner").when(k % 3 == 1, "claim").otherwise("gap").alias("kind"), F.when(k % 2 == 0, "stale").otherwise("fresh").alias("status"))
+    return A.evidence_summary(nodes, R.table(spark, sf_dir, "region"))
+
+
+@query("WITH t AS (SELECT 'tests/s' || l_suppkey || '.ts' AS path, l_linenumber AS n, l_orderkey AS o FROM lineitem) SELECT path, count(*) AS n_tests FROM t WHERE n IN (1, 2) OR (n = 3 AND o % 2 = 0) GROUP BY path ORDER BY path LIMIT 64")
+def a19_test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("tests/s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("path"), F.col("l_linenumber").alias("n"), F.col("l_orderkey").alias("o"))
+    calls = t.where("n != 3").select("path", F.when(F.col("n") == 1, "test").when(F.col("n") == 2, "it").otherwise("describe").alias("callee"))
+    return A.test_function_counts(calls, t.where("n = 3").select("path", F.lit("function").alias("kind"), F.when(F.col("o") % 2 == 0, "testRows").otherwise("rows").alias("name")))
+
+
+@query("SELECT * FROM (VALUES ('owner', 'fresh'), ('claim', 'fresh'), ('test', 'fresh'), ('receipt', 'stale'), ('gap', 'open')) v(kind, status)")
+def gr7_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.evidence_graph(spark, "src/a.ts", True, False)[0].select("kind", "status")
+
+
+@query("SELECT DISTINCT n_regionkey, CASE WHEN n_regionkey = 1 THEN 'a,1,b' ELSE 'a,' || n_regionkey || ',b,1' END AS both FROM nation")
+def u6_append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("n_regionkey").cast("string")
+    return R.table(spark, sf_dir, "nation").select("n_regionkey", F.array_join(U.append_unique(F.array(F.lit("a"), r), F.array(F.lit("b"), F.lit("1"))), ",").alias("both")).distinct()
+
+
+@query(
+    """WITH l AS (SELECT 'src/p' || l_partkey || CASE WHEN l_partkey % 4 = 0 THEN '.test.ts' ELSE '.ts' END AS path, CASE l_linenumber WHEN 1 THEN 'export function load() {}' WHEN 2 THEN 'x = load(1)' WHEN 3 THEN 'export * from save' WHEN 4 THEN 'saved' ELSE 'nothing' END AS t FROM lineitem),
+ h AS (SELECT path, 'load' AS term, CASE WHEN starts_with(t, 'export function load') THEN 0 ELSE 1 END AS cls FROM l WHERE contains(t, 'load') UNION ALL SELECT path, 'save', CASE WHEN contains(t, 'export') THEN 2 ELSE 3 END FROM l WHERE contains(t, 'save')),
+ g AS (SELECT path, term, min(cls) AS cls, contains(path, '.test.') AS test FROM h GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY cls, test, path) AS n FROM g), b AS (SELECT path, min(cls) AS cls, any_value(test) AS test FROM k WHERE n <= 16 GROUP BY path) SELECT path FROM b ORDER BY cls, test, path LIMIT 48"""
+)
+def w10_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S15, W10, over lines of part files; taken however few the files are."""
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    text = F.when(n == 1, "export function load() {}").when(n == 2, "x = load(1)").when(n == 3, "export * from save").when(n == 4, "saved").otherwise("nothing")
+    lines = R.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("src/p"), k.cast("string"), F.when(k % 4 == 0, ".test.ts").otherwise(".ts")).alias("path"), text.alias("text"))
+    return W.prefilter(lines, ["load", "save"], least_files=0)
