@@ -17,7 +17,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
@@ -102,16 +102,18 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): each node of an edge with the smallest node it can reach. Neighbours' minima, then a jump to the minimum's own, until nothing moves; each turn is written to the checkpoint folder."""
-    both = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionAll(edges.select(F.col(b), F.col(a))).where("a != b").distinct())
+    ends = F.explode(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))).alias("e")  # both directions of edges that are computed once
+    both = cut(edges.where(F.col(a) != F.col(b)).select(ends).select("e.a", "e.b").distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
     while True:
         low = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         near = label.join(low, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("mid"))
         jump = label.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = cut(near.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp")))
-        if new.where("comp != was").isEmpty():
-            return new.select("node", "comp")
-        label = new.select("node", "comp")
+        moved = Observation()  # counted as the turn is written
+        new = near.join(jump, "mid", "left").select("node", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp"))
+        label = cut(new.observe(moved, F.count(F.when(F.col("comp") != F.col("was"), 1)).alias("n"))).select("node", "comp")
+        if not moved.get["n"]:
+            return label
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
@@ -242,14 +244,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, share: int = 80) -> Dat
     long = open_.where(F.col("c") > SHORT).join(hubs.withColumnRenamed("b", "hub"), ["i", "v"]).select("hub", "rep", "comp").distinct()
     hub_comp = long.where("rep = hub").select("hub", F.col("comp").alias("hub_comp"))
     joined = _long_lists(long.join(hub_comp, "hub").join(classes.select("rep", "n"), "rep"), sets, share)
-    texts_linked = components(first.unionAll(more).unionAll(joined))
-    final = texts_linked if same.isEmpty() else components(texts_linked.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(same))
+    texts_linked = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(more).unionAll(joined))
 
     def lowest(linked: DataFrame, name: str) -> DataFrame:
         held = linked.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id"), "rep")
         return held.join(held.groupBy("comp").agg(F.min("doc_id").alias(name)), "comp").select("rep", name)
 
-    by_class = classes.join(lowest(final, "low"), "rep", "left").join(lowest(texts_linked, "text_low"), "rep", "left")
+    by_class = classes.join(lowest(texts_linked, "text_low"), "rep", "left")
+    if same.isEmpty():
+        by_class = by_class.withColumn("low", F.col("text_low"))
+    else:
+        final = components(texts_linked.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(same))
+        by_class = by_class.join(lowest(final, "low"), "rep", "left")
     by_class = by_class.select("digest", F.coalesce("low", "doc_id").alias("component_id"), F.coalesce("text_low", "doc_id").alias("text_low"))
     out = signed.select("doc_id", F.col("h").alias("text_hash"), "digest", F.col("n").alias("n_shingles")).join(by_class, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
