@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import annsearch, bpe, decontam, fixity, htmlmain, lm, neardup, pii, quality, sharding
+from factloom.llm import annsearch, bpe, decontam, fixity, htmlmain, lm, neardup, packing, pii, quality, resample, sharding, spelling
 from factloom.llm.common import id_crc, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED = "byte_bpe_50k.json"
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +70,23 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACKED))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hilbert_sharding, op2_merkle_fixity, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text)
+    for f in (op1_hilbert_sharding, op2_merkle_fixity, op3_pii_spans, op4_kmeans_tree, op5_backoff_lm, op6_byte_bpe, op7_quality_gam, op8_edit_decontamination, op9_minhash_neardup, op10_template_text, op11_importance_resampling, op12_best_fit_packing, op13_spelling_variants)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_merkle_fixity": """WITH n AS (SELECT page_id, url, html, strlen(url) + strlen(html) + length(CAST(strlen(html) AS VARCHAR)) + length('WARC/1.0..WARC-Type: response..WARC-Target-URI: ..Content-Length: ........') AS n_bytes FROM pages),
