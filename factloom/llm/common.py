@@ -61,3 +61,11 @@ def id_crc(doc_id: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many signs more as no column of ``df`` has it, in small letters or large."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

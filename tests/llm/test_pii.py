@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def test_odd_rows(odd, nothing):
     rows = pii.find_pii(odd).select("doc_id", F.size("pii").alias("n")).collect()
     assert len(rows) == 10
     assert sum(r.n for r in rows) == 2
-    assert pii.redact(odd).columns == [c for c in odd.columns if c != "_pii"]
+    assert pii.redact(odd).columns == odd.columns
     assert pii.find_pii(nothing).count() == 0
 
 
@@ -89,3 +90,49 @@ def test_context_after_a_span(spark, text, kinds):
     df = spark.createDataFrame([(text,)], "text string")
     assert [x.kind for x in pii.find_pii(df).first().pii] == kinds
     assert ("078" in pii.redact(df).first().text) == (not kinds)
+
+
+def test_long_addresses_and_many_spans_end(spark):
+    """Many labels used to recurse once each; many spans used to take a walk over the whole text each."""
+    texts = ["a@" + "b." * 50_000 + "c", "x" * 30 + " a@b.cd" * 100_000, "4111 1111 1111 1111, 10.0.0.1; " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    began = time.time()
+    found = {r.i: [(x.kind, x.s, x.e) for x in r.pii if x.kind in pii.BASE] for r in pii.find_pii(df).collect()}
+    assert [found[i] for i in range(3)] == [brute(t) for t in texts]
+    clean = {r.i: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "<email>"
+    assert clean[1] == "x" * 30 + " <email>" * 100_000
+    assert clean[2] == "<card>, <ip>; " * 20_000
+    assert time.time() - began < 120
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for s, e, kind in sorted(((s, -e, k) for k, s, e in spans)):
+        if s >= at:
+            out += [text[at:s], f"<{kind}>"]
+        at = max(at, -e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_is_the_definition(spark):
+    random.seed(8)
+    parts = ["4111 1111 1111 1111", "+1 (555) 123-4567", "a@b.org", "10.0.0.1", "+41 1111 1111 1111 1111", " ", "é🙂", "card", "x", "DE89370400440532013000", "1.2.3.4@5.6"]
+    texts = ["".join(random.choice(parts) for _ in range(random.choice([3, 30, 1500]))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    spans = {r.i: [(x.kind, x.s, x.e) for x in r.pii] for r in pii.find_pii(df).collect()}
+    assert {r.i: r.text for r in pii.redact(df).collect()} == {i: plain_redaction(t, spans[i]) for i, t in enumerate(texts)}
+
+
+def test_running_sums_over_blocks(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        df = spark.createDataFrame([([k % 7 for k in range(n)],)], "v array<int>")
+        got = df.select(pii.running(F.col("v"), lambda a, x: a + x).alias("r")).first().r
+        assert got == [sum(k % 7 for k in range(i)) for i in range(n)]
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["_whole", "_pii", "_email", "_ip", "_card", "_phone", "_iban", "_ssn", "PII"]
+    df = spark.createDataFrame([(1, "a@b.org", *names)], ", ".join(["doc_id int", "text string", *(f"{n} string" for n in names)]))
+    assert pii.find_pii(df, out="found").first().asDict() | {"found": 0} == {"doc_id": 1, "text": "a@b.org", "found": 0} | {n: n for n in names}
+    assert pii.redact(df).first().asDict() == {"doc_id": 1, "text": "<email>"} | {n: n for n in names}
