@@ -4,6 +4,10 @@
 DataFrame; all but the last return the columns of documents. ``run`` applies them, each stage's rows written as Parquet in
 the cluster's shared folder and read again. SQL can't express the stages, so there is no ``ORACLE_SQL``: the tests hold them
 against brute force.
+
+In every stage an empty table stays empty, repeated rows are treated each by itself (but as copies of each other by the
+near-duplicate stage), and further columns, of whatever names, come out as they went in (the last stage doesn't read them).
+Null and empty texts are scored like any other, are linked with nothing, hold no benchmark item and no personal data, and have no tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontam, neardup, pii, quality
-from factloom.llm.common import stored, table
+from factloom.llm.common import free_name, stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,8 +30,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate texts, five-word shingles at a similarity of 0.8, the rows of the smallest id. A row goes only for its own text: of an id with several texts those without a copy stay. Rows without id stay."""
-    lost = neardup.near_duplicates(docs, size=5, share=80).where("NOT text_kept").select("doc_id", "text_hash").distinct()
-    return docs.withColumn("text_hash", F.xxhash64("text")).join(lost.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    of_text = free_name(docs, "of_text")
+    lost = neardup.near_duplicates(docs, size=5, share=80).where("NOT text_kept").select("doc_id", F.col("text_hash").alias(of_text)).distinct()
+    return docs.withColumn(of_text, F.xxhash64("text")).join(lost.hint("shuffle_hash"), ["doc_id", of_text], "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +42,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
-    clean = pii.redact(docs.withColumn("_was", F.length("text")))
-    now = F.length("text")
-    return clean.withColumn("n_chars", F.when(now != F.col("_was"), now.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    before, now = free_name(docs, "before"), F.length("text")
+    clean = pii.redact(docs.withColumn(before, F.length("text")))
+    return clean.withColumn("n_chars", F.when(now != F.col(before), now.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
