@@ -28,3 +28,27 @@ def stored(df: DataFrame, *parts: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/facts-{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Turns:
+    """A state that is written anew each turn, as Parquet in the shared folder; the turn before is removed then, so that disk holds two at most.
+
+    Read as a table it carries nothing of the plan that made it: what the optimizer derives about columns of a checkpoint (its constraints) would grow with each turn.
+    Only the last DataFrame given out can be read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, f"{shared_folder(self.spark)}/turn-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if before is not None:
+            remove(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the cluster's file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

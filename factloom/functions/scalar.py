@@ -111,6 +111,28 @@ def fuzzy_match(candidate: Column, query: Column) -> Column:
     return F.when((q == "") | q.isNull() | candidate.isNull(), F.lit(None)).when(F.contains(text, q), exact).when((walk["at"] > 0) & (span <= F.greatest(length * 3, length + 12)), loose)
 
 
+def fuzzy_match_of(low: Column, query: str) -> Column:
+    """``fuzzy_match`` of a candidate in small letters and a query that is known: its signs in order are one pattern, which few
+    candidates pass, and the greedy walk is a chain of ``locate`` calls, without a fold."""
+    q = query.strip(" ").lower()
+    signs = re.sub(r"[ \t\n\x0b\f\r]+", "", q)
+    n, length = len(signs), len(q)
+    kind = "struct<score:int,column:int>"
+    if not q:
+        return F.lit(None).cast(kind)
+    exact = F.struct(F.lit(length + 12).alias("score"), F.locate(q, low).alias("column"))
+    found = F.when(F.contains(low, F.lit(q)), exact)
+    if n:
+        first = at = F.locate(signs[0], low)
+        for c in signs[1:]:
+            at = F.call_function("locate", F.lit(c), low, at + 1)
+        span = at - first + 1
+        inside = low.rlike("^" + "".join(f"[^{re.escape(c)}]*+{re.escape(c)}" for c in signs))  # gives nothing back, so that a line is walked once
+        loose = F.struct((F.lit(4) + F.greatest(F.lit(0), F.lit(n * 2) - (span - n))).alias("score"), first.alias("column"))
+        found = found.when(inside & (span <= max(length * 3, length + 12)), loose)
+    return found.cast(kind)
+
+
 def specificity(term: Column) -> Column:
     """Distinct signs, length, and 8 for each structural sign."""
     signs = F.filter(F.split(term, ""), lambda c: c != "")

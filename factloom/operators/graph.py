@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.checkpoints import cut
+from factloom.operators.components import on_cycles, reached
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def orphans(modules: DataFrame, dependencies: DataFrame, visible: DataFrame) ->
     nodes = source.select("path")
     edges = dependencies.where("NOT is_test_context AND to_path IS NOT NULL").select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"))
     edges = edges.join(nodes.withColumnRenamed("path", "src"), "src", "left_semi").join(nodes.withColumnRenamed("path", "dst"), "dst", "left_semi")
-    lost = source.where("role = 'source'").join(reachable(edges, roots).select(F.col("node").alias("path")), "path", "left_anti").select("path")
+    lost = source.where("role = 'source'").join(reached(edges, roots).select(F.col("node").alias("path")), "path", "left_anti").select("path")
     return lost if not roots.isEmpty() else lost.limit(0)
 
 
@@ -137,17 +138,9 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damp
     return rank
 
 
-def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
-    """Nodes that reach themselves within ``most`` steps. Pairs (start, node) grow by a step a turn, each pair once."""
-    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    seen = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    front = seen
-    for _ in range(most - 1):
-        new = cut(front.join(e.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen, front = cut(seen.unionAll(new)), new
-    return seen.where("start = node").select("node").distinct()
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves, in whatever number of steps."""
+    return on_cycles(edges)
 
 
 def flow_lite(functions: DataFrame, calls: DataFrame, function: str, source: str, sink: str) -> DataFrame:

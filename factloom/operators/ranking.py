@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,83 @@ def lexical_lines(documents: DataFrame, query: str, fuzzy: bool = True, per_modu
     held = documents.where(F.contains(F.lower("text"), F.lit(needle if not fuzzy else needle[0])))
     lines = held.select("path", F.posexplode(S.source_lines(F.col("text"))).alias("pos", "row"))
     if fuzzy:
-        m = lines.withColumn("m", S.fuzzy_match(F.col("row"), F.lit(needle))).where("m IS NOT NULL").withColumns({"score": F.col("m.score"), "column": F.col("m.column")})
+        m = lines.withColumn("m", S.fuzzy_match_of(F.lower("row"), needle)).where("m IS NOT NULL").withColumns({"score": F.col("m.score"), "column": F.col("m.column")})
     else:
         m = lines.where(S.contains_ci(F.col("row"), query)).withColumns({"score": F.when(F.contains("row", F.lit(query)), 2).otherwise(1), "column": F.locate(needle, F.lower("row"))})
     out = m.select("path", (F.col("pos") + 1).alias("line"), "score", "column", S.capped_line(F.col("row")).alias("snippet"))
     return per_group(out, ["path"], [F.asc("line")], per_module)
 
 
+def first_hits(hits: DataFrame, order: list[Column], k: int = CAPS["lexical"]) -> DataFrame:
+    """The first k hits of each term, with their place as ``depth``. Each task keeps k of a term before the exchange, so that no task meets a term's hits."""
+    return hits.withColumn("depth", F.row_number().over(Window.partitionBy("term").orderBy(*order))).where(F.col("depth") <= k)
+
+
 def interleave(hits: DataFrame, k: int = CAPS["lexical"]) -> DataFrame:
     """Hits of several terms (term, seq, key columns, score) merged: terms by specificity, depth by depth; the first k distinct keys
-    stay, with the hit that came first and all terms that hit them."""
-    by_term = Window.partitionBy("term").orderBy("seq")
-    placed = hits.withColumn("depth", F.row_number().over(by_term)).withColumn("spec", S.specificity(F.col("term")))
+    stay, with the hit that came first and all terms that hit them.
+
+    A key among the first k has its place at a depth of k at most, so the first k hits of each term decide. Hits that know all terms of their key
+    have them in a column ``terms``; else they are looked up for the k keys that stay.
+    """
     key = F.concat_ws("\x00", *[F.coalesce(F.col(c), F.lit("")) for c in HIT_KEY])
-    placed = placed.withColumn("key", key).withColumn("place", F.struct("depth", (-F.col("spec")).alias("s"), "term"))
-    merged = placed.groupBy("key").agg(F.min("place").alias("place"), F.min_by(F.struct(*[c for c in hits.columns if c != "term"]), "place").alias("hit"), F.array_sort(F.collect_set("term")).alias("terms"))
-    return merged.orderBy("place").limit(k).select("key", "hit.*", "terms", F.col("place.depth").alias("depth"))
+    keyed = hits.withColumn("key", key)
+    placed = first_hits(keyed, [F.asc("seq")], k).withColumn("place", F.struct("depth", (-S.specificity(F.col("term"))).alias("s"), "term"))
+    own = [c for c in hits.columns if c not in ("term", "terms")]
+    known = "terms" in hits.columns
+    merged = placed.groupBy("key").agg(F.min("place").alias("place"), F.min_by(F.struct(*own), "place").alias("hit"), *[F.first("terms").alias("terms")] * known)
+    first = merged.orderBy("place").limit(k)
+    if not known:  # k rows are sent to all tasks
+        terms = keyed.join(F.broadcast(first.select("key")), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        first = first.join(terms, "key").orderBy("place")
+    return first.select("key", "hit.*", "terms", F.col("place.depth").alias("depth"))
+
+
+def _line_hit(rows: Column, term: str, fuzzy: bool) -> Callable[[Column, Column], Column]:
+    """From a line in small letters and its place: a struct of what the term finds in it; without a score where it finds nothing."""
+    needle = term.strip().lower()
+
+    def hit(low: Column, at: Column) -> Column:
+        row = F.get(rows, at)
+        if fuzzy:
+            m = S.fuzzy_match_of(low, needle)
+            score, column = m["score"], m["column"]
+        else:
+            score = F.when(F.contains(low, F.lit(needle)), F.when(F.contains(row, F.lit(term)), 2).otherwise(1))
+            column = F.locate(needle, low)
+        return F.struct(F.lit(term).alias("term"), (at + 1).alias("line"), score.cast("int").alias("score"), column.cast("int").alias("column"), row.alias("row"))
+
+    return hit
+
+
+def line_hits(documents: DataFrame, terms: list[str], fuzzy: bool = True, per_module: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of (path, text) that match, of all terms in one scan: term, path, line, score, column, snippet, the terms of which the line is a hit, and the columns ``keep``.
+
+    Of each term a path's first ``per_module`` matching lines are hits. All is found inside a text's row: texts are split once, and nothing is exchanged.
+    A text that lacks a term's first sign (or, in exact search, the term) is passed over for it.
+    """
+    held = documents.where("text IS NOT NULL").select("path", "text", *keep)
+    found = []
+    for term in dict.fromkeys(t for t in terms if t.strip()):
+        needle = term.strip().lower()
+        each = F.filter(F.transform("_low", _line_hit(F.col("_rows"), term, fuzzy)), lambda x: x["score"].isNotNull())
+        possible = F.contains(F.lower("text"), F.lit(needle[0] if fuzzy else needle))
+        found.append(F.when(possible, F.slice(each, 1, per_module)).otherwise(F.array()))
+    if not found:
+        return documents.selectExpr("'' AS term", "path", "0 AS line", "0 AS score", "0 AS column", "'' AS snippet", "array('') AS terms", *keep).limit(0)
+    whole = held.withColumns({"_rows": S.source_lines(F.col("text")), "_low": S.source_lines(F.lower("text"))}).select("path", *keep, F.concat(*found).alias("found")).where(F.size("found") > 0)
+    terms_of = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda y: y["line"] == x["line"]), lambda y: y["term"])))
+    hit = F.explode(F.transform("found", lambda x: F.struct(x.alias("x"), terms_of(x).alias("terms"))))
+    return whole.select("path", *keep, hit.alias("h")).select("h.x.term", "path", "h.x.line", "h.x.score", "h.x.column", S.capped_line(F.col("h.x.row")).alias("snippet"), "h.terms", *keep)
+
+
+def query_set_lines(documents: DataFrame, terms: list[str], fuzzy: bool = True, k: int = CAPS["lexical"]) -> DataFrame:
+    """The terms' line hits merged, from one scan: the first k of each term, then depth by depth."""
+    hits = line_hits(documents, terms, fuzzy).select(
+        "term", F.lit("text").alias("kind"), F.col("path").alias("owner_path"), F.lit(None).cast("string").alias("symbol"), "path", F.concat_ws(":", "line", "line").alias("line_range"),
+        "score", F.lit("source-text").alias("reason"), "snippet", F.lit(0).cast("bigint").alias("mtime_ms"), "terms",
+    )
+    return interleave(first_hits(hits, hit_order(), k).withColumnRenamed("depth", "seq"), k)
 
 
 def coverage_hits(merged: DataFrame, branches: DataFrame, terms: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scalar as S
@@ -180,25 +180,24 @@ def _lexical(c: Catalog, query: str, query_set: list[str] | None = None, owner:
     """Fuzzy hits in paths, exports and lines; several terms are merged by coverage."""
     files = c["source_files"].select("path", F.col("content").alias("text"), "mtime_ms")
     b = branches(c)
-
-    def hits(term: str) -> DataFrame:
-        m = lambda col: S.fuzzy_match(col, F.lit(term))
-        paths = files.select(F.lit("path").alias("kind"), "path", F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("line_range"), m(F.col("path"))["score"].alias("score"), F.lit("path-fuzzy").alias("reason"), F.lit(None).cast("string").alias("snippet"))
-        named = b.select("path", F.explode("export_names").alias("symbol")).select(F.lit("export").alias("kind"), "path", "symbol", F.lit(None).cast("string").alias("line_range"), m(F.col("symbol"))["score"].alias("score"), F.lit("export-fuzzy").alias("reason"), F.lit(None).cast("string").alias("snippet"))
-        lines = W.lexical_lines(files, term).select(F.lit("text").alias("kind"), "path", F.lit(None).cast("string").alias("symbol"), F.concat_ws(":", "line", "line").alias("line_range"), "score", F.lit("source-text-fuzzy").alias("reason"), "snippet")
-        both = paths.unionByName(named).unionByName(lines).where("score IS NOT NULL")
-        if owner:
-            both = both.where(F.col("path") == owner)
-        return both.join(files.select("path", "mtime_ms"), "path", "left").withColumn("owner_path", F.col("path")).withColumn("term", F.lit(term))
-
-    from pyspark.sql import Window
-
     terms = query_set or [query]
-    rows = reduce(DataFrame.unionByName, [hits(t) for t in terms])
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("term").orderBy(*W.hit_order(), "kind", "symbol")).cast("bigint"))
+    nothing = F.lit(None).cast("string")
+
+    def named(df: DataFrame, kind: str, symbol: Column, value: str) -> DataFrame:
+        """Hits of all terms in one value of a row."""
+        found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), S.fuzzy_match_of(F.lower(value), t)["score"].alias("score")) for t in terms]), lambda x: x["score"].isNotNull())
+        rows = df.withColumns({"symbol": symbol, "found": found}).where(F.size("found") > 0).select("path", "symbol", "mtime_ms", F.explode("found").alias("x"), F.transform("found", lambda x: x["term"]).alias("terms"))
+        return rows.select("x.term", F.lit(kind).alias("kind"), "path", "symbol", nothing.alias("line_range"), "x.score", F.lit(f"{kind}-fuzzy").alias("reason"), nothing.alias("snippet"), "mtime_ms", "terms")
+
+    exports = b.select("path", F.explode("export_names").alias("value")).join(files.select("path", "mtime_ms"), "path", "left")
+    lines = W.line_hits(files, terms, keep=("mtime_ms",)).select("term", F.lit("text").alias("kind"), "path", nothing.alias("symbol"), F.concat_ws(":", "line", "line").alias("line_range"), "score", F.lit("source-text-fuzzy").alias("reason"), "snippet", "mtime_ms", "terms")
+    rows = named(files, "path", nothing, "path").unionByName(named(exports, "export", F.col("value"), "value")).unionByName(lines).withColumn("owner_path", F.col("path"))
+    if owner:
+        rows = rows.where(F.col("path") == owner)
     if not query_set:
-        return {"hits": W.top_hits(rows)}
-    return {"hits": W.query_set(rows, b, terms), "coverage": A.query_coverage(c.spark.createDataFrame([(t,) for t in terms], "term string"), rows, W.interleave(rows)), "owners": W.synthesis_owners(rows)}
+        return {"hits": W.top_hits(rows.drop("terms"))}
+    first = W.first_hits(rows, [*W.hit_order(), F.asc("kind"), F.asc("symbol")]).withColumnRenamed("depth", "seq")
+    return {"hits": W.query_set(first, b, terms), "coverage": A.query_coverage(c.spark.createDataFrame([(t,) for t in terms], "term string"), rows, W.interleave(first)), "owners": W.synthesis_owners(rows)}
 
 
 @view("reasoning")

@@ -18,7 +18,7 @@ from factloom.operators import joins as J
 from factloom.operators import ranking as W
 from factloom.operators import sets as U
 from factloom.plans import analogues as R
-from factloom.plans import rule_queries, source_queries, view_queries  # noqa: F401  they register their queries
+from factloom.plans import graph_queries, rule_queries, search_queries, source_queries, view_queries  # noqa: F401  they register their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 
 FLAGSHIP = "w1_fuzzy_line_search"
@@ -510,7 +510,7 @@ def gr5_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.roots(R.modules(spark, sf_dir).select(F.col("path").alias("owner")), R.edges(spark, sf_dir).where("to_path IS NOT NULL").select(F.col("to_path").alias("to_owner")))
 
 
-@query("WITH e AS (SELECT DISTINCT l_suppkey % 60 AS src, (l_suppkey % 60 * 7 + 3) % 60 AS dst FROM lineitem), w2 AS (SELECT a.src AS s, b.dst AS n FROM e a JOIN e b ON a.dst = b.src), w3 AS (SELECT s, e.dst AS n FROM w2 JOIN e ON e.src = w2.n), w4 AS (SELECT s, e.dst AS n FROM w3 JOIN e ON e.src = w3.n) SELECT DISTINCT s AS node FROM (SELECT src AS s, dst AS n FROM e UNION SELECT * FROM w2 UNION SELECT * FROM w3 UNION SELECT * FROM w4) WHERE s = n")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 60 AS src, (l_suppkey % 60 * 7 + 3) % 60 AS dst FROM lineitem), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT DISTINCT a AS node FROM r WHERE a = b")
 def gr10_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey") % 60
     return G.cycles(R.table(spark, sf_dir, "lineitem").select(s.alias("src"), ((s * 7 + 3) % 60).alias("dst")))
