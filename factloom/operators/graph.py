@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.checkpoints import cut
+from factloom.checkpoints import Turns, cut
 from factloom.operators.components import on_cycles, reached
 
 
@@ -124,18 +124,58 @@ def evidence_graph(spark, owner: str, has_tests: bool, has_receipt: bool) -> tup
     return spark.createDataFrame(nodes, "kind string, id string, status string"), spark.createDataFrame(edges, "source string, target string, relation string")
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """Random walks that return to the seeds (column node): the ranking that a graph request names. Each round is two equi joins; lineage is cut every round."""
-    e = edges.select("src", "dst").distinct()
-    out = cut(e.join(e.groupBy("src").agg(F.count("*").alias("n")), "src"))
-    start = seeds.select("node").distinct()
-    n = max(start.count(), 1)
-    base = cut(start.withColumn("p", F.lit(1.0 / n)))
-    rank = base
-    for _ in range(rounds):
-        moved = out.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("p") / F.col("n")) * damping).alias("p"))
-        rank = cut(moved.unionAll(base.select("node", F.col("p") * (1 - damping))).groupBy("node").agg(F.sum("p").alias("p")))
-    return rank
+def personalised_rank(edges: DataFrame, seeds: DataFrame, weights: dict[str, float] | None = None, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:
+    """(node, p): where walks are that return to the seeds (column node) with 1 - ``damping`` at each step; they sum to one.
+
+    Edges are (src, dst) and, if weighted, relation; an edge counts as much as ``weights`` has for its relation (else 1), parallel edges together. From a node
+    without a way out a walk goes back to the seeds. Residuals are pushed: a node whose residual is above a threshold keeps its share and hands the
+    rest on, until none is above; then at most ``tolerance`` is left in all, and stays where it is. A turn holds ``PUSHES`` pushes, each an
+    equi join and a sum, and writes the state, one row a node.
+    """
+    weight = F.lit(1.0)
+    for relation, w in (weights or {}).items():
+        weight = F.when(F.col("relation") == relation, F.lit(float(w))).otherwise(weight)
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum(weight).alias("w")).where("w > 0")
+    whole = e.groupBy("src").agg(F.sum("w").alias("all"))
+    start = cut(seeds.select(F.col("node").cast("string")).where("node IS NOT NULL").distinct())
+    kind = seeds.schema["node"].dataType.simpleString()
+    named = e.join(whole, "src").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), (F.col("w") / F.col("all") * damping).alias("share"))
+    nodes = cut(named.select(F.col("src").alias("node")).union(named.select("dst")).union(start).distinct())
+    n_seeds = max(start.count(), 1)
+    # walks from nodes without a way out meet in one place, which hands everything on to the seeds
+    lost = nodes.join(named.select(F.col("src").alias("node")), "node", "left_anti").select(F.col("node").alias("src"), F.lit(_BACK).alias("dst"), F.lit(damping).alias("share"))
+    back = start.select(F.lit(_BACK).alias("src"), F.col("node").alias("dst"), F.lit(1.0 / n_seeds).alias("share"))
+    ways = cut(named.unionByName(lost).unionByName(back))
+    threshold = tolerance / max(nodes.count(), 1)
+    turns = Turns(edges.sparkSession)
+    state = turns.put(start.select("node", F.lit(0.0).alias("p"), F.lit(1.0 / n_seeds).alias("r")))
+    high = F.col("r") > threshold
+    while not state.where(high).isEmpty():
+        pushed = state
+        for _ in range(PUSHES):
+            handed = ways.join(pushed.where(high).select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("r"))
+            keeps = F.when(F.col("node") == _BACK, 0.0).otherwise(F.col("r") * (1 - damping))
+            own = pushed.select("node", (F.col("p") + F.when(high, keeps).otherwise(0.0)).alias("p"), F.when(high, 0.0).otherwise(F.col("r")).alias("r"))
+            pushed = own.unionByName(handed.select("node", F.lit(0.0).alias("p"), "r")).groupBy("node").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        state = turns.put(pushed)
+    left = state.where(F.col("node") == _BACK).agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("back")).first().back
+    here = state.where(F.col("node") != _BACK).join(start.select("node", F.lit(left / n_seeds).alias("more")), "node", "left")
+    return here.select(F.col("node").cast(kind).alias("node"), (F.col("p") + F.col("r") + F.coalesce("more", F.lit(0.0))).alias("p"))
+
+
+PUSHES = 3
+_BACK = "\x00back"
+
+
+def diverse(ranked: DataFrame, budget: int = 8, fade: float = 0.5) -> DataFrame:
+    """(node, kind, p, place): ``budget`` nodes chosen one after another, each the best when every node of a kind counts ``fade`` times as much for each one of its kind that was chosen before.
+
+    In a kind the choice goes by p, so that the k-th best of a kind counts p x fade^(k - 1) when its turn comes, and the choice is the first of all by that. Each task keeps ``budget`` rows of a kind.
+    """
+    w = Window.partitionBy("kind").orderBy(F.desc("p"), "node")
+    of_kind = ranked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= budget)
+    chosen = of_kind.withColumn("worth", F.col("p") * F.pow(F.lit(fade), F.col("k") - 1)).orderBy(F.desc("worth"), "node").limit(budget)
+    return chosen.select("node", "kind", "p", F.row_number().over(Window.orderBy(F.desc("worth"), "node")).alias("place"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scalar as S
-from factloom.operators.filters import Predicate, Selector, where_all, where_terms
+from factloom.operators.filters import OPS, Operand, Predicate, Selector, where_all, where_terms
 
 # fixed values: the kinds of items, imports and calls that a catalog asks for
 CATALOGS = {
@@ -54,6 +56,115 @@ def run_plan(plan: Plan, items: DataFrame, imports: DataFrame, calls: DataFrame)
     return where_all(rows, list(plan.predicates)).orderBy("path", "line", "name")
 
 
+PLAN_FIELDS = {"id", "catalog", "captures", "kinds", "predicates", "terms", "selector", "expression", "compiled"}
+MOST_PLANS = 1_000  # plans of one scan: each is an expression over every row
+
+
+class BadPlan(ValueError):
+    """A plan that can't be run; the text says why."""
+
+
+def _strings(value: object, name: str) -> tuple[str, ...]:
+    if value is None:
+        return ()
+    if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
+        raise BadPlan(f"{name} must be a list of strings")
+    return tuple(value)
+
+
+def parse_plan(text: str) -> tuple[Plan, tuple[str, ...]]:
+    """A plan and its captures from JSON: catalog, captures, kinds, predicates ({op, capture, values}, where a value is a string or {capture}), terms, selector.
+
+    An ``expression`` is taken only beside ``"compiled": true``, that is, with captures, kinds and predicates that stand for it.
+    """
+    try:
+        data = json.loads(text)
+    except (TypeError, ValueError):
+        raise BadPlan("not JSON") from None
+    if not isinstance(data, dict):
+        raise BadPlan("not an object")
+    if strange := sorted(set(data) - PLAN_FIELDS):
+        raise BadPlan(f"unknown field {strange[0]}")
+    if data.get("catalog") not in CATALOGS:
+        raise BadPlan(f"unknown catalog {data.get('catalog')!r}")
+    if data.get("expression") is not None and data.get("compiled") is not True:
+        raise BadPlan("an inline expression has no compiled plan")
+    predicates = []
+    for p in data.get("predicates") or []:
+        if not isinstance(p, dict) or p.get("op") not in OPS:
+            raise BadPlan(f"unknown predicate {p.get('op') if isinstance(p, dict) else p!r}")
+        if p.get("capture") not in ("name", "kind", "capture", "container", "path"):
+            raise BadPlan(f"unknown capture {p.get('capture')!r}")
+        values = p.get("values")
+        if not isinstance(values, list) or not values:
+            raise BadPlan("a predicate needs values")
+        operands = []
+        for v in values:
+            if isinstance(v, str):
+                operands.append(Operand(v))
+            elif isinstance(v, dict) and v.get("capture") in ("name", "kind", "capture", "container", "path"):
+                operands.append(Operand(v["capture"], is_capture=True))
+            else:
+                raise BadPlan("a value is a string or a capture")
+        if p["op"] in ("match", "any-match", "not-match"):
+            for o in operands:
+                try:
+                    re.compile(o.value)
+                except re.error:
+                    raise BadPlan(f"not a pattern: {o.value}") from None
+        predicates.append(Predicate(p["op"], p["capture"], tuple(operands)))
+    selector = data.get("selector")
+    if selector is not None:
+        try:
+            Selector.parse(selector)
+        except (TypeError, ValueError):
+            raise BadPlan("not a selector") from None
+    return Plan(data["catalog"], _strings(data.get("kinds"), "kinds"), tuple(predicates), _strings(data.get("terms"), "terms"), selector), _strings(data.get("captures"), "captures")
+
+
+def plan_column(plan: Plan, captures: tuple[str, ...] = ()) -> Column:
+    """The one condition that a plan puts on its catalog's rows."""
+    held = F.lit(True) if plan.selector is None else Selector.parse(plan.selector).column()
+    if captures:
+        held = held & F.col("capture").isin(*captures)
+    if plan.kinds:
+        held = held & F.col("kind").isin(*plan.kinds)
+    text = F.lower(F.concat_ws("\n", "name", "kind", "capture", "container"))
+    for t in plan.terms:
+        held = held & F.contains(text, F.lit(t.lower()))
+    for p in plan.predicates:
+        held = held & p.column()
+    return F.coalesce(held, F.lit(False))
+
+
+def run_plans(plans: DataFrame, rows: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(hits, errors) of a table of plans (plan string, text string, JSON): hits are the catalogs' rows with the plan they belong to, errors (plan, error) those that can't be run.
+
+    ``rows`` has each catalog's relation. The plans, ``MOST_PLANS`` at most, are read to the driver; each catalog is scanned once for all its plans, and a row is copied once for each plan that takes it.
+    """
+    spark = plans.sparkSession
+    given = plans.select("plan", "text").limit(MOST_PLANS + 1).collect()
+    if len(given) > MOST_PLANS:
+        raise BadPlan(f"more than {MOST_PLANS} plans")
+    good: dict[str, list[tuple[str, Column]]] = {}
+    bad: list[tuple[str, str]] = []
+    for r in given:
+        try:
+            plan, captures = parse_plan(r.text)
+            good.setdefault(plan.catalog, []).append((r.plan, plan_column(plan, captures)))
+        except BadPlan as e:
+            bad.append((r.plan, str(e)))
+    hits = None
+    for catalog, columns in good.items():
+        df = rows[catalog].select("path", "capture", "kind", "name", "line", "line_end", "container")
+        taken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in columns]), lambda x: x.isNotNull())
+        found = df.withColumn("plan", F.explode(taken))
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = spark.createDataFrame([], "path string, capture string, kind string, name string, line int, line_end int, container string, plan string")
+    return hits, spark.createDataFrame(bad, "plan string, error string")
+
+
 def exact_source(files: DataFrame, selector: str) -> DataFrame:
     """(path, start, end, text) of a file's lines."""
     s = Selector.parse(selector)
@@ -94,10 +205,31 @@ def patch_dry_run(files: DataFrame, operation: str, selector: str, expected: str
     return out.select("path", "matches", F.when(F.col("reason").isNull(), "ready").otherwise("rejected").alias("status"), "reason")
 
 
+def patch_receipts(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """(edit, path, matches, status, reason) of a table of edits (edit, path, operation, start, end, expected, most), none of which is made.
+
+    An edit is rejected if its operation is unknown, its file isn't there, its lines are reversed or past the file's end, its expected text is missing from them or is
+    there more than ``most`` times, or if it shares a line with another edit of the file (both are). Files (path, content) are split once for all their edits; lines are
+    compared in order of start with the furthest end before and the next start after, a running window that keeps one row.
+    """
+    by_file = Window.partitionBy("path").orderBy("start", "end", "edit")
+    placed = edits.withColumns({"reach": F.max("end").over(by_file.rowsBetween(Window.unboundedPreceding, -1)), "next": F.lead("start").over(by_file)})
+    shared = (F.col("reach") >= F.col("start")) | (F.col("next") <= F.col("end"))
+    lines = files.select("path", S.source_lines(F.col("content")).alias("lines"))
+    e = placed.withColumn("shared", F.coalesce(shared, F.lit(False))).join(lines, "path", "left")
+    n_lines = F.size("lines")
+    window = F.array_join(F.slice("lines", F.col("start"), F.least(F.col("end"), n_lines) - F.col("start") + 1), "\n")
+    fits = F.col("lines").isNotNull() & (F.col("start") >= 1) & (F.col("end") >= F.col("start")) & (F.col("start") <= n_lines)
+    n = F.when(fits, S.occurrences(window, F.col("expected")))
+    reason = (
+        F.when(~F.col("operation").isin(*PATCH_OPERATIONS), "unknown operation").when(F.col("lines").isNull(), "no such file").when(~fits, "the range isn't in the file")
+        .when(n == 0, "expected text isn't in the range").when(n > F.col("most"), "too many matches").when(F.col("shared"), "shares lines with another edit")
+    )
+    return e.select("edit", "path", n.alias("matches"), reason.alias("reason")).select("edit", "path", "matches", F.when(F.col("reason").isNull(), "ready").otherwise("rejected").alias("status"), "reason")
+
+
 def projection(items: DataFrame, most: int = 32) -> DataFrame:
     """An outline of each file: its first ``most`` items with id, parent, role, label, depth and fingerprint."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("path").orderBy("line", F.col("container").isNotNull(), "name")
     rows = items.withColumn("node", F.row_number().over(w)).where(F.col("node") <= most)
     parents = rows.where("container IS NULL").groupBy("path", "name").agg(F.min("node").alias("parent")).withColumnRenamed("name", "container")

@@ -394,10 +394,12 @@ for _id, _title in (("TS-EXT-SHADCN-R002", "Components are owned"), ("TS-EXT-SHA
     RULES[_id] = Rule(_id, "shadcn", "info", _title, None)
 
 
-def exit_code(findings: DataFrame) -> int:
-    """0: clean, 1: blocking findings."""
+def exit_code(findings: DataFrame, errors: DataFrame | None = None) -> int:
+    """0: clean, 1: blocking findings, 2: something asked for can't be run (``errors`` has a row)."""
     from factloom.operators.filters import blocking
 
+    if errors is not None and not errors.isEmpty():
+        return 2
     return 0 if blocking(findings).isEmpty() else 1
 
 
