@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factloom.llm.common import stored
+from factloom.llm.common import free_name, stored
 
 PER_ERROR = 12  # one error in the budget for so many signs of an item
 BLOCK = 2_000_000  # signs of items that are sent to the executors at a time
@@ -188,7 +188,7 @@ def without_passages(documents: DataFrame, benchmark: DataFrame, per_error: int
     """The documents, all columns, in whose whole text no item occurs within its budget; the rules are those of ``find_passages``.
 
     One block of items filters in one pass without a shuffle; of several blocks each tells the digests of the texts that it hit,
-    and the documents of these texts go.
+    and the documents of these texts go. Columns of whatever names come out as they went in.
     """
     items = list(_first_blocks(benchmark, block))
     if len(items) == 1:
@@ -210,7 +210,8 @@ def without_passages(documents: DataFrame, benchmark: DataFrame, per_error: int
         return documents.select(F.md5(F.encode("text", "UTF-8")).alias("_text"), "text").mapInArrow(run, "_text string")
 
     hit = reduce(DataFrame.unionAll, _by_blocks(documents, benchmark, block, against)).distinct()
-    return documents.withColumn("_text", F.md5(F.encode("text", "UTF-8"))).join(hit, "_text", "left_anti").select(*documents.columns)
+    of_text = free_name(documents, "of_text")
+    return documents.withColumn(of_text, F.md5(F.encode("text", "UTF-8"))).join(hit.withColumnRenamed("_text", of_text), of_text, "left_anti").select(*documents.columns)
 
 
 def _first_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple[int, str]]]:

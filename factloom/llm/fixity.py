@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import cut, stored
 
 BITS, LEVELS = 4, 3  # a node's children, as a power of two; levels above the records
+PIECE = 65_536  # compressed bytes that are read at a time
 SPAN = 1 << BITS * LEVELS  # records in a file
 WARC_BITS = 8  # for offsets in bytes
 NOWHERE = -(1 << 63)  # the file of records without a key
@@ -72,13 +73,8 @@ def _cut(data: memoryview) -> Iterator[tuple[int, memoryview, str | None]]:
     at = 0
     while at < len(data):
         if bytes(data[at : at + 2]) == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            try:
-                plain = member.decompress(data[at:])
-            except zlib.error:
-                plain = b""
-            n = len(data) - at - len(member.unused_data) if member.eof else len(data) - at
-            yield at, data[at : at + n], _uri(plain[: plain.find(b"\r\n\r\n") + 1])
+            n, head = _member(data[at:])
+            yield at, data[at : at + n], _uri(head[: head.find(b"\r\n\r\n") + 1])
         else:
             head = bytes(data[at : at + 65536])
             end = head.find(b"\r\n\r\n")
@@ -89,6 +85,22 @@ def _cut(data: memoryview) -> Iterator[tuple[int, memoryview, str | None]]:
         at += n
 
 
+def _member(data: memoryview) -> tuple[int, bytes]:
+    """How many bytes the gzip member at the beginning has (one that is damaged or cut off: all), and its first plain bytes up to the end of the header. It is
+    read a piece at a time, so that a file of many members is walked once."""
+    member, n, head = zlib.decompressobj(31), 0, b""
+    while not member.eof and n < len(data):
+        part = data[n : n + PIECE]
+        try:
+            plain = member.decompress(part)
+        except zlib.error:
+            return len(data), b""
+        if b"\r\n\r\n" not in head:
+            head += plain
+        n += len(part) - len(member.unused_data)
+    return n, head
+
+
 def _uri(head: bytes) -> str | None:
     return next((x.split(b":", 1)[1].strip().decode("utf-8", "replace") for x in head.split(b"\r\n") if x.lower().startswith(b"warc-target-uri:")), None)
 

@@ -378,20 +378,25 @@ def _joined(rows: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
 def main_texts(pages: DataFrame, per_block: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every page. A host's pages are dealt into blocks of some ``per_block`` by a hash of id and url, so that a host of any size is many bounded groups.
 
-    Null and empty html gives an empty text; pages without url are one host; repeated rows each stay (more than ``TWINS`` of one
-    id and url are dealt by their input partition as well); a host's only page is its own block; an empty table gives no rows.
-    Extra columns are not read.
+    Null and empty html gives an empty text; pages without url are one host; repeated rows each stay (of more than ``TWINS`` rows of one id and url equal ones
+    are read once, the others dealt by their html as well, so that a block never depends on how the rows lay); a host's only page is its own block; an empty
+    table gives no rows. Extra columns are not read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("host", host).withColumn("h", F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
+    many = rows.groupBy("h").agg(F.count("*").alias("twins")).where(F.col("twins") > TWINS)
+    if not many.isEmpty():
+        marked = _joined(rows, many, ["h"])
+        once = marked.where("twins IS NOT NULL").groupBy("page_id", "url", "html", "host").agg(F.count("*").alias("copies"))
+        rows = marked.where("twins IS NULL").drop("twins").unionByName(once.withColumn("h", F.xxhash64("page_id", "url", "html")))
     blocks = _joined(rows, rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > per_block), ["host"])
-    blocks = _joined(blocks, rows.groupBy("h").agg(F.count("*").alias("twins")).where(F.col("twins") > TWINS), ["h"])
-    place = F.when(F.col("twins").isNull(), F.col("h")).otherwise(F.xxhash64("h", F.spark_partition_id()))
-    blocks = blocks.withColumn("block", F.pmod(place, F.ceil(F.coalesce("n", F.lit(1)) / per_block).cast("bigint")))
+    blocks = blocks.withColumn("block", F.pmod(F.col("h"), F.ceil(F.coalesce("n", F.lit(1)) / per_block).cast("bigint")))
 
     def run(table: pa.Table) -> pa.Table:
         texts = texts_of(table.column("html").to_pylist())
-        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), table.column("copies")], ["page_id", "url", "text", "n_chars", "copies"])
 
-    return blocks.select("host", "block", "page_id", "url", "html").groupBy("host", "block").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    read = blocks.select("host", "block", "page_id", "url", "html", "copies").groupBy("host", "block").applyInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, copies bigint")
+    return read.select("page_id", "url", "text", "n_chars", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")

@@ -30,7 +30,7 @@ from factloom.llm.common import id_crc
 BLOCK = 8_000_000  # bytes of text in a block, about
 K = 8.0  # weight of the single-token estimate in a context
 ADD = 0.1
-END, START = xxhash.xxh3_64_intdigest(b"\x00end"), xxhash.xxh3_64_intdigest(b"\x00start")
+END, START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" start")  # no token holds a space
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -87,6 +87,12 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
+def _held(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """The buckets that occur in an ascending array, with their slices."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False))
+
+
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(x.tobytes(), 1)
 
@@ -122,11 +128,9 @@ def _ask(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table.column("text").to_pylist())
         counts = block.counts(table.column("learns").to_numpy(zero_copy_only=False))
-        parts = []
-        for h, c in zip((block.tokens, block.bigrams), counts, strict=True):
-            ends = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            parts.append([(_pack_sorted(h[a:b]), _pack(c[a:b])) for a, b in zip(ends, ends[1:], strict=False)])
-        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*parts, strict=True)) if a[0] or b[0]]
+        parts = [{i: (_pack_sorted(h[a:b]), _pack(c[a:b])) for i, a, b in _held(_bucket(h, buckets))} for h, c in zip((block.tokens, block.bigrams), counts, strict=True)]
+        nothing = (b"", _pack(np.zeros(0, np.int64)))
+        rows = [(i, *parts[0].get(i, nothing), *parts[1].get(i, nothing)) for i in sorted(parts[0].keys() | parts[1].keys())]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["block", "bucket", "tokens", "token_counts", "bigrams", "bigram_counts"])

@@ -92,3 +92,10 @@ def test_documents_as_brute_force(spark, sf_dir, documents):
     got = decontam.find_passages(docs, benchmark.where(benchmark.item_id.isin(list(items)))).collect()
     assert {(r.doc_id, r.item_id, r.distance) for r in got} == want
     assert len(want) >= len(items)
+
+
+def test_columns_of_clashing_names_keep_their_values(spark, odd):
+    items = spark.createDataFrame([(k, " ".join(f"word{k}x{i}" for i in range(60))) for k in range(4)], "item_id long, text string")
+    docs = odd.selectExpr("*", "'q' AS _text", "'r' AS of_text", "'s' AS OF_TEXT_")
+    got = decontam.without_passages(docs, items, block=300)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, docs.collect()))

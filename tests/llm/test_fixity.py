@@ -1,4 +1,5 @@
 import gzip
+import time
 import hashlib
 
 from factloom.llm import fixity
@@ -69,3 +70,16 @@ def test_warc_files(spark, tmp_path):
     assert [x[2] for x in where("c", "d")][:1] == ["changed"]
     assert where("a", "e") == [("x.warc", sum(map(len, parts[:-1])), "changed", len(parts[-1]))]
     assert where("a", "a") == [] and len(where("a", "f")) == 300
+
+
+def test_members_are_read_once():
+    """Each member used to be handed the whole rest of the file."""
+    record = b"WARC/1.0\r\nWARC-Target-URI: http://a/%d\r\nContent-Length: 3000\r\n\r\n"
+    data = b"".join(gzip.compress(record % k + bytes([k % 256]) * 3000 + b"\r\n\r\n", mtime=0) for k in range(8000))
+    began = time.time()
+    cut = list(fixity._cut(memoryview(data)))
+    assert time.time() - began < 10
+    assert [u for _, _, u in cut] == [f"http://a/{k}" for k in range(8000)]
+    assert b"".join(part for _, part, _ in cut) == data
+    damaged = data[: len(data) // 2] + b"\x00" * 50 + data[len(data) // 2 :]
+    assert b"".join(part for _, part, _ in fixity._cut(memoryview(damaged))) == damaged

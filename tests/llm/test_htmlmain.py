@@ -112,3 +112,15 @@ def test_equal_rows_are_split(spark, monkeypatch):
     df = spark.range(400).selectExpr("1 AS page_id", "'http://hot.example/' AS url", "'<body><article><p>same text</p></article></body>' AS html").repartition(8)
     seen = htmlmain.main_texts(df, per_block=20)
     assert [(r.text, r["count"]) for r in seen.groupBy("text").count().collect()] == [("same text", 400)]
+
+
+def test_texts_do_not_depend_on_how_rows_lay(spark, monkeypatch):
+    monkeypatch.setattr(htmlmain, "TWINS", 20)
+    page = lambda k: f"<html><body><div class=m>menu</div><div class=c><p>words {k} of the text {k * 7}</p><p>more {k}</p></div></body></html>"
+    rows = [(1, "http://a.b/x", page(0))] * 70 + [(1, "http://a.b/x", page(k)) for k in range(1, 30)] + [(k, f"http://a.b/{k}", page(100 + k)) for k in range(2, 40)]
+    seen = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        seen.append(sorted(map(tuple, htmlmain.main_texts(df, per_block=8).collect())))
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    assert len({r for r in seen[0] if r[0] == 1}) == 30

@@ -67,3 +67,15 @@ def test_odd_rows(odd, nothing):
     want = brute([(r.doc_id, r.text) for r in odd.collect()], lm.K)
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6)) for r in rows) == sorted((repr(w[0]), w[2], w[3], round(w[6], 6)) for w in want)
     assert lm.score_documents(nothing).count() == 0
+
+
+def test_only_buckets_that_occur_are_asked():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    for buckets in (1, 7, 100_000):
+        b = lm._bucket(h, buckets)
+        held = lm._held(b)
+        assert [i for i, _, _ in held] == sorted(set(b.tolist()))
+        assert np.concatenate([h[x:y] for _, x, y in held]).tolist() == h.tolist()
+        assert all((b[x:y] == i).all() for i, x, y in held)
+    assert lm._held(lm._bucket(np.zeros(0, np.uint64), 3)) == []
