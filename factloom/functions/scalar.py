@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -323,3 +324,55 @@ def capped_names(names: Column, k: int) -> Column:
 
 def capped_line(text: Column, k: int = 160) -> Column:
     return F.substring(F.trim(text), 1, k)
+
+
+# type surfaces: fixed values and their order
+PRIMITIVES = "string|number|boolean|bigint|symbol|null|undefined|void|unknown|never"
+
+
+def type_surface_kind(api_kind: Column, surface: Column) -> Column:
+    """What sort of declaration a public type stands in."""
+    alike = api_kind.isin("tuple", "union", "interface", "class", "enum")
+    return F.when(alike, api_kind).when(api_kind == "type", "alias").when(surface.startswith("field:"), "object").when(api_kind.isNull(), "unknown").otherwise("function")
+
+
+def type_surface_role(api_kind: Column, surface: Column) -> Column:
+    """What a public type is to those who call."""
+    return (
+        F.when(surface.startswith("param:"), "api-input").when(surface.isin("return", "success"), "api-output").when(surface == "error", "api-error").when(surface.startswith("field:"), "api-field")
+        .when((surface == "alias") | (api_kind == "type"), "public-type-alias").when(surface.startswith("variant:"), "api-field").otherwise("external-dependency")
+    )
+
+
+def type_carrier(type_text: Column, api_kind: Column) -> Column:
+    """What carries a type, by its text."""
+    return (
+        F.when(type_text.isNull(), "unknown").when((api_kind == "tuple") | type_text.rlike(r"^\s*\["), "tuple").when(api_kind == "type", "alias").when(type_text.rlike(rf"\b(?:{PRIMITIVES})\b"), "primitive")
+        .when(F.contains(type_text, F.lit("|")), "union").when(type_text.rlike(r"^Array<|^\w+\[\]$"), "array").when(type_text.rlike(r"\{.*\}"), "object").otherwise("external")
+    )
+
+
+# maps, constants in JSON, stamps
+def merged(base: Column, over: Column) -> Column:
+    """A map with the entries of another on top of it."""
+    keys = F.map_keys(over)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(keys, k)), over)
+
+
+def compact(values: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
+def const_at(text: Column, parts: list[str]) -> Column:
+    """The string at a place in a JSON object, reached through objects only; null for anything else there and for text that isn't JSON."""
+    quote = lambda k: json.dumps(k, ensure_ascii=False)
+    whole = F.try_parse_json(text)
+    at = "$" + "".join(f"[{quote(k)}]" for k in parts)
+    return F.when(F.schema_of_variant(F.try_variant_get(whole, at, "variant")) == "STRING", F.try_variant_get(whole, at, "string"))
+
+
+def utc_stamp(ms: Column, for_file: bool = False) -> Column:
+    """Milliseconds since 1970 as a stamp of whole seconds in UTC, whatever the session's time zone; in a file's name colons are dashes."""
+    stamp = F.date_format(F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.replace(stamp, F.lit(":"), F.lit("-")) if for_file else stamp

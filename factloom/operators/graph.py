@@ -115,13 +115,16 @@ def fact_graph(fields: DataFrame, packages: DataFrame, query: str, most: int = 6
     return nodes, edges
 
 
-def evidence_graph(spark, owner: str, has_tests: bool, has_receipt: bool) -> tuple[DataFrame, DataFrame]:
-    """The fixed graph around one owner: owner, claim, test and receipt nodes; a gap where evidence lacks."""
-    nodes = [("owner", f"owner:{owner}", "fresh"), ("claim", f"claim:{owner}", "fresh"), ("test", f"test:{owner}", "fresh" if has_tests else "stale"), ("receipt", f"receipt:{owner}", "fresh" if has_receipt else "stale")]
-    edges = [(f"claim:{owner}", f"owner:{owner}", "about"), (f"test:{owner}", f"claim:{owner}", "supports"), (f"receipt:{owner}", f"claim:{owner}", "supports")]
-    if not (has_tests and has_receipt):
-        nodes.append(("gap", f"gap:{owner}", "open"))
-    return spark.createDataFrame(nodes, "kind string, id string, status string"), spark.createDataFrame(edges, "source string, target string, relation string")
+def evidence_graph(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (owner, kind, id, status) and edges (owner, source, target, relation) of the graph around each owner (owner, has_tests, has_receipt): the owner, a claim about it, a test and a receipt that support the claim; a gap where evidence lacks."""
+    fresh = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "fresh").otherwise("stale")
+    lacks = ~(F.coalesce("has_tests", F.lit(False)) & F.coalesce("has_receipt", F.lit(False)))
+    node = lambda kind, status: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}:"), "owner").alias("id"), status.alias("status"))
+    held = F.array(node("owner", F.lit("fresh")), node("claim", F.lit("fresh")), node("test", fresh("has_tests")), node("receipt", fresh("has_receipt")), F.when(lacks, node("gap", F.lit("open"))))
+    nodes = owners.select("owner", F.explode(F.array_compact(held)).alias("n")).select("owner", "n.*")
+    edge = lambda a, b, relation: F.struct(F.concat(F.lit(f"{a}:"), "owner").alias("source"), F.concat(F.lit(f"{b}:"), "owner").alias("target"), F.lit(relation).alias("relation"))
+    edges = owners.select("owner", F.explode(F.array(edge("claim", "owner", "about"), edge("test", "claim", "supports"), edge("receipt", "claim", "supports"))).alias("e")).select("owner", "e.*")
+    return nodes, edges
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, weights: dict[str, float] | None = None, damping: float = 0.85, tolerance: float = 1e-7) -> DataFrame:

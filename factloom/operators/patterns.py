@@ -165,6 +165,34 @@ def run_plans(plans: DataFrame, rows: dict[str, DataFrame]) -> tuple[DataFrame,
     return hits, spark.createDataFrame(bad, "plan string, error string")
 
 
+FLOW_TERMS = ("source.call", "sink.constructs", "scope.fn")  # fixed values: all three are needed
+
+
+def parse_flow(text: str) -> dict[str, str]:
+    """The three terms of a flow query, as name=value, in any order; each once and none empty."""
+    out: dict[str, str] = {}
+    for word in text.split():
+        name, equals, value = word.partition("=")
+        if name not in FLOW_TERMS:
+            raise BadPlan(f"unknown term {name!r}")
+        if not equals or not value:
+            raise BadPlan(f"{name} needs a value")
+        if name in out:
+            raise BadPlan(f"{name} is given twice")
+        out[name] = value
+    if lacking := [t for t in FLOW_TERMS if t not in out]:
+        raise BadPlan(f"{lacking[0]} is missing")
+    return out
+
+
+def flow_query(text: str, functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """``flow_lite`` of the terms in ``text``."""
+    from factloom.operators.graph import flow_lite
+
+    t = parse_flow(text)
+    return flow_lite(functions, calls, t["scope.fn"], t["source.call"], t["sink.constructs"])
+
+
 def exact_source(files: DataFrame, selector: str) -> DataFrame:
     """(path, start, end, text) of a file's lines."""
     s = Selector.parse(selector)
@@ -186,7 +214,11 @@ def read_plan(ranges: DataFrame, items: DataFrame, width: int = WINDOW) -> DataF
     direct = r.where(F.col("length") <= width).select("path", "start", "end", F.lit("direct").alias("mode"))
     long = r.where(F.col("length") > width)
     i = items.where(F.col("line_end") - F.col("line") < width).select("path", "line", "line_end")
-    inner = long.join(i, "path").where("line <= end AND line_end >= start").select("path", F.greatest("line", "start").alias("start"), F.least("line_end", "end").alias("end"), F.struct("start", "end").alias("range"))
+    # by bands of lines, so that a file's ranges don't meet all its items
+    bands = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    pairs = long.withColumn("band", bands("start", "end")).join(i.withColumn("band", bands("line", "line_end")), ["path", "band"])
+    once = F.col("band") == F.floor(F.greatest("line", "start") / width)
+    inner = pairs.where((F.col("line") <= F.col("end")) & (F.col("line_end") >= F.col("start")) & once).select("path", F.greatest("line", "start").alias("start"), F.least("line_end", "end").alias("end"), F.struct("start", "end").alias("range"))
     bare = long.join(inner.select("path", F.col("range.start").alias("start"), F.col("range.end").alias("end")).distinct(), ["path", "start", "end"], "left_anti")
     return direct.unionByName(inner.select("path", "start", "end", F.lit("frontier").alias("mode"))).unionByName(range_windows(bare.select("path", "start", "end"), width).withColumn("mode", F.lit("frontier")))
 

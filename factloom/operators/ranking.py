@@ -204,7 +204,8 @@ def items_for(items: DataFrame, names: list[str]) -> DataFrame:
     held = items.where(F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.contains(F.lower("name"), n))) if names else items.limit(0)
     rank = F.col("line") + F.when(F.col("is_private"), 10000).otherwise(0) - F.when(F.col("kind") == "interface", 50).otherwise(0) + F.when(F.col("kind") == "variable", 250).otherwise(0)
     tagged = exact.withColumn("tier", F.lit(1)).unionByName(held.withColumn("tier", F.lit(2))).unionByName(items.orderBy(rank, "name").limit(4).withColumn("tier", F.lit(3)))
-    return tagged.withColumn("_t", F.min("tier").over(Window.partitionBy())).where("tier = _t").drop("tier", "_t")
+    least = tagged.agg(F.min("tier").alias("_t"))  # one row
+    return tagged.join(F.broadcast(least), F.col("tier") == F.col("_t")).drop("tier", "_t")
 
 
 # fixed values

@@ -54,7 +54,20 @@ def _prime(c: Catalog, query: str) -> Packet:
     top = G.owner_rank(branches(c), c["findings"], c["edges"]).orderBy(F.desc("rank"), "path").limit(W.CAPS["prime_owners"])
     d = c.dependencies.where("to_path IS NOT NULL")
     touching = d.join(top.select(F.col("path").alias("from_path")), "from_path", "left_semi").unionByName(d.join(top.select(F.col("path").alias("to_path")), "to_path", "left_semi").select(*d.columns))
-    return {"owners": top, "edges": J.first_wins(touching, list(J.DEPENDENCY_KEY)).orderBy("from_path", "to_path", "seq").limit(W.CAPS["prime_edges"]), "frontier": A.frontier(c["edges"], top)}
+    return {"owners": top, "edges": J.first_wins(touching, list(J.DEPENDENCY_KEY)).orderBy("from_path", "to_path", "seq").limit(W.CAPS["prime_edges"]), "frontier": A.frontier(c["edges"], top), "axes": prime_axes(c)}
+
+
+def prime_axes(c: Catalog) -> DataFrame:
+    """(id, kind, path, fields): the configuration, the test surface, and each extension and build tool of a project; fields without a value go."""
+    fields = lambda **kw: S.compact(F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v.cast("string"))]))
+    missing = F.col("config_path").isNull()
+    config = c["project"].select(F.lit("TSCONFIG:project").alias("id"), F.lit("tsconfig").alias("kind"), F.coalesce("config_path", F.lit("tsconfig.json")).alias("path"), fields(source=F.when(missing, "missing").otherwise("typescript-config-parser"), moduleResolution=F.col("module_resolution")).alias("fields"))
+    test = (F.col("role") == "test") | S.is_test_path(F.col("path"))
+    counts = c["modules"].agg(F.count_if(test).alias("tests"), F.count_if(F.col("path").rlike(r"\.(stories|story)\.[cm]?[jt]sx?$")).alias("stories"), F.count_if(test & F.col("path").rlike("(^|/)e2e(/|$)")).alias("e2e"))
+    surface = counts.select(F.lit("SURFACE:test").alias("id"), F.lit("test_surface").alias("kind"), F.lit(".").alias("path"), fields(tests=F.col("tests"), stories=F.col("stories"), e2e=F.col("e2e"), next=F.lit("tests:.")).alias("fields"))
+    extensions = c["extensions"].select(F.concat(F.lit("X:"), "name").alias("id"), F.lit("extension").alias("kind"), F.col("name").alias("path"), fields(activation=F.col("activation"), installed=F.col("installed"), next=F.concat(F.lit("extension:"), "name")).alias("fields"))
+    tools = c["build_tools"].select(F.concat(F.lit("B:"), "name").alias("id"), F.lit("build_tool").alias("kind"), F.col("name").alias("path"), fields(has_script=F.col("has_script"), next=F.concat(F.lit("build-tool:"), "name")).alias("fields"))
+    return config.unionByName(surface).unionByName(extensions).unionByName(tools)
 
 
 def find_owner(c: Catalog, query: str) -> DataFrame:

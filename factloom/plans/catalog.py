@@ -18,7 +18,7 @@ from factloom.operators import joins as J
 from factloom.operators import ranking as W
 from factloom.operators import sets as U
 from factloom.plans import analogues as R
-from factloom.plans import graph_queries, rule_queries, search_queries, source_queries, state_queries, view_queries  # noqa: F401  they register their queries
+from factloom.plans import graph_queries, rule_queries, search_queries, source_queries, state_queries, verify_queries, view_queries  # noqa: F401  they register their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 
 FLAGSHIP = "w1_fuzzy_line_search"
@@ -782,14 +782,17 @@ def f_occurrences_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.split("url", "/")[2].alias("host")).agg(F.count("*").alias("n"), F.sum(S.occurrences(F.col("html"), F.lit("<p>"))).alias("paragraphs"))
 
 
-@query("SELECT 'x' AS path, 'x' AS content_hash, true AS is_valid, 'x' AS facts WHERE false")
+@query("SELECT count(*) AS n_files, 0 AS n_different, count(*) FILTER (WHERE doc_id % 7 = 0) > 0 AS some_reused FROM documents")
 def u_incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document whose snapshot, updated incrementally, differs from one made anew; none is right."""
+    """One row: the files of a snapshot that was updated incrementally, how many of them differ from one made anew (none is right), and whether any were taken over (those of valid files are)."""
     from factloom.streaming import incremental
 
     f = R.files(spark, sf_dir).select("path", F.col("text").alias("content"), F.lit(0).cast("bigint").alias("mtime_ms"))
-    after, _ = incremental.update(f, incremental.snapshot_of(f.where(F.col("path").contains("/tests/"))))
-    return after.exceptAll(incremental.snapshot_of(f))
+    before = incremental.snapshot_of(f.where(F.col("path").contains("/tests/")))
+    after, _ = incremental.update(f, before)
+    differ = after.exceptAll(incremental.snapshot_of(f)).agg(F.count("*").cast("int").alias("n_different"))
+    stats = incremental.reuse_stats(before, after).select("n_files", (F.col("n_reused") > 0).alias("some_reused"))
+    return stats.crossJoin(differ)  # a row each
 
 
 # --- operators over small relations -----------------------------------------------------------------------------------
@@ -839,9 +842,16 @@ def a19_test_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.test_function_counts(calls, t.where("n = 3").select("path", F.lit("function").alias("kind"), F.when(F.col("o") % 2 == 0, "testRows").otherwise("rows").alias("name")))
 
 
-@query("SELECT * FROM (VALUES ('owner', 'fresh'), ('claim', 'fresh'), ('test', 'fresh'), ('receipt', 'stale'), ('gap', 'open')) v(kind, status)")
+@query("""WITH o AS (SELECT 'src/s' || s_suppkey || '.ts' AS owner, s_nationkey % 2 = 0 AS t, s_suppkey % 3 = 0 AS r FROM supplier)
+ SELECT kind || ':' || owner AS id, kind, CASE kind WHEN 'test' THEN CASE WHEN t THEN 'fresh' ELSE 'stale' END WHEN 'receipt' THEN CASE WHEN r THEN 'fresh' ELSE 'stale' END WHEN 'gap' THEN 'open' ELSE 'fresh' END AS status,
+  CASE kind WHEN 'owner' THEN 1 WHEN 'claim' THEN 3 WHEN 'gap' THEN 0 ELSE 1 END AS degree FROM o, (SELECT unnest(['owner', 'claim', 'test', 'receipt', 'gap']) AS kind) WHERE kind <> 'gap' OR NOT (t AND r)""")
 def gr7_evidence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.evidence_graph(spark, "src/a.ts", True, False)[0].select("kind", "status")
+    """The evidence around every owner, each node with the number of its edges."""
+    s = R.table(spark, sf_dir, "supplier")
+    owners = s.select(F.concat(F.lit("src/s"), F.col("s_suppkey").cast("string"), F.lit(".ts")).alias("owner"), (F.col("s_nationkey") % 2 == 0).alias("has_tests"), (F.col("s_suppkey") % 3 == 0).alias("has_receipt"))
+    nodes, edges = G.evidence_graph(owners)
+    degree = edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").cast("int").alias("degree"))
+    return nodes.join(degree, "id", "left").select("id", "kind", "status", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 @query("SELECT DISTINCT n_regionkey, CASE WHEN n_regionkey = 1 THEN 'a,1,b' ELSE 'a,' || n_regionkey || ',b,1' END AS both FROM nation")

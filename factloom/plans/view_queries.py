@@ -40,7 +40,8 @@ RELATIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "package_scripts": Q.of("nation", "n_nationkey", "package_scripts", name="concat('script', k)", command="concat('run ', k % 4)"),
     "workspace_packages": Q.of("supplier", "s_suppkey", "workspace_packages", path="concat(element_at(array('docs/', 'playground/', 'packages/tests/', 'packages/'), int(k % 4 + 1)), 'w', k)", name="concat('lib', k)", pattern="if(k % 3 = 0, 'packages/**', 'packages/*')"),
     "extensions": Q.of("region", "r_regionkey", "extensions", name="concat('ext', k)", activation="if(k % 2 = 0, 'dependency', 'config')", installed="true"),
-    "project": lambda spark, sf_dir: spark.createDataFrame([("project", "tsconfig.json", "Bundler", ["src"], ["tests"])], "mode string, config_path string, module_resolution string, source_roots array<string>, test_roots array<string>"),
+    "project": lambda spark, sf_dir: R.table(spark, sf_dir, "region").agg(F.when(F.count("*") > 3, "Bundler").otherwise("Node16").alias("module_resolution")).selectExpr("'project' AS mode", "'tsconfig.json' AS config_path", "module_resolution", "array('src') AS source_roots", "array('tests') AS test_roots"),
+    "build_tools": lambda spark, sf_dir: R.table(spark, sf_dir, "nation").where("n_regionkey = 2").selectExpr("concat('tool', n_nationkey) AS name", "n_nationkey % 2 = 0 AS has_script"),
     "imports": Q.facts("imports", module_specifier="concat('lib', s, if(n % 2 = 0, '/sub', ''))", kind="'import'"),
     "calls": Q.facts("calls", owner="'f'", callee="concat('x', o % 3, '.parse', n)", is_new="false"),
     "params": Q.facts("params", function_name="concat('open', n)", function_line="1", param_name="'p'", type_text="CASE WHEN o % 4 = 0 THEN concat('import(\"lib', s, '\").Row') WHEN o % 4 = 1 THEN 'Row' WHEN o % 4 = 2 THEN 'Array<string>' END"),
@@ -55,13 +56,20 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, {k: (lambda f=f: f(spark, sf_dir)) for k, f in RELATIONS.items()})
 
 
-def view(name: str, result: str, columns: str, sql: str, query: str = "", as_: str = "", **options: object) -> None:
-    """Registers one result of a view, its columns picked by expressions."""
+#: Results that rest on fixed lists alone: name -> (plan, SQL); the tests hold them beside each other, they are no queries over tables.
+FIXED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def view(name: str, result: str, columns: str, sql: str, query: str = "", as_: str = "", fixed: bool = False, **options: object) -> None:
+    """Registers one result of a view, its columns picked by expressions; ``fixed`` ones for the tests only."""
 
     def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return search.search(catalog(spark, sf_dir), name, query, **options)[result].selectExpr(*columns.split("; "))
 
-    add(as_ or "v_" + name.replace("-", "_"), plan, sql)
+    if fixed:
+        FIXED[as_ or "v_" + name.replace("-", "_")] = (plan, sql)
+    else:
+        add(as_ or "v_" + name.replace("-", "_"), plan, sql)
 
 
 D, B = Q.D, Q._B
@@ -72,7 +80,7 @@ view("symbol", "hits", "path; name; int(line) AS line; score", f"WITH {_NAMES} S
 view("callsite", "hits", "from_path; to_path; seq; score", f"WITH {D}, {_NAMES} SELECT path AS from_path, to_path, seq, CASE WHEN kind = 'export' THEN 3 ELSE 4 END AS score FROM d WHERE path <> to_path AND to_path IN (SELECT path FROM names WHERE name = 'ParseError') ORDER BY score DESC, path, seq LIMIT 30", "parseError")
 view("import", "hits", "from_path; module_specifier; seq; score", f"WITH {D} SELECT path AS from_path, spec AS module_specifier, seq, CASE WHEN spec = 'effect' THEN 6 ELSE 3 END AS score FROM d WHERE contains(spec, 'effect') ORDER BY score DESC, path, seq LIMIT 30", "effect")
 view("import", "edges", "from_path; to_path", f"WITH {D}, h AS (SELECT path, to_path, seq, CASE WHEN spec = 'effect' THEN 6 ELSE 3 END AS score FROM d WHERE contains(spec, 'effect') ORDER BY score DESC, path, seq LIMIT 30) SELECT DISTINCT path AS from_path, to_path FROM h", "effect", "v_import_edges")
-view("policy", "hits", "rule_id; severity", "SELECT * FROM (VALUES ('TS-AGENT-POLICY-003', 'info'), ('TS-AGENT-POLICY-015', 'info')) v(rule_id, severity)", "Facade")
+view("policy", "hits", "rule_id; severity", "SELECT * FROM (VALUES ('TS-AGENT-POLICY-003', 'info'), ('TS-AGENT-POLICY-015', 'info')) v(rule_id, severity)", "Facade", fixed=True)
 _PD = "pd AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '@types/' ELSE '' END || 'lib' || (s_suppkey % 40) AS name, '^' || (s_suppkey % 7) AS version_range, CASE WHEN s_suppkey % 2 = 0 THEN 'dependencies' ELSE 'devDependencies' END AS source FROM supplier)"
 view("dependency", "hits", "name; source; score", f"WITH {_PD} SELECT name, source, CASE WHEN name = 'lib4' THEN 10 ELSE 6 END AS score FROM pd WHERE contains(name, 'lib4') ORDER BY score DESC, name, source LIMIT 12", "lib4")
 view("deps", "hits", "name; source; status; scope", f"WITH {_PD} SELECT name, source, 'locked' AS status, 'current' AS scope FROM pd WHERE name = 'lib4'", "lib4::parse3", lockfile=_LOCK)
@@ -87,7 +95,7 @@ view(
  SELECT path, kind, symbol, score FROM g ORDER BY score DESC, path, line, symbol LIMIT 20""",
     "open1",
 )
-view("api", "hits", "path", "SELECT 'x' AS path WHERE false", "lib4::open", "v_api_of_a_package")
+view("api", "hits", "path", "SELECT 'x' AS path WHERE false", "lib4::open", "v_api_of_a_package", fixed=True)
 view(
     "public-external-types", "nodes", "path; n_confirmed; n_possible", f"""WITH u AS (SELECT DISTINCT {_P} AS path FROM lineitem WHERE l_suppkey = 3), h AS (SELECT {_P} AS path, CASE WHEN l_orderkey % 4 = 0 AND l_suppkey = 3 THEN 'direct' WHEN l_orderkey % 4 IN (0, 1) AND {_P} IN (SELECT path FROM u) THEN 'possible' END AS match FROM lineitem
  UNION ALL SELECT {_P}, CASE WHEN l_orderkey % 4 IN (2, 3) AND {_P} IN (SELECT path FROM u) THEN 'possible' END FROM lineitem) SELECT path, count(*) FILTER (WHERE match = 'direct') AS n_confirmed, count(*) FILTER (WHERE match = 'possible') AS n_possible FROM h WHERE match IS NOT NULL GROUP BY path""",
@@ -102,6 +110,13 @@ view("workspace", "findings", "severity; rule_id; n", f"WITH {R.FINDINGS} SELECT
 _RANK = "k AS (SELECT b.path, CASE WHEN role IN ('facade', 'entrypoint') THEN 100 ELSE 0 END + CASE WHEN role = 'entrypoint' THEN 80 ELSE 0 END + CASE WHEN n_exports > 0 THEN 40 ELSE 0 END + least(coalesce(x.n, 0), 10) AS rank FROM b LEFT JOIN (SELECT path, count(*) AS n FROM d GROUP BY path) x ON x.path = b.path ORDER BY rank DESC, b.path LIMIT 8)"
 view("prime", "owners", "path; rank", f"WITH {D}, {B}, {_RANK} SELECT path, rank FROM k")
 view("prime", "frontier", "path; n", f"WITH {D}, {B}, {_RANK} SELECT CASE WHEN path IN (SELECT path FROM k) THEN to_path ELSE path END AS path, count(*) AS n FROM d WHERE (path IN (SELECT path FROM k)) <> (to_path IN (SELECT path FROM k)) GROUP BY 1", as_="v_prime_frontier")
+view(
+    "prime", "axes", "id; kind; path; concat_ws(',', fields['source'], fields['tests'], fields['stories'], fields['activation'], fields['has_script'], fields['next']) AS fields", f"""WITH {Q.M}
+ SELECT 'TSCONFIG:project' AS id, 'tsconfig' AS kind, 'tsconfig.json' AS path, 'typescript-config-parser' AS fields UNION ALL SELECT 'SURFACE:test', 'test_surface', '.', CAST(count(*) FILTER (WHERE role = 'test') AS VARCHAR) || ',0,tests:.' FROM m
+ UNION ALL SELECT 'X:ext' || r_regionkey, 'extension', 'ext' || r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'dependency' ELSE 'config' END || ',extension:ext' || r_regionkey FROM region
+ UNION ALL SELECT 'B:tool' || n_nationkey, 'build_tool', 'tool' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ',build-tool:tool' || n_nationkey FROM nation WHERE n_regionkey = 2""",
+    as_="v_prime_axes",
+)
 view("owner", "edges", "direction; peer; module_specifier; kind", f"WITH {D} SELECT 'out' AS direction, to_path AS peer, spec AS module_specifier, kind FROM d WHERE path = 'src/p6.ts' UNION ALL SELECT 'in', path, spec, kind FROM d WHERE to_path = 'src/p6.ts'", "src/p6")
 view("owner", "owners", "path", f"WITH {D}, {B}, {_NAMES} SELECT min(path) AS path FROM b WHERE path IN (SELECT path FROM names WHERE name = 'forkAll')", "forkAll", "v_owner_by_export")
 view(
@@ -115,13 +130,13 @@ view("lexical", "coverage", "term; status", "SELECT * FROM (VALUES ('apache lice
 view("reasoning", "edges", "direction; peer", f"WITH {D} SELECT 'out' AS direction, to_path AS peer FROM d WHERE path = 'src/p6.ts' UNION ALL SELECT 'in', path FROM d WHERE to_path = 'src/p6.ts'", "src/p6.ts", profile="owner-tests")
 view("reasoning", "dependencies", "name; status", f"WITH {_PD} SELECT name, 'range-only' AS status FROM pd WHERE name = 'lib4'", "lib4", "v_reasoning_query_deps", profile="query-deps")
 view("env", "facts", "kind; name; value", "SELECT 'script' AS kind, 'script' || n_nationkey AS name, 'run ' || (n_nationkey % 4) AS value FROM nation WHERE contains('script' || n_nationkey, 'script1') OR contains('script' || n_nationkey, 'script20')", "Script1 script20")
-view("lang", "facts", "kind; name; value", "SELECT 'language' AS kind, 'typescript' AS name, 'Bundler' AS value")
+view("lang", "facts", "kind; name; value", "SELECT 'language' AS kind, 'typescript' AS name, CASE WHEN count(*) > 3 THEN 'Bundler' ELSE 'Node16' END AS value FROM region")
 view("std", "facts", "name; value", f"WITH {_PD} SELECT name, version_range AS value FROM pd WHERE name LIKE '@types/%' AND contains(name, 'lib3')", "lib3")
-view("capability", "facts", "name", "SELECT unnest(['policy', 'public-external-types']) AS name", "polic public")
+view("capability", "facts", "name", "SELECT unnest(['policy', 'public-external-types']) AS name", "polic public", fixed=True)
 view("extension", "facts", "name; value", "SELECT 'ext' || r_regionkey AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'dependency' ELSE 'config' END AS value FROM region")
-view("pattern", "facts", "name", "SELECT unnest(['TS-MOD-R001', 'TS-MOD-R002']) AS name", "ts-mod-r")
+view("pattern", "facts", "name", "SELECT unnest(['TS-MOD-R001', 'TS-MOD-R002']) AS name", "ts-mod-r", fixed=True)
 view("compare", "facts", "name; value", f"WITH {_PD} SELECT name, version_range AS value FROM pd WHERE contains(version_range, '^5')", "^5")
-view("runtime-source", "facts", "name", "SELECT 'x' AS name WHERE false")
+view("runtime-source", "facts", "name", "SELECT 'x' AS name WHERE false", fixed=True)
 view("ingest", "hits", "path; score", "SELECT * FROM (VALUES ('src/p4.ts', 2), ('src/p9.ts', 2)) v(path, score)", stream="src/p4.ts:3:7:let x\nno record here\nsrc/p9.ts:5:1:let y\n")
 view(
     "semantic-facts", "edges", "source; target; relation", f"""WITH f AS (SELECT {_P} AS path, l_orderkey % 97 + 1 AS line, 'Open' || l_linenumber AS owner, 'field' || (l_suppkey % 5) AS field FROM lineitem WHERE l_orderkey % 4 = 2 ORDER BY path, line, field LIMIT 64)

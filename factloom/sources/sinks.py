@@ -12,17 +12,31 @@ from factloom.functions import scalar as S
 from factloom.schemas import SCHEMAS, conform, empty
 
 
+MOST_ROWS = 10_000  # of a list that goes through the driver
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """Each row as JSON, nulls left out."""
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
 def packet_json(packet: dict[str, DataFrame], view: str) -> str:
-    """A search result as one JSON document; its lists are capped by their views."""
-    parts = [f'"{name}":[{",".join(r.json for r in json_lines(df).collect())}]' for name, df in packet.items()]
+    """A search result as one JSON document, for lists of ``MOST_ROWS`` rows at most; ``write_packet`` writes those of any length."""
+    parts = []
+    for name, df in packet.items():
+        rows = json_lines(df).limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"{name} has more than {MOST_ROWS} rows: use write_packet")
+        parts.append(f'"{name}":[{",".join(r.json for r in rows)}]')
     return "{" + ",".join([f'"view":"{view}"', *parts]) + "}"
 
 
+def write_packet(packet: dict[str, DataFrame], path: str) -> None:
+    """Each list of a search result as JSON lines in a folder of its name, written by the tasks that have the rows."""
+    for name, df in packet.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def _escaped(value: Column) -> Column:
     text = value.cast("string")
     return F.when(text.rlike(r'[\s"=]'), F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text)
