@@ -57,6 +57,17 @@ def _prime(c: Catalog, query: str) -> Packet:
     return {"owners": top, "edges": J.first_wins(touching, list(J.DEPENDENCY_KEY)).orderBy("from_path", "to_path", "seq").limit(W.CAPS["prime_edges"]), "frontier": A.frontier(c["edges"], top), "axes": prime_axes(c)}
 
 
+def packet_hashes(packet: Packet, files: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(path, sha256) of the files that a packet's rows point at (path, from_path, to_path, test_path), and of ``more`` paths, as far as they are there."""
+    named = [df.select(F.col(c).alias("path")) for df in packet.values() for c in ("path", "from_path", "to_path", "test_path") if c in df.columns]
+    if more:
+        named.append(files.sparkSession.createDataFrame([(p,) for p in more], "path string"))
+    if not named:
+        return files.select("path", F.lit("").alias("sha256")).limit(0)
+    asked = reduce(DataFrame.union, named).where("path IS NOT NULL").distinct()
+    return files.join(asked, "path", "left_semi").select("path", F.sha2(F.encode("content", "UTF-8"), 256).alias("sha256"))
+
+
 def prime_axes(c: Catalog) -> DataFrame:
     """(id, kind, path, fields): the configuration, the test surface, and each extension and build tool of a project; fields without a value go."""
     fields = lambda **kw: S.compact(F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v.cast("string"))]))

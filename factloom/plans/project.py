@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.checkpoints import cut, stored
 from factloom.functions import roles
 from factloom.functions import scalar as S
-from factloom.operators import filters, joins
+from factloom.operators import filters, joins, trees
 from factloom.operators.rules import Catalog, evaluate, numbered
 from factloom.schemas import conform, relation
 from factloom.sources import files as src
@@ -86,13 +86,18 @@ class Settings:
 FAMILIES = tuple(typescript.COLLECTORS)
 
 
-def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project", documents: DataFrame | None = None, keep: bool = True) -> Catalog:
-    """All relations of a project over ``files`` (path, content, mtime_ms). ``documents`` (path, content) are its JSON files: manifests, configurations and schemas.
+def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project", documents: DataFrame | None = None, keep: bool = True, discovery: str | None = None) -> Catalog:
+    """All relations of a project over ``files`` (path, content, mtime_ms). ``documents`` (path, content) are its JSON files (manifests, configurations and schemas) and its
+    workspace file, if it has one; ``discovery`` is the text of the nearest discovery configuration, whose lists of directories are added to those of the settings.
 
     All texts are read in one pass, and the facts are written to the shared folder by family. Without ``keep`` nothing is
     written: each family that a query reads is read off the texts anew, which suits a query or two.
     """
     h, spark = settings or Settings(), files.sparkSession
+    if discovery is not None:
+        lists = src.discovery_config(discovery)
+        h = h.with_ignored_dirs(*lists.get("ignoredDirNames", [])).with_hidden_dirs(*lists.get("includeHiddenDirNames", []))
+        files = files.where(src.wanted(F.col("path"), h.ignored_dirs, h.hidden_dirs))
     m, c = src.parse_manifest(manifest), src.parse_config(config)
     files = conform(files, "source_files")
     table = stored(typescript.all_facts(files), "family") if keep else None
@@ -108,16 +113,38 @@ def build(files: DataFrame, manifest: str | None = None, config: str | None = No
     extensions = [*m.extensions, *({"name": e, "activation": "config", "installed": any(x["name"] == e for x in m.extensions)} for e in h.extensions if all(x["name"] != e for x in m.extensions))]
     project = [{"mode": mode, "config_path": "tsconfig.json" if config is not None else None, "module_resolution": c.options.get("moduleResolution"), "source_roots": list(h.source_dirs), "test_roots": list(h.test_dirs)}]
     texts = documents.select("path", "content") if documents is not None else spark.createDataFrame([], "path string, content string")
+    listed = [p for r in texts.where(F.col("path") == WORKSPACE_FILE).limit(1).collect() for p in src.yaml_packages(r.content)]  # one small file
+    patterns = list(dict.fromkeys([*m.workspaces, *listed]))
     catalog = Catalog(spark, facts | {
         "source_files": files, "modules": modules, "edges": lambda: import_edges(facts["imports"], modules, c.aliases), "diagnostics": facts["diagnostics"].unionByName(relation(spark, "diagnostics", notes)), "package_entries": entries,
         "package_scripts": relation(spark, "package_scripts", m.scripts), "package_dependencies": relation(spark, "package_dependencies", m.dependencies), "extensions": relation(spark, "extensions", extensions),
         "build_tools": relation(spark, "build_tools", m.build_tools), "project": relation(spark, "project", project),
-        "reference_packages": src.reference_packages(texts, c.references), "workspace_packages": src.workspace_packages(texts, m.workspaces), "schema_leaves": src.all_schema_leaves(texts.where(F.col("path").endswith(".schema.json"))),
+        "reference_packages": src.reference_packages(texts, c.references), "workspace_packages": src.workspace_packages(texts, patterns), "file_scopes": lambda: file_scopes(files, texts, manifest is not None), "schema_leaves": src.all_schema_leaves(texts.where(F.col("path").endswith(".schema.json"))),
     })
     catalog.relations["findings"] = lambda: check(catalog, h)
     return catalog
 
 
+WORKSPACE_FILE = "pnpm-workspace.yaml"  # fixed value
+
+
+def file_scopes(files: DataFrame, documents: DataFrame, at_root: bool = False) -> DataFrame:
+    """(path, scope): the nearest directory above each file that has a manifest, '' for the root; null where none has. ``at_root`` says that the root has one that isn't among the documents."""
+    manifest = F.col("path").rlike(r"(^|/)package\.json$")
+    places = documents.where(manifest).select(F.when(F.contains("path", F.lit("/")), S.dirname(F.col("path"))).otherwise(F.lit("")).alias("place"))
+    if at_root:
+        places = places.unionAll(documents.sparkSession.createDataFrame([("",)], "place string"))
+    return trees.nearest(files, places).withColumnRenamed("place", "scope")
+
+
+def nearest_configuration(documents: DataFrame, root: str, name: str) -> str | None:
+    """The text of the deepest file of a name in ``root`` or above it, among documents (path, content); the files above one root are few."""
+    above = ["/".join(root.split("/")[:n]) for n in range(len(root.split("/")) + 1)]
+    wanted = {f"{d}/{name}".lstrip("/"): len(d) for d in above}
+    found = documents.where(F.col("path").isin(list(wanted))).collect()
+    return max(found, key=lambda r: wanted[r.path]).content if found else None
+
+
 def import_edges(imports: DataFrame, modules: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """Imports with resolution and target: relative ones by their path, aliased ones by the alias' targets in order; the first candidate that is a module. ``seq`` follows the order of paths and, in a file, of its imports."""
     asked = imports.withColumn("_id", F.concat_ws(":", "path", "seq"))
