@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.checkpoints import shared_folder
@@ -15,7 +15,9 @@ from factloom.plans.graph_queries import _URGENT
 from factloom.plans.registry import query
 from factloom.streaming import findings, incremental, sessions
 
-_HASH = F.sha2(F.encode("text", "UTF-8"), 256)
+def _hash() -> Column:
+    return F.sha2(F.encode("text", "UTF-8"), 256)
+
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -40,9 +42,9 @@ def u3_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.table(spark, sf_dir, "documents")
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".ts"))
     k = F.col("doc_id")
-    before = d.select(path.alias("path"), _HASH.alias("content_hash"))
-    after = d.where((k % 90 != 7) & (F.col("source") != "src3")).select(path.alias("path"), F.when(k % 60 == 0, "x").otherwise(_HASH).alias("content_hash"))
-    new = R.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/b"), F.col("item_id").cast("string"), F.lit(".ts")).alias("path"), _HASH.alias("content_hash"))
+    before = d.select(path.alias("path"), _hash().alias("content_hash"))
+    after = d.where((k % 90 != 7) & (F.col("source") != "src3")).select(path.alias("path"), F.when(k % 60 == 0, "x").otherwise(_hash()).alias("content_hash"))
+    new = R.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/b"), F.col("item_id").cast("string"), F.lit(".ts")).alias("path"), _hash().alias("content_hash"))
     return trees.tree_diff(trees.tree_entries(before), trees.tree_entries(after.unionAll(new)))
 
 
@@ -52,7 +54,7 @@ def u3_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT dir AS path, n AS n_files, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) AS digest FROM s""")
 def f_directory_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".ts"))
-    entries = trees.tree_entries(R.table(spark, sf_dir, "documents").select(path.alias("path"), _HASH.alias("content_hash")))
+    entries = trees.tree_entries(R.table(spark, sf_dir, "documents").select(path.alias("path"), _hash().alias("content_hash")))
     return entries.where("is_directory").select("path", "n_files", "digest")
 
 
@@ -88,7 +90,7 @@ def u_findings_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = state.where("doc_id > 0").select(F.col("path").alias("from_path"), path(F.expr("doc_id div 2")).alias("to_path"))
         holding = state.where(F.contains(F.lower("text"), F.lit("license"))).select(F.col("path").alias("to_path"))
         evaluate = lambda todo, edges=edges, holding=holding: edges.join(todo.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(holding, "to_path", "left_semi").select(F.col("from_path").alias("path"), F.lit("IMPORTS-LICENSE").alias("rule_id"), F.col("to_path").alias("target"))
-        findings.update(state.select("path", _HASH.alias("content_hash")), edges, evaluate, folder, _FINDING, buckets=32)
+        findings.update(state.select("path", _hash().alias("content_hash")), edges, evaluate, folder, _FINDING, buckets=32)
     return findings.findings(spark, folder, _FINDING)
 
 
@@ -114,7 +116,7 @@ def u_atom_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each conversation's atoms is reused when some of its turns were others before."""
     c = R.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn", "role").agg(F.any_value("text").alias("text"))
     cls = F.when(F.col("role") == "system", "immutable").when(F.col("role") == "user", "session").when(F.col("role") == "assistant", "stable").otherwise("tail")
-    after = c.select(F.col("conv_id").cast("string").alias("context"), F.col("turn").cast("int").alias("pos"), cls.alias("cache_class"), F.substring(_HASH, 1, 16).alias("fingerprint"), F.ceil(F.length("text") / 3).cast("long").alias("tokens"))
+    after = c.select(F.col("conv_id").cast("string").alias("context"), F.col("turn").cast("int").alias("pos"), cls.alias("cache_class"), F.substring(_hash(), 1, 16).alias("fingerprint"), F.ceil(F.length("text") / 3).cast("long").alias("tokens"))
     altered = (F.col("context").cast("long") * 5 + F.col("pos") * 3) % 11 == 0
     before = after.withColumn("fingerprint", F.when(altered, "was another").otherwise(F.col("fingerprint")))
     return incremental.atom_reuse(before, after).drop("tokens_by_class")
