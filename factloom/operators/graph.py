@@ -65,8 +65,10 @@ def depth_to_target(dependencies: DataFrame, target: str, most: int = 8) -> Data
 
 def tests_for_owner(dependencies: DataFrame, target: str, query: str, most: int = 30) -> DataFrame:
     """Test edges of an owner, the best of each (source, test): a direct import 8, by the test's path 4, by the specifier 3, over other owners 6; the first reason that holds counts for an edge."""
+    # written once, narrow: the search and its result both read it
+    dependencies = cut(dependencies.where("to_path IS NOT NULL").select("seq", "from_path", "to_path", "module_specifier", "from_role", "is_test_context"))
     reach = depth_to_target(dependencies, target)
-    d = dependencies.where("is_test_context AND to_path IS NOT NULL").join(reach.withColumnRenamed("node", "to_path"), "to_path", "left")
+    d = dependencies.where("is_test_context").join(reach.withColumnRenamed("node", "to_path"), "to_path", "left")
     direct = (F.col("to_path") == target) | F.col("to_path").endswith("/" + target)
     by_path, by_name = F.contains("from_path", F.lit(target)), F.contains("module_specifier", F.lit(query))
     far = (F.col("from_role") == "test") & F.col("depth").isNotNull()

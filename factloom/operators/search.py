@@ -257,19 +257,28 @@ for _axis in ("env", "lang", "std", "capability", "extension", "pattern", "compa
     VIEWS[_axis] = lambda c, query="", axis=_axis: _knowledge(c, query, axis)
 
 
-@view("ingest")
-def _ingest(c: Catalog, query: str, stream: str = "") -> Packet:
+def _stream_hits(c: Catalog, stream: str) -> DataFrame:
+    """The records of a candidate stream that name source files, in whatever of the known forms it has."""
     from factloom.sources import candidates as I
 
     fmt = I.detect(stream)
     rows = c.spark.createDataFrame(list(enumerate([stream] if fmt == "path-list-nul" else stream.replace("\r\n", "\n").split("\n"))), "seq long, line string")
     if fmt == "unknown":  # a list of paths if any line is one
         fmt = I.detect(stream, {r.path for r in c["source_files"].select("path").join(rows.select(F.col("line").alias("path")), "path", "left_semi").limit(1).collect()})
-    return {"hits": I.ingest_hits(I.parse(rows, fmt), c["source_files"], fmt)}
+    return I.ingest_hits(I.parse(rows, fmt), c["source_files"], fmt)
+
+
+@view("ingest")
+def _ingest(c: Catalog, query: str, stream: str = "") -> Packet:
+    return {"hits": _stream_hits(c, stream)}
 
 
 @view("semantic-facts")
-def _facts(c: Catalog, query: str) -> Packet:
-    f = c["data_fields"].select("path", "line", F.col("type_name").alias("container_name"), "field_name", F.col("type_text").alias("type_value"), S.collection_kind(F.col("type_text")).alias("collection_kind"))
+def _facts(c: Catalog, query: str, stream: str = "") -> Packet:
+    """Facts of fields as a graph; with a candidate stream, of the files that it names."""
+    fields = c["data_fields"]
+    if stream:
+        fields = fields.join(_stream_hits(c, stream).select("path").distinct(), "path", "left_semi")
+    f = fields.select("path", "line", F.col("type_name").alias("container_name"), "field_name", F.col("type_text").alias("type_value"), S.collection_kind(F.col("type_text")).alias("collection_kind"))
     nodes, edges = G.fact_graph(P.graph_fact_filter(f, query), c["package_dependencies"], query)
     return {"nodes": nodes, "edges": edges}

@@ -143,3 +143,8 @@ view(
  SELECT DISTINCT * FROM (SELECT 'field:' || owner || '.' || field AS source, 'type:Map<string, Row>' AS target, 'has_type' AS relation FROM f UNION ALL SELECT 'type:Map<string, Row>', 'collection:map', 'collection_of' FROM f UNION ALL SELECT 'field:' || owner || '.' || field, 'owner:' || owner, 'belongs_to' FROM f UNION ALL SELECT 'query:fields map', 'field:' || owner || '.' || field, 'matches' FROM f)""",
     "fields map",
 )
+view(
+    "semantic-facts", "edges", "source; target; relation", f"""WITH f AS (SELECT {_P} AS path, l_orderkey % 97 + 1 AS line, 'Open' || l_linenumber AS owner, 'field' || (l_suppkey % 5) AS field FROM lineitem WHERE l_orderkey % 4 = 2 AND {_P} IN ('src/p4.ts', 'src/p9.ts') ORDER BY path, line, field LIMIT 64)
+ SELECT DISTINCT * FROM (SELECT 'field:' || owner || '.' || field AS source, 'type:Map<string, Row>' AS target, 'has_type' AS relation FROM f UNION ALL SELECT 'type:Map<string, Row>', 'collection:map', 'collection_of' FROM f UNION ALL SELECT 'field:' || owner || '.' || field, 'owner:' || owner, 'belongs_to' FROM f UNION ALL SELECT 'query:fields map', 'field:' || owner || '.' || field, 'matches' FROM f)""",
+    "fields map", "v_semantic_facts_of_a_stream", stream="src/p4.ts:3:7:let x\nno record here\nsrc/p9.ts:5:1:let y\n",
+)
