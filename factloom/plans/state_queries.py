@@ -15,11 +15,11 @@ from factloom.plans.graph_queries import _URGENT
 from factloom.plans.registry import query
 from factloom.streaming import findings, incremental, sessions
 
+
 def _hash() -> Column:
     return F.sha2(F.encode("text", "UTF-8"), 256)
 
 
-
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
