@@ -113,3 +113,12 @@ def test_sequences_hold_the_ids(spark, odd, library):
     for r in packed.collect():
         assert whole[r.sequence_id][r.offset : r.offset + r.length] == r.ids
     assert sum(map(len, whole.values())) == sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
+
+
+def test_every_sign_is_encoded_as_by_the_library(library):
+    encoder = packing.Encoder(PATH)
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c} {c}{c}1" for c in signs[i : i + 60]) for i in range(0, len(signs), 60)]
+    for i in range(0, len(texts), 2000):
+        for text, wanted in zip(texts[i : i + 2000], library.encode_batch(texts[i : i + 2000], add_special_tokens=False)):
+            assert encoder.ids(text).tolist() == wanted.ids
