@@ -18,7 +18,7 @@ from factloom.operators import joins as J
 from factloom.operators import ranking as W
 from factloom.operators import sets as U
 from factloom.plans import analogues as R
-from factloom.plans import graph_queries, rule_queries, search_queries, source_queries, state_queries, verify_queries, view_queries  # noqa: F401  they register their queries
+from factloom.plans import graph_queries, rule_queries, search_queries, source_queries, state_queries, token_queries, verify_queries, view_queries  # noqa: F401  they register their queries
 from factloom.plans.registry import ORACLE_SQL, QUERIES, query
 
 FLAGSHIP = "w1_fuzzy_line_search"
