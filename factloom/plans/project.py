@@ -14,7 +14,7 @@ from factloom.operators import filters, joins, trees
 from factloom.operators.rules import Catalog, evaluate, numbered
 from factloom.schemas import conform, relation
 from factloom.sources import files as src
-from factloom.sources import typescript
+from factloom.sources import tokens, typescript
 
 
 @dataclass(frozen=True)
@@ -86,12 +86,13 @@ class Settings:
 FAMILIES = tuple(typescript.COLLECTORS)
 
 
-def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project", documents: DataFrame | None = None, keep: bool = True, discovery: str | None = None) -> Catalog:
+def build(files: DataFrame, manifest: str | None = None, config: str | None = None, settings: Settings | None = None, mode: str = "project", documents: DataFrame | None = None, keep: bool = True, discovery: str | None = None, by_tokens: bool = False) -> Catalog:
     """All relations of a project over ``files`` (path, content, mtime_ms). ``documents`` (path, content) are its JSON files (manifests, configurations and schemas) and its
     workspace file, if it has one; ``discovery`` is the text of the nearest discovery configuration, whose lists of directories are added to those of the settings.
 
     All texts are read in one pass, and the facts are written to the shared folder by family. Without ``keep`` nothing is
-    written: each family that a query reads is read off the texts anew, which suits a query or two.
+    written: each family that a query reads is read off the texts anew, which suits a query or two. With ``by_tokens`` imports, calls and signals
+    are plans over the relation of tokens (``sources/tokens.py``), without Python workers and without columns of positions.
     """
     h, spark = settings or Settings(), files.sparkSession
     if discovery is not None:
@@ -102,6 +103,9 @@ def build(files: DataFrame, manifest: str | None = None, config: str | None = No
     files = conform(files, "source_files")
     table = stored(typescript.all_facts(files), "family") if keep else None
     facts = {f: typescript.family_of(table, f) if keep else typescript.facts(files, f) for f in (*FAMILIES, "diagnostics", "modules")}
+    if by_tokens:
+        found = tokens.facts(files) if keep else {f: tokens.FAMILIES[f](tokens.tokens(files)) for f in ("imports", "calls", "signals")}
+        facts |= {"imports": conform(found["imports"], "imports"), "calls": conform(found["calls"], "calls"), "signals": conform(tokens.numbered_signals(found["signals"]), "signals")}
     bins = [e["target"].removeprefix("./") for e in m.entries if e["source"] == "bin"]
     role = roles.module_role(F.col("path"), F.col("is_declaration"), list(h.source_dirs), list(h.test_dirs), bins)
     modules = facts["modules"].withColumn("role", role).withColumn("layer", roles.module_layer(F.col("path"), F.col("role")))

@@ -34,7 +34,13 @@ DECLARATIONS = {"function": "function", "class": "class", "interface": "interfac
 # fixed values
 RUN_METHODS = ("runCallback", "runFork", "runPromise", "runPromiseExit", "runSync")
 PROMISE_COMBINATORS = ("Promise.all", "Promise.allSettled", "Promise.any", "Promise.race")
+EFFECT_COLLECTIONS = ("Effect.all", "Effect.allSuccesses", "Effect.allWith", "Effect.forEach", "Effect.mergeAll", "Effect.replicateEffect", "Effect.validateAll")
+EXTERNAL_IO = ("fetch", "Effect.async", "Effect.promise", "Effect.tryPromise")
+IMPURE_CALLS = ("Date.now", "Math.random")
+OBSERVES = r"^Effect\.(annotateCurrentSpan|annotateLogs|annotateLogsScoped|log|logDebug|logError|logFatal|logInfo|logTrace|logWarning|withSpan)$|^Metric\."
+RESILIENT = r"^Effect\.(retry|retryOrElse|timeout|timeoutFail|timeoutFailCause|timeoutOption|timeoutTo)$"
 DECODES = r"^Schema\.((decode|validate)\w*|parseJson|is|asserts)$"
+_RUNS = r"^(Effect|Runtime|[\w$.]*[rR]untime)\.(" + "|".join(RUN_METHODS) + ")$"
 
 
 def _window():
@@ -164,16 +170,17 @@ def exports(found: DataFrame) -> DataFrame:
     return i.unionByName(stars).unionByName(lists).unionByName(default.select("path", F.lit("default").alias("name"), F.lit("default").alias("kind"), F.lit(False).alias("is_type_only"), "line"))
 
 
-def calls(found: DataFrame) -> DataFrame:
-    """(path, at, owner, callee, is_new, line): calls and constructions with the function that holds them: a function of the module, a variable that is one, or a class's method; null at the module's top.
+def _by_depth():
+    """Brackets of one depth alternate between opening and closing, so that a bracket's partner is its neighbour here."""
+    return Window.partitionBy("path", "depth", "_bracket").orderBy("at")
 
-    What declares a method is no call: in a class or an interface a name where a member is due, elsewhere a name whose brackets are followed by a body.
-    """
+
+def _sites(found: DataFrame) -> DataFrame:
+    """Tokens of ``_declared`` with their owner; ``is_call`` marks the opening bracket of a call."""
     t = _declared(found)
     w = _window()
     bracket = F.col("text").isin("(", ")", "[", "]", "{", "}")
-    by_depth = Window.partitionBy("path", "depth", "_bracket").orderBy("at")
-    t = t.withColumns({"_bracket": bracket, "_second": F.lag("text", 2).over(w), "_second_line": F.lag("line", 2).over(w), "_third": F.lag("text", 3).over(w)}).withColumn("_after", F.lead("next").over(by_depth))
+    t = t.withColumns({"_bracket": bracket, "_second": F.lag("text", 2).over(w), "_second_line": F.lag("line", 2).over(w), "_third": F.lag("text", 3).over(w), "_next_two": F.lead("text", 2).over(w)}).withColumn("_after", F.lead("next").over(_by_depth()))
     in_members = F.col("declares").isin("class", "interface") & (F.col("depth") == 1)
     due = F.col("_second").isin("{", ";", "}", *_MEMBER_MODIFIERS) | (F.col("prev_line") > F.col("_second_line"))
     site = (F.col("text") == "(") & (F.col("prev_kind") == "name")
@@ -183,7 +190,92 @@ def calls(found: DataFrame) -> DataFrame:
     t = t.withColumn("_method", method).withColumn("owner", owner)
     declared = (F.col("_second") == "function") | (F.col("_second") == "*") & (F.col("_third") == "function") | (F.col("_after") == "{")
     good = site & ~member & ~F.coalesce(declared, F.lit(False)) & ~F.col("prev").isin(*_NO_CALLEE)
-    return t.where(good).select("path", "at", "owner", F.col("prev").alias("callee"), F.coalesce(F.col("_second") == "new", F.lit(False)).alias("is_new"), F.col("prev_line").alias("line"))
+    return t.withColumn("is_call", F.coalesce(good, F.lit(False)))
+
+
+def _called(sites: DataFrame, *more: str) -> DataFrame:
+    return sites.where("is_call").select("path", "at", "owner", F.col("prev").alias("callee"), F.coalesce(F.col("_second") == "new", F.lit(False)).alias("is_new"), F.col("prev_line").alias("line"), *more)
+
+
+def calls(found: DataFrame) -> DataFrame:
+    """(path, at, owner, callee, is_new, line): calls and constructions with the function that holds them: a function of the module, a variable that is one, or a class's method; null at the module's top.
+
+    What declares a method is no call: in a class or an interface a name where a member is due, elsewhere a name whose brackets are followed by a body.
+    """
+    return _called(_sites(found))
+
+
+# the word before a block, or before the brackets in front of it, by what the block is
+_BLOCKS = {"in_loop": ("for", "while", "do"), "in_condition": ("if", "else", "switch"), "in_try": ("try",)}
+_QUERY_HOOK = r"^use(Query|Mutation|InfiniteQuery|SuspenseQuery)$"
+
+
+def _in_context(sites: DataFrame) -> DataFrame:
+    """Sites with the blocks around each token and with what lies between a bracket and its partner.
+
+    A block's opening bracket adds one to the running count of its sort and its partner takes it away, so that nesting of any depth
+    costs one pass; counts inside brackets are differences of running counts.
+    """
+    w = _window()
+    opening = F.col("text").isin("(", "[", "{")
+    t = sites.withColumn("_word", F.when(F.col("prev") == "await", F.col("_second")).otherwise(F.col("prev")))
+    t = t.withColumns({f"_open{c}": F.lag(c).over(_by_depth()) for c in ("_word", "_second", "prev_line")})  # at a closing bracket: of its partner
+    after_brackets = F.col("prev") == ")"
+    t = t.withColumns({"head": F.when(after_brackets, F.lag("_open_word").over(w)).otherwise(F.col("prev")), "_before_head": F.when(after_brackets, F.lag("_open_second").over(w)), "head_line": F.when(after_brackets, F.lag("_openprev_line").over(w)).otherwise(F.col("prev_line"))})
+    block = F.col("text") == "{"
+    flags = {name: block & F.col("head").isin(*words) for name, words in _BLOCKS.items()}
+    flags["in_callback"] = block & (F.col("depth") > 0) & ((F.col("prev") == "=>") | (F.col("head") == "function") | (F.col("_before_head") == "function"))
+    flags["in_query_hook"] = (F.col("text") == "(") & F.col("prev").rlike(_QUERY_HOOK)
+    t = t.withColumns({f"_{n}": F.coalesce(f, F.lit(False)).cast("int") for n, f in flags.items()})
+    t = t.withColumns({f"_end_{n}": F.when(F.col("_bracket") & ~opening, F.coalesce(F.lag(f"_{n}").over(_by_depth()), F.lit(0))).otherwise(0) for n in flags})
+    t = t.withColumns({n: F.sum(F.col(f"_{n}") - F.col(f"_end_{n}")).over(_before()) - F.col(f"_{n}") for n in flags})
+    word = lambda *texts: (F.col("kind") == "name") & F.col("text").isin(*texts)
+    leaves = word("return") & ((F.col("in_condition") > 0) | (F.col("head") == "if"))
+    so_far = {"throws": word("throw"), "rejects": word("Promise.reject") & (F.col("next") == "("), "bounds": word("concurrency") & (F.col("next") == ":")}
+    t = t.withColumns({f"_sum_{n}": F.count_if(c).over(_before()) for n, c in so_far.items()})
+    # awaits and early returns of the function itself: those at its own level of callbacks
+    level = Window.partitionBy("path", "in_callback").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("_sum_awaits", F.count_if(word("await")).over(level))
+    t = t.withColumns({f"n_{n}": F.when(F.col("_bracket") & opening, F.lead(f"_sum_{n}").over(_by_depth()) - F.col(f"_sum_{n}")) for n in (*so_far, "awaits")})
+    by_statement = Window.partitionBy("path", "statement").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_line = Window.partitionBy("path", "line").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.withColumns({"after_return": F.count_if(leaves & (F.col("in_callback") == 0)).over(by_statement) > 0, "on_condition": F.count_if(F.col("text").isin("&&", "||", "?") & (F.col("kind") == "op") & (F.col("depth") > 0)).over(by_line) > 0})
+
+
+def signals(found: DataFrame) -> DataFrame:
+    """(path, family, owner, callee, kinds, line): what functions do at the borders of an effect system and of rendering; kinds are sorted.
+
+    Families of calls are conditions on one row, with what else its owner calls as a window over the owner's calls. Loops that await
+    are found at their block's bracket, assignments to global objects and definitions inside components at their own tokens.
+    """
+    t = _in_context(_sites(found))
+    own = Window.partitionBy("path", "owner")
+    callee, method = F.col("callee"), F.element_at(F.split("callee", r"\."), -1)
+    c = _called(t, "next", "exported", "n_throws", "n_rejects", "n_bounds", "in_loop", "in_condition", "in_try", "in_callback", "in_query_hook", "after_return", "on_condition").where("owner IS NOT NULL")
+    has = lambda pattern: F.max(callee.rlike(pattern)).over(own)
+    c = c.withColumns({"_scoped": has(r"^Effect\.scoped$"), "_decodes": has(DECODES), "_observed": has(OBSERVES), "_resilient": has(RESILIENT)})
+    kinds = lambda *pairs: F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in pairs])))
+    shown = F.col("exported") & F.col("owner").rlike("^([A-Z]|use[A-Z0-9])") & (F.col("in_callback") == 0)
+    uses = callee == "use"
+    interop = kinds(("async-callback", F.col("next") == "async"), ("throws", F.col("n_throws") > 0), ("rejects", F.col("n_rejects") > 0))
+    lacking = kinds(("observability", ~F.col("_observed")), ("resilience", ~F.col("_resilient")))
+    hook = kinds(("conditional", ~uses & ((F.col("in_condition") > 0) | F.col("on_condition"))), ("loop", ~uses & (F.col("in_loop") > 0)), ("try", F.col("in_try") > 0), ("after-return", ~uses & F.col("after_return")))
+    none = F.array().cast("array<string>")
+    found_in = [
+        ("runtime-call", callee.rlike(_RUNS), kinds(("query-hook", F.col("in_query_hook") > 0))), ("promise-interop", (callee == "Effect.promise") & (F.size(interop) > 0), interop), ("resource-scope", (callee == "Effect.acquireRelease") & ~F.col("_scoped"), none),
+        ("concurrency", callee.isin(*PROMISE_COMBINATORS), F.array(F.lit("promise-combinator"))), ("concurrency", callee.isin(*EFFECT_COLLECTIONS) & (F.col("n_bounds") == 0), F.array(F.lit("unbounded-collection"))),
+        ("schema-boundary", ((callee == "JSON.parse") | (method == "json")) & ~F.col("_decodes"), F.array(F.lit("unvalidated-json"))), ("production-boundary", callee.isin(*EXTERNAL_IO) & (F.size(lacking) > 0), lacking),
+        ("render-purity", shown & (callee.isin(*IMPURE_CALLS) | F.col("is_new") & (callee == "Date")), F.array(F.lit("impure-call"))), ("hook-call", shown & method.rlike("^use([A-Z0-9]|$)") & (F.size(hook) > 0), hook),
+    ]
+    rows = c.withColumn("x", F.explode(F.array_compact(F.array(*[F.when(on, F.struct(F.lit(f).alias("family"), k.alias("kinds"))) for f, on, k in found_in]))))
+    rows = rows.select("path", "x.family", "owner", "callee", "x.kinds", "line")
+    row = lambda df, family, callee, kind, line: df.select("path", F.lit(family).alias("family"), "owner", callee.alias("callee"), F.array(kind).alias("kinds"), line.alias("line"))
+    held = t.where("owner IS NOT NULL")
+    loops = held.where((F.col("_in_loop") == 1) & (F.col("n_awaits") > 0))
+    assigned = held.where(shown & (F.col("kind") == "name") & F.col("text").rlike(r"^(window|document|localStorage)(\.|$)") & (F.col("next") == "=") & (F.col("_next_two") != "="))
+    inner = held.where(shown & (F.col("depth") == 1) & (F.col("kind") == "name") & F.col("prev").isin("function", "const", "let", "var") & F.col("text").rlike("^([A-Z][a-z]|use[A-Z0-9])"))
+    rows = rows.unionByName(row(loops, "concurrency", F.col("head"), F.lit("await-in-loop"), F.col("head_line"))).unionByName(row(assigned, "render-purity", F.element_at(F.split("text", r"\."), 1), F.lit("global-assignment"), F.col("line")))
+    return rows.unionByName(row(inner, "static-definition", F.col("text"), F.when(F.col("text").rlike("^[A-Z]"), "component").otherwise("hook"), F.col("line")))
 
 
 def flow_counts(found: DataFrame) -> DataFrame:
@@ -197,7 +289,7 @@ def flow_counts(found: DataFrame) -> DataFrame:
 
 def runtime_calls(called: DataFrame) -> DataFrame:
     """Calls that run an effect: a run method of Effect, of Runtime or of a value named after a runtime."""
-    return called.where(F.col("callee").rlike(r"^(Effect|Runtime|[\w$.]*[rR]untime)\.(" + "|".join(RUN_METHODS) + ")$"))
+    return called.where(F.col("callee").rlike(_RUNS))
 
 
 def combinators(called: DataFrame) -> DataFrame:
@@ -212,7 +304,12 @@ def unvalidated_json(called: DataFrame) -> DataFrame:
     return parses.join(decoded, (F.col("path") == F.col("_p")) & F.col("owner").eqNullSafe(F.col("_o")), "left_anti")
 
 
-FAMILIES = {"imports": imports, "exports": exports, "items": items, "calls": calls, "flow_counts": flow_counts}
+def numbered_signals(found: DataFrame) -> DataFrame:
+    """Signals as the rules read them: ``seq`` numbers those of a file, by line."""
+    return found.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("line", "family", "callee")) - 1).alias("seq"), "family", F.col("owner").alias("owner_name"), "callee", "kinds", "line")
+
+
+FAMILIES = {"imports": imports, "exports": exports, "items": items, "calls": calls, "flow_counts": flow_counts, "signals": signals}
 
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:

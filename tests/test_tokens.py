@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from factloom.plans import project
 from factloom.plans.source_queries import SOURCES
 from factloom.sources import tokens as K
 from factloom.sources import typescript
@@ -34,6 +36,44 @@ export = late
 """,
     "src/empty.ts": "",
 }
+NESTED = {
+    "src/nested.tsx": """export function Board({ id, isOpen }: Props) {
+  const q = useQuery({ queryKey: [id], queryFn: () => Effect.runPromise(load(id)) });
+  if (!isOpen) return null;
+  const late = useMemo(() => 1, []);
+  const both = isOpen && useFlag("x");
+  try { useRisky(); } catch { use(thing); }
+  while (isOpen) { useState(0); }
+  const onClick = () => { window.name = "y"; Math.random(); useNothing(); };
+  if (isOpen == 1) { localStorage.last = id; } else { useElse(); }
+  const at = new Date();
+  function useInner() { return 1 }
+  return <b onClick={onClick}>{q.data}</b>;
+}
+function Hidden() { const n = Math.random(); if (n) { useState(n); } }
+export const useAll = () => {
+  switch (mode) { case 1: useReducer(r, {}); }
+  if (a) { return 1; }
+  useRef(null);
+  return React.useId();
+};
+""",
+    "src/loops.ts": """export async function walk(xs: string[], appRuntime: R) {
+  for await (const x of stream(xs)) { if (x) { await go(x); } }
+  const body = await res.json();
+  await Promise.allSettled(xs.map(f));
+  return appRuntime.runFork(Effect.withSpan("walk")(Effect.tryPromise(() => fetch(body))));
+}
+class Loader {
+  open() { return Effect.scoped(Effect.acquireRelease(a, b)); }
+  leak() { return Effect.acquireRelease(a, b); }
+  both() { return Effect.promise(() => { if (x) { throw y; } return Promise.reject(z); }); }
+  fine() { return Effect.promise(() => get()).pipe(Effect.retry(3), Effect.log("x")); }
+  many() { return Effect.forEach(xs, f, { concurrency: "unbounded" }); }
+  each() { return Effect.validateAll(xs, (x) => Schema.decodeUnknown(S)(JSON.parse(x))); }
+}
+""",
+}
 
 
 def _rows(df, columns):
@@ -60,6 +100,36 @@ def test_agrees_with_the_extractor(texts, found, family, columns, where):
     assert (ours - theirs, theirs - ours) == (Counter(), Counter())
 
 
+def test_signals_agree_with_the_extractor(spark):
+    rows = [(p.replace("§", "1"), t.replace("§", "1")) for p, t in {**SOURCES, **NESTED}.items()]
+    files = spark.createDataFrame(rows, "path string, content string")
+    joined = lambda df: df.withColumn("kinds", F.array_join("kinds", ","))
+    columns = ["path", "family", "owner", "callee", "kinds", "line"]
+    ours, theirs = _rows(joined(K.signals(K.tokens(files))), columns), _rows(joined(typescript.facts(files, "signals").withColumnRenamed("owner_name", "owner")), columns)
+    assert len(ours) > 30 and (ours - theirs, theirs - ours) == (Counter(), Counter())
+
+
+def test_loops_that_await(spark):
+    """Functions inside a loop are not entered; any form of loop counts, and each that holds the await."""
+    text = """export async function walk(xs) {
+  for (const x of xs) { xs.map(async y => { await go(y); }); }
+  do { await tick(); } while (more());
+  while (a) { for (;;) { await b(); } }
+  xs.forEach(async x => { for (const y of x) { await c(y); } });
+}
+"""
+    rows = K.signals(K.tokens(spark.createDataFrame([("p", text)], "path string, content string"))).collect()
+    assert sorted((r.callee, r.line) for r in rows) == [("do", 3), ("for", 4), ("for", 5), ("while", 4)]
+
+
+def test_a_project_can_take_its_facts_from_tokens(spark, texts):
+    files = texts.select("path", "content").withColumn("mtime_ms", F.lit(0).cast("bigint"))
+    rules, names = ["TS-EXT-EFFECT-R001", "TS-EXT-EFFECT-R006", "TS-EXT-REACT-R002"], ["path", "rule_id", "line", "summary"]
+    manifest = '{"dependencies": {"effect": "3", "react": "19"}}'
+    by_tokens, by_extractor = (_rows(project.check(project.build(files, manifest, "{}", by_tokens=b), rules=rules), names) for b in (True, False))
+    assert by_tokens and by_tokens == by_extractor
+
+
 def test_tokens_keep_every_sign_but_space_and_comments(spark):
     text = "a /* ( */ .b(`x ${ `y` } z`, \"// no\", /[(]/) // {\n}"
     rows = K.tokens(spark.createDataFrame([("p", text)], "path string, content string")).orderBy("at").collect()
