@@ -248,14 +248,23 @@ def signals(found: DataFrame) -> DataFrame:
     Families of calls are conditions on one row, with what else its owner calls as a window over the owner's calls. Loops that await
     are found at their block's bracket, assignments to global objects and definitions inside components at their own tokens.
     """
-    t = _in_context(_sites(found))
+    t = _in_context(_sites(found)).where("owner IS NOT NULL")
+    shown = F.coalesce(F.col("exported") & F.col("owner").rlike("^([A-Z]|use[A-Z0-9])") & (F.col("in_callback") == 0), F.lit(False))
+    is_name = F.col("kind") == "name"
+    assigned = shown & is_name & F.col("text").rlike(r"^(window|document|localStorage)(\.|$)") & (F.col("next") == "=") & (F.col("_next_two") != "=")
+    inner = shown & is_name & (F.col("depth") == 1) & F.col("prev").isin("function", "const", "let", "var") & F.col("text").rlike("^([A-Z][a-z]|use[A-Z0-9])")
+    what = F.when(F.col("is_call"), "call").when((F.col("_in_loop") == 1) & (F.col("n_awaits") > 0), "loop").when(assigned, "assigned").when(inner, "inner")
+    # the few rows that matter; windows over an owner's calls come after
+    c = t.withColumn("what", what).where("what IS NOT NULL").select(
+        "path", "owner", "what", shown.alias("shown"), "next", "n_throws", "n_rejects", "n_bounds", "in_loop", "in_condition", "in_try", "in_query_hook", "after_return", "on_condition",
+        F.when(F.col("what") == "call", F.col("prev")).when(F.col("what") == "loop", F.col("head")).when(F.col("what") == "assigned", F.element_at(F.split("text", r"\."), 1)).otherwise(F.col("text")).alias("callee"),
+        F.when(F.col("what") == "call", F.col("prev_line")).when(F.col("what") == "loop", F.col("head_line")).otherwise(F.col("line")).alias("line"), F.coalesce(F.col("_second") == "new", F.lit(False)).alias("is_new"),
+    )
     own = Window.partitionBy("path", "owner")
-    callee, method = F.col("callee"), F.element_at(F.split("callee", r"\."), -1)
-    c = _called(t, "next", "exported", "n_throws", "n_rejects", "n_bounds", "in_loop", "in_condition", "in_try", "in_callback", "in_query_hook", "after_return", "on_condition").where("owner IS NOT NULL")
-    has = lambda pattern: F.max(callee.rlike(pattern)).over(own)
+    callee, method, call = F.col("callee"), F.element_at(F.split("callee", r"\."), -1), F.col("what") == "call"
+    has = lambda pattern: F.max(call & callee.rlike(pattern)).over(own)
     c = c.withColumns({"_scoped": has(r"^Effect\.scoped$"), "_decodes": has(DECODES), "_observed": has(OBSERVES), "_resilient": has(RESILIENT)})
     kinds = lambda *pairs: F.array_sort(F.array_compact(F.array(*[F.when(c, n) for n, c in pairs])))
-    shown = F.col("exported") & F.col("owner").rlike("^([A-Z]|use[A-Z0-9])") & (F.col("in_callback") == 0)
     uses = callee == "use"
     interop = kinds(("async-callback", F.col("next") == "async"), ("throws", F.col("n_throws") > 0), ("rejects", F.col("n_rejects") > 0))
     lacking = kinds(("observability", ~F.col("_observed")), ("resilience", ~F.col("_resilient")))
@@ -265,17 +274,13 @@ def signals(found: DataFrame) -> DataFrame:
         ("runtime-call", callee.rlike(_RUNS), kinds(("query-hook", F.col("in_query_hook") > 0))), ("promise-interop", (callee == "Effect.promise") & (F.size(interop) > 0), interop), ("resource-scope", (callee == "Effect.acquireRelease") & ~F.col("_scoped"), none),
         ("concurrency", callee.isin(*PROMISE_COMBINATORS), F.array(F.lit("promise-combinator"))), ("concurrency", callee.isin(*EFFECT_COLLECTIONS) & (F.col("n_bounds") == 0), F.array(F.lit("unbounded-collection"))),
         ("schema-boundary", ((callee == "JSON.parse") | (method == "json")) & ~F.col("_decodes"), F.array(F.lit("unvalidated-json"))), ("production-boundary", callee.isin(*EXTERNAL_IO) & (F.size(lacking) > 0), lacking),
-        ("render-purity", shown & (callee.isin(*IMPURE_CALLS) | F.col("is_new") & (callee == "Date")), F.array(F.lit("impure-call"))), ("hook-call", shown & method.rlike("^use([A-Z0-9]|$)") & (F.size(hook) > 0), hook),
+        ("render-purity", F.col("shown") & (callee.isin(*IMPURE_CALLS) | F.col("is_new") & (callee == "Date")), F.array(F.lit("impure-call"))), ("hook-call", F.col("shown") & method.rlike("^use([A-Z0-9]|$)") & (F.size(hook) > 0), hook),
     ]
-    rows = c.withColumn("x", F.explode(F.array_compact(F.array(*[F.when(on, F.struct(F.lit(f).alias("family"), k.alias("kinds"))) for f, on, k in found_in]))))
-    rows = rows.select("path", "x.family", "owner", "callee", "x.kinds", "line")
-    row = lambda df, family, callee, kind, line: df.select("path", F.lit(family).alias("family"), "owner", callee.alias("callee"), F.array(kind).alias("kinds"), line.alias("line"))
-    held = t.where("owner IS NOT NULL")
-    loops = held.where((F.col("_in_loop") == 1) & (F.col("n_awaits") > 0))
-    assigned = held.where(shown & (F.col("kind") == "name") & F.col("text").rlike(r"^(window|document|localStorage)(\.|$)") & (F.col("next") == "=") & (F.col("_next_two") != "="))
-    inner = held.where(shown & (F.col("depth") == 1) & (F.col("kind") == "name") & F.col("prev").isin("function", "const", "let", "var") & F.col("text").rlike("^([A-Z][a-z]|use[A-Z0-9])"))
-    rows = rows.unionByName(row(loops, "concurrency", F.col("head"), F.lit("await-in-loop"), F.col("head_line"))).unionByName(row(assigned, "render-purity", F.element_at(F.split("text", r"\."), 1), F.lit("global-assignment"), F.col("line")))
-    return rows.unionByName(row(inner, "static-definition", F.col("text"), F.when(F.col("text").rlike("^[A-Z]"), "component").otherwise("hook"), F.col("line")))
+    in_calls = [F.when(call & on, F.struct(F.lit(f).alias("family"), k.alias("kinds"))) for f, on, k in found_in]
+    one = lambda name, family, kind: F.when(F.col("what") == name, F.struct(F.lit(family).alias("family"), F.array(kind).alias("kinds")))
+    others = [one("loop", "concurrency", F.lit("await-in-loop")), one("assigned", "render-purity", F.lit("global-assignment")), one("inner", "static-definition", F.when(callee.rlike("^[A-Z]"), "component").otherwise("hook"))]
+    rows = c.withColumn("x", F.explode(F.array_compact(F.array(*in_calls, *others))))
+    return rows.select("path", "x.family", "owner", "callee", "x.kinds", "line")
 
 
 def flow_counts(found: DataFrame) -> DataFrame:
