@@ -63,6 +63,37 @@ def depth_to_target(dependencies: DataFrame, target: str, most: int = 8) -> Data
     return found.select("node", (F.col("depth") + 1).alias("depth"))
 
 
+def depths_to_targets(dependencies: DataFrame, targets: list[str], most: int = 8) -> DataFrame:
+    """(target, node, depth) of several targets at once: one join a turn for all of them; the frontier alone is joined."""
+    edges = cut(dependencies.where("to_path IS NOT NULL AND from_role != 'test'").select(F.col("to_path").alias("node"), F.col("from_path").alias("_next")).distinct())
+    found = frontier = cut(dependencies.sparkSession.createDataFrame([(t, t, 1) for t in targets], "target string, node string, depth int"))
+    for _ in range(most - 1):
+        near = frontier.join(edges, "node").select("target", F.col("_next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        frontier = cut(near.join(found, ["target", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
+def tests_for_owners(dependencies: DataFrame, targets: list[str]) -> DataFrame:
+    """(target, seq, test_path, source_path, reason, score, depth): what ``tests_for_owner`` finds for each of a few targets, none capped, each target's own path as its query. The edges are read once for all."""
+    none = "target string, seq bigint, test_path string, source_path string, reason string, score int, depth int"
+    if not targets:
+        return dependencies.sparkSession.createDataFrame([], none)
+    dependencies = cut(dependencies.where("to_path IS NOT NULL").select("seq", "from_path", "to_path", "module_specifier", "from_role", "is_test_context"))
+    d = dependencies.where("is_test_context").withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
+    d = d.join(depths_to_targets(dependencies, targets).withColumnRenamed("node", "to_path"), ["target", "to_path"], "left")
+    t = F.col("target")
+    direct = (F.col("to_path") == t) | F.endswith("to_path", F.concat(F.lit("/"), t))
+    by_path, by_name, far = F.contains("from_path", t), F.contains("module_specifier", t), (F.col("from_role") == "test") & F.col("depth").isNotNull()
+    reason = F.when(direct, "direct-import").when(by_path, "test-path").when(by_name, "specifier").when(far, "transitive-import")
+    score = F.when(direct, 8).when(by_path, 4).when(by_name, 3).when(far, 6)
+    source = F.when(direct | ~by_path & by_name, F.col("to_path")).otherwise(t)
+    hits = d.withColumn("reason", reason).where("reason IS NOT NULL").select("target", "seq", F.col("from_path").alias("test_path"), source.alias("source_path"), "reason", score.alias("score"), F.when(F.col("reason") == "transitive-import", F.col("depth")).alias("depth"))
+    return hits.groupBy("target", "test_path", "source_path").agg(F.min_by(F.struct("seq", "reason", "score", "depth"), F.struct(-F.col("score"), "seq")).alias("x")).select("target", "x.seq", "test_path", "source_path", "x.reason", "x.score", "x.depth")
+
+
 def tests_for_owner(dependencies: DataFrame, target: str, query: str, most: int = 30) -> DataFrame:
     """Test edges of an owner, the best of each (source, test): a direct import 8, by the test's path 4, by the specifier 3, over other owners 6; the first reason that holds counts for an edge."""
     # written once, narrow: the search and its result both read it

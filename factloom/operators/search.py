@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.checkpoints import cut
 from factloom.functions import scalar as S
 from factloom.operators import aggregates as A
 from factloom.operators import filters as P
@@ -200,8 +201,8 @@ def _tests(c: Catalog, query: str) -> Packet:
 
 
 @view("lexical")
-def _lexical(c: Catalog, query: str, query_set: list[str] | None = None, owner: str | None = None) -> Packet:
-    """Fuzzy hits in paths, exports and lines; several terms are merged by coverage."""
+def _lexical(c: Catalog, query: str, query_set: list[str] | None = None, owner: str | None = None, pipes: tuple[str, ...] = ()) -> Packet:
+    """Fuzzy hits in paths, exports and lines; several terms are merged by coverage. The pipe ``tests`` adds the tests of the hits' owners, of which there are no more than hits."""
     files = c["source_files"].select("path", F.col("content").alias("text"), "mtime_ms")
     b = branches(c)
     terms = query_set or [query]
@@ -219,7 +220,12 @@ def _lexical(c: Catalog, query: str, query_set: list[str] | None = None, owner:
     if owner:
         rows = rows.where(F.col("path") == owner)
     if not query_set:
-        return {"hits": W.top_hits(rows.drop("terms"))}
+        hits = W.top_hits(rows.drop("terms"))
+        if "tests" not in pipes:
+            return {"hits": hits}
+        hits = cut(hits)
+        owners = hits.select(F.col("owner_path").alias("path")).distinct().join(c["modules"].where("role = 'test'").select("path"), "path", "left_anti").where(~S.is_test_path(F.col("path")))
+        return {"hits": hits, "tests": G.tests_for_owners(c.dependencies, sorted(r.path for r in owners.collect()))}
     first = W.first_hits(rows, [*W.hit_order(), F.asc("kind"), F.asc("symbol")]).withColumnRenamed("depth", "seq")
     return {"hits": W.query_set(first, b, terms), "coverage": A.query_coverage(c.spark.createDataFrame([(t,) for t in terms], "term string"), rows, W.interleave(first)), "owners": W.synthesis_owners(rows)}
 

@@ -19,9 +19,9 @@ AUTHORITY = {"parser-fact": 5, "compiler-fact": 4, "test-receipt": 3, "human-not
 SYNTAX_KINDS = ("unit", "property", "contract", "integration", "render", "effect", "performance")
 
 
-def task_kinds(responsibilities: Column, override: Column | None = None) -> Column:
-    """Kinds that the responsibilities ask for, distinct and sorted; an override replaces them."""
-    table = F.create_map(*[x for k, v in KINDS_OF.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast("array<string>"))])
+def task_kinds(responsibilities: Column, override: Column | None = None, policy: dict[str, list[str]] | None = None) -> Column:
+    """Kinds that the responsibilities ask for, distinct and sorted; an override replaces them. ``policy`` says for some responsibilities which kinds they ask for here."""
+    table = F.create_map(*[x for k, v in (KINDS_OF | (policy or {})).items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast("array<string>"))])
     nothing = F.array().cast("array<string>")
     asked = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(responsibilities, nothing), lambda r: F.coalesce(F.try_element_at(table, r), nothing)))))
     return F.coalesce(F.array_sort(F.array_distinct(override)), asked) if override is not None else asked
@@ -47,7 +47,19 @@ def fingerprint_of(value: object) -> str:
     return "tsv:" + hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def plan(hints: DataFrame, modules: DataFrame, disabled: list[str] | None = None, skills: DataFrame | None = None) -> DataFrame:
+def task_contracts(tasks: DataFrame, defaults: DataFrame, by_policy: DataFrame, by_hint: DataFrame) -> DataFrame:
+    """Tasks with (phase, evidence): the hint's for owner and kind, else the policy's for the kind, else the default's; null where none has one.
+
+    A contract is taken whole: a level that leaves its evidence empty still hides the levels below. Of several of one key the last by ``seq`` counts.
+    """
+    def level(df: DataFrame, name: str, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.max_by(F.struct("phase", "evidence"), "seq").alias(name))
+
+    t = tasks.join(level(by_hint, "_hint", "owner_path", "kind"), ["owner_path", "kind"], "left").join(level(by_policy, "_policy", "kind"), "kind", "left").join(level(defaults, "_default", "kind"), "kind", "left")
+    return t.withColumn("_c", F.coalesce("_hint", "_policy", "_default")).select(*tasks.columns, "_c.phase", "_c.evidence")
+
+
+def plan(hints: DataFrame, modules: DataFrame, disabled: list[str] | None = None, skills: DataFrame | None = None, policy: dict[str, list[str]] | None = None) -> DataFrame:
     """Tasks (kind, owner_path, fingerprint, note, seq) of all hints.
 
     A hint of an unknown owner, without responsibilities, that overrides kinds without a rationale, asks for a disabled kind or
@@ -56,7 +68,7 @@ def plan(hints: DataFrame, modules: DataFrame, disabled: list[str] | None = None
     """
     h = hints_with_modules(hints, modules)
     size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
-    kinds = task_kinds(F.col("responsibilities"), F.col("task_kinds"))
+    kinds = task_kinds(F.col("responsibilities"), F.col("task_kinds"), policy)
     off = F.arrays_overlap(kinds, F.array(*[F.lit(d) for d in disabled or [""]]))
     note = (
         F.when(~F.col("known"), "the owner is unknown").when(size(F.col("responsibilities")) == 0, "no responsibilities").when((size(F.col("task_kinds")) > 0) & (F.trim(F.coalesce("rationale", F.lit(""))) == ""), "kinds are overridden without a rationale")

@@ -93,3 +93,19 @@ def f_stamps_maps_and_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array_join(F.array_sort(F.transform(F.map_entries(held), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     ms = k * 1234567891
     return R.table(spark, sf_dir, "orders").select("o_orderkey", S.utc_stamp(ms).alias("stamp"), S.utc_stamp(ms, for_file=True).alias("file_stamp"), S.const_at(text, ["a b", "c"]).alias("const"), fields.alias("fields"))
+
+
+@query(f"""WITH {_TASKS}, u AS (SELECT DISTINCT owner_path, kind FROM t),
+ h AS (SELECT 'o' || c_custkey AS owner_path, ['stress', 'performance', 'chaos', 'review'][c_nationkey % 4 + 1] AS kind, 'hint' AS phase, 'h' || c_custkey AS evidence FROM customer),
+ p AS (SELECT ['stress', 'chaos'][r_regionkey % 2 + 1] AS kind, 'policy' AS phase, arg_max('p' || r_name, r_regionkey) AS evidence FROM region GROUP BY 1),
+ d AS (SELECT ['stress', 'performance', 'chaos'][n_nationkey % 3 + 1] AS kind, 'default' AS phase, arg_max('d' || n_name, n_nationkey) AS evidence FROM nation GROUP BY 1)
+ SELECT u.owner_path, u.kind, coalesce(h.phase, p.phase, d.phase) AS phase, coalesce(h.evidence, p.evidence, d.evidence) AS evidence FROM u LEFT JOIN h USING (owner_path, kind) LEFT JOIN p ON p.kind = u.kind LEFT JOIN d ON d.kind = u.kind""")
+def v_task_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def contracts(table: str, key: str, kinds: tuple[str, ...], phase: str, text, *more):
+        kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col(key) % len(kinds) + 1).cast("int"))
+        return R.table(spark, sf_dir, table).select(kind.alias("kind"), F.lit(phase).alias("phase"), text.alias("evidence"), *more)
+
+    hint = contracts("customer", "c_nationkey", ("stress", "performance", "chaos", "review"), "hint", F.concat(F.lit("h"), F.col("c_custkey").cast("string")), F.concat(F.lit("o"), F.col("c_custkey").cast("string")).alias("owner_path"), F.col("c_custkey").alias("seq"))
+    policy = contracts("region", "r_regionkey", ("stress", "chaos"), "policy", F.concat(F.lit("p"), F.col("r_name")), F.col("r_regionkey").alias("seq"))
+    default = contracts("nation", "n_nationkey", ("stress", "performance", "chaos"), "default", F.concat(F.lit("d"), F.col("n_name")), F.col("n_nationkey").alias("seq"))
+    return verify.task_contracts(_tasks(spark, sf_dir).select("owner_path", "kind").distinct(), default, policy, hint)

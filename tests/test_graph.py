@@ -93,3 +93,24 @@ def test_bounded_depth_query_goes_to_eight(spark, sf_dir, monkeypatch):
     want = {n: d + 1 for n, d in depths(into, target).items() if d < 8}
     assert max(want.values()) > 3
     assert {r.node: r.depth for r in catalog.gr2_bounded_depth(spark, sf_dir).collect()} == want
+
+
+def test_tests_of_several_owners_are_those_of_each(spark):
+    pairs = [("src/b", "src/a", "source", False), ("src/c", "src/b", "source", False), ("src/d", "src/c", "source", False), ("src/a", "src/d", "source", False)]
+    pairs += [("tests/x", "src/a", "test", True), ("tests/y", "src/c", "test", True), ("tests/y", "src/e", "test", True), ("tests/src/b.test", "src/e", "test", True), ("tests/x", "src/a", "test", True), ("tests/z", None, "test", True)]
+    rows = [(i, a, b, f"../{b}", role, ctx) for i, (a, b, role, ctx) in enumerate(pairs)]
+    d = spark.createDataFrame(rows, "seq long, from_path string, to_path string, module_specifier string, from_role string, is_test_context boolean")
+    targets, names = ["src/a", "src/b", "src/e", "src/none"], ["seq", "test_path", "source_path", "reason", "score", "depth"]
+    got = sorted(map(tuple, G.tests_for_owners(d, targets).select("target", *names).collect()), key=repr)
+    assert got == sorted(((t, *r) for t in targets for r in G.tests_for_owner(d, t, t, 1000).select(*names).collect()), key=repr)
+    assert len(got) > 6 and G.tests_for_owners(d, []).count() == 0
+
+
+def test_policy_says_what_responsibilities_ask_for(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators import verify
+
+    df = spark.createDataFrame([(["public_api", "persistence"],), ([],), (None,)], "r array<string>")
+    policy = {"public_api": ["regression", "security"], "pure_domain_logic": ["responsibility_review"]}
+    assert [x[0] for x in df.select(verify.task_kinds(F.col("r"), policy=policy)).collect()] == [["chaos", "regression", "security"], [], []]

@@ -77,6 +77,8 @@ def test_views(catalog):
     assert [(r.reason, r.depth) for r in tests] == [("transitive-import", 2)]
     lexical = search.search(catalog, "lexical", "saveStore")["hits"].collect()
     assert lexical[0].path in {"src/store.ts", "tests/store.test.ts"}
+    piped = search.search(catalog, "lexical", "saveStore", pipes=("tests",))
+    assert piped["hits"].collect() == lexical and ("src/store.ts", "tests/store.test.ts", "direct-import") in {(r.target, r.test_path, r.reason) for r in piped["tests"].collect()}
     owner = search.search(catalog, "owner", "src/store")
     assert owner["owners"].first().path == "src/store.ts"
     assert {r.direction for r in owner["edges"].collect()} == {"in", "out"}
