@@ -1,7 +1,7 @@
 """The command line: ``python -m factloom COMMAND ...``.
 
     check ROOT [--changed]                      findings; exit code 1 if one of them blocks
-    search VIEW [QUERY] --root ROOT [--query-set A,B] [--owner PATH]
+    search VIEW [QUERY] --root ROOT [--query-set A,B] [--owner PATH] [--pipe tests]
     plans FILE --root ROOT                      pattern plans, one JSON object a line, with a field "id"
     flow TERMS --root ROOT                      source.call=... sink.constructs=... scope.fn=...
     views                                       the search views
@@ -45,6 +45,7 @@ def _parser() -> argparse.ArgumentParser:
     find.add_argument("query", nargs="?", default="")
     find.add_argument("--query-set")
     find.add_argument("--owner")
+    find.add_argument("--pipe", action="append", choices=["tests"])
     plans = commands.add_parser("plans")
     plans.add_argument("file")
     flow = commands.add_parser("flow")
@@ -103,7 +104,7 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
             patterns.parse_flow(" ".join(a.terms))
         c = _catalog(spark, a.root)
         if a.command == "search":
-            options = {k: v for k, v in (("query_set", a.query_set.split(",") if a.query_set else None), ("owner", a.owner)) if v}
+            options = {k: v for k, v in (("query_set", a.query_set.split(",") if a.query_set else None), ("owner", a.owner), ("pipes", tuple(a.pipe or ()))) if v}
             _show(search(c, a.view, a.query, **options), a.json)
             return 0
         if a.command == "flow":

@@ -30,6 +30,7 @@ def test_usage_is_exit_code_2(spark, root, capsys):
 
 def test_search_and_check(spark, root, capsys, tmp_path):
     assert main(["search", "lexical", "saveStore", "--root", root], spark) == 0
+    assert main(["search", "lexical", "saveStore", "--root", root, "--pipe", "tests"], spark) == 0
     assert "path=src/store.ts" in capsys.readouterr().out
     assert main(["search", "lexical", "--query-set", "saveStore,index", "--root", root, "--json", f"{tmp_path}/out"], spark) == 0
     assert spark.read.json(f"{tmp_path}/out/hits").count() > 0
