@@ -114,3 +114,9 @@ def test_test_paths_differ(spark):
 
 def test_token_estimate(spark):
     assert one(spark, S.token_estimate(F.lit("abcd"))) == math.ceil(4 / 3)
+
+
+def test_stamps_beyond_four_digits(spark):
+    assert one(spark, S.utc_stamp(F.lit(205256 * 1234567891))) == "10000-01-02T22:10:35Z"
+    assert one(spark, S.utc_stamp(F.lit(205256 * 1234567891), for_file=True)) == "10000-01-02T22-10-35Z"
+    assert one(spark, S.utc_stamp(F.lit(0))) == "1970-01-01T00:00:00Z"
