@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import connect, same
 
@@ -34,3 +36,12 @@ def test_coverage_query_reads_the_modules(spark, sf_dir, monkeypatch):
     m = spark.createDataFrame([("src/license/apache.ts", "source", ["x"])], "path string, role string, export_names array<string>")
     monkeypatch.setattr(catalog.R, "modules", lambda *_: m)
     assert "src/license/apache.ts" in {r.owner_path for r in catalog.w6_coverage_hits(spark, sf_dir).collect()}
+
+
+def test_first_match_takes_the_first_row_of_equal_lines(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, n, copies in (("a", 1.0, 1), ("b", 2.0, 200)):  # Spark reads the larger file first
+        keys = list(range(400)) * copies
+        pq.write_table(pa.table({"l_orderkey": keys, "l_linenumber": pa.array([1] * len(keys), pa.int32()), "l_quantity": [n + i for i in range(len(keys))]}), tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    spark.range(400).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.o_orderkey: r.branches for r in catalog.j10_first_match(spark, str(tmp_path)).collect()} == {k: 1.0 + k for k in range(400)}
