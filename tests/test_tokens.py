@@ -164,3 +164,10 @@ def test_one_exchange(spark):
     files = spark.range(9).selectExpr("'p' || id AS path", "'f(' || id || ')' AS content")
     plan = K.calls(K.tokens(files))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Python" not in plan
+
+
+@pytest.mark.parametrize("family", ["items", "calls", "flow_counts", "signals"])
+def test_no_token_is_exchanged(spark, family):
+    files = spark.createDataFrame([("p", "f();")], "path string, content string")
+    plan = K.FAMILIES[family](K.tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange " not in plan[: plan.index("Generate ")]  # texts are dealt before they are cut
