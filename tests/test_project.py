@@ -351,3 +351,18 @@ FLOWS = [  # body, statements, branches, loops, nesting, chain, transforms, bloc
 def test_flow_metrics(body, want):
     r = typescript.read("a.ts", "export function f(x: string) {" + body + "}", "control_flows")[0]
     assert tuple(r[k] for k in ("statements", "branches", "loops", "max_nesting", "max_literal_chain", "manual_transform_loops", "max_block_statements")) == want
+
+
+@pytest.mark.parametrize("read", [lambda f: typescript.facts(f, "calls"), typescript.all_facts])
+def test_texts_of_one_partition_are_read_by_many_tasks(spark, read):
+    texts = spark.range(0, 400, 1, 1).selectExpr("concat('src/a', id, '.ts') AS path", "concat('export const x = f', id, '();') AS content")
+    found = read(texts).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() > 8
+    assert read(texts).select("path" if "path" in found.columns else "calls.path").where("path IS NOT NULL").distinct().count() == 400
+
+
+def test_edges_read_the_texts_for_imports_once(spark):
+    rows = [(p, t, 0) for p, t in SOURCES.items()]
+    c = project.build(spark.createDataFrame(rows, "path string, content string, mtime_ms long"), keep=False)
+    plan = c["edges"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 1  # the modules'; imports are read from where they were written
