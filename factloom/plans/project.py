@@ -151,6 +151,7 @@ def nearest_configuration(documents: DataFrame, root: str, name: str) -> str | N
 
 def import_edges(imports: DataFrame, modules: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
     """Imports with resolution and target: relative ones by their path, aliased ones by the alias' targets in order; the first candidate that is a module. ``seq`` follows the order of paths and, in a file, of its imports."""
+    imports = stored(imports.select("path", "seq", "module_specifier", "kind", "is_type_only", "line", "col"))  # read four times below, and made from texts only once
     asked = imports.withColumn("_id", F.concat_ws(":", "path", "seq"))
     spec = F.col("module_specifier")
     places = [joins.relative_target(F.col("path"), spec)]
