@@ -1,27 +1,44 @@
 """A search index beside the texts: which texts hold a run of three signs, so that a search reads those that can match.
 
-Two tables under one folder, each in folders by bucket (a hash of the path): ``texts`` (id, path, content_hash, text), ids counted from 0 in
-a bucket, and ``postings`` (gram, n, gaps), the ids of the texts that hold a gram, in order, each less the one before. A gram that is in every text has a list of bounded
-length in each bucket. A search asks for its grams only (files are sorted by gram), meets the lists of the rarest, and reads the
+Two tables under one folder, each in folders by bucket (a hash of the path): ``texts`` (id, path, content_hash, text), ids distinct in
+a bucket, and ``postings`` (gram, start, n, gaps), the ids of the texts that hold a gram, in order, each less the one before. Lists are made of a block of texts at
+a time, where the texts lie: ``start`` is the block's first id, and a gram has a row for each block that holds it, so that lists have a bounded length whatever
+the number of texts, and only texts are exchanged. A search asks for its grams only (files are sorted by gram), meets the lists of the rarest, and reads the
 buckets that remain. Refreshing compares hashes and rewrites the buckets in which a file was added, changed or removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.checkpoints import remove, shared_folder
-from factloom.operators.ranking import lexical_lines
+from factloom.operators.ranking import line_hits
 
 SIGNS = 3
 RAREST = 3  # lists that a search meets
 BUCKETS = 64  # so many that a bucket holds some thousands of texts
 
 
-def grams(text: Column) -> Column:
-    """The distinct runs of three signs, in small letters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
+PARTS = 2  # tasks for each shuffle partition of the session
+BLOCK = 2_000_000  # pairs of gram and text in a task's memory
+_BITS = 21  # of a code point
+
+
+def grams(low: str) -> list[str]:
+    """The distinct runs of three code points of a text in small letters."""
+    return list(dict.fromkeys(low[i : i + SIGNS] for i in range(len(low) - SIGNS + 1)))
+
+
+def _codes(low: str) -> np.ndarray:
+    """``grams`` as numbers, in order."""
+    c = np.frombuffer(low.encode("utf-32-le"), np.uint32).astype(np.int64)
+    found = np.sort(c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:])
+    return found[np.diff(found, prepend=-1) != 0]
 
 
 def _bucket(buckets: int) -> Column:
@@ -30,13 +47,51 @@ def _bucket(buckets: int) -> Column:
 
 def _write(files: DataFrame, path: str, buckets: int) -> None:
     """Both tables' folders of the files' buckets. Texts come last: hashes are compared with theirs, so that a run that broke off before is made up by the next."""
-    in_bucket = Window.partitionBy("bucket").orderBy("path")
-    held = files.where("path IS NOT NULL AND text IS NOT NULL").select(_bucket(buckets).alias("bucket"), "path", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"), "text")
-    texts = held.withColumn("id", F.row_number().over(in_bucket) - 1)
-    lists = texts.select("bucket", "id", F.explode(grams(F.col("text"))).alias("gram")).groupBy("bucket", "gram").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    gaps = F.transform("ids", lambda x, i: x - F.when(i > 0, F.get("ids", i - 1)).otherwise(F.lit(0)))
-    for name, df, order in (("postings", lists.select("bucket", "gram", F.size("ids").alias("n"), gaps.alias("gaps")), "gram"), ("texts", texts, "id")):
-        df.repartition("bucket").sortWithinPartitions("bucket", order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    parts = PARTS * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = -(-parts // buckets)  # of a bucket, so that every task has texts
+    share = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(shares)).cast("int")
+    held = files.where("path IS NOT NULL AND text IS NOT NULL").select(_bucket(buckets).alias("bucket"), share.alias("share"), "path", "text").repartition(parts, "bucket", "share")
+    in_share = Window.partitionBy("bucket", "share").orderBy("path")
+    texts = held.withColumn("id", (F.row_number().over(in_share) - 1) * shares + F.col("share"))
+    lists = texts.select("bucket", "share", "id", F.lower("text").alias("low")).mapInArrow(_lists, _LISTS)
+    texts = texts.select("bucket", "path", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"), "text", "id")
+    for name, df, order in (("postings", lists, ("gram", "start")), ("texts", texts, ("id",))):
+        df.sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+
+
+_LISTS = "gram string, start int, n int, gaps array<int>, bucket int"
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a task's texts (bucket, share, id, low), which come in order, a block of one share at a time."""
+    block: list[tuple[int, np.ndarray]] = []
+    held, place = 0, None
+    for b in batches:
+        for bucket, share, number, low in zip(*(b.column(c).to_pylist() for c in ("bucket", "share", "id", "low")), strict=True):
+            if block and (held >= BLOCK or place != (bucket, share)):
+                yield _lists_of(block, place[0])
+                block, held = [], 0
+            place = bucket, share
+            block.append((number, _codes(low)))
+            held += len(block[-1][1])
+    if block:
+        yield _lists_of(block, place[0])
+
+
+def _lists_of(block: list[tuple[int, np.ndarray]], bucket: int) -> pa.RecordBatch:
+    codes = np.concatenate([c for _, c in block])
+    ids = np.repeat(np.array([i for i, _ in block], np.int32), [len(c) for _, c in block])
+    order = np.argsort(codes, kind="stable")
+    codes, ids = codes[order], ids[order]
+    at = np.flatnonzero(np.diff(codes, prepend=-1))
+    gaps = np.diff(ids, prepend=np.int32(0))
+    gaps[at] = ids[at]
+    signs = [codes[at] >> 2 * _BITS, codes[at] >> _BITS & (1 << _BITS) - 1, codes[at] & (1 << _BITS) - 1]
+    names = ["".join(map(chr, x)) for x in zip(*(c.tolist() for c in signs), strict=True)]
+    ends = np.append(at, len(codes)).astype(np.int32)
+    same = lambda x: np.full(len(at), x, np.int32)
+    columns = [pa.array(names, pa.string()), pa.array(same(block[0][0])), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(gaps.astype(np.int32))), pa.array(same(bucket))]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "start", "n", "gaps", "bucket"])
 
 
 def build(files: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -61,7 +116,7 @@ def refresh(files: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
     return todo
 
 
-_SCHEMAS = {"texts": "path string, content_hash string, text string, id int, bucket int", "postings": "gram string, n int, gaps array<int>, bucket int"}
+_SCHEMAS = {"texts": "path string, content_hash string, text string, id int, bucket int", "postings": _LISTS}
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -70,7 +125,7 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def _rarest(spark: SparkSession, path: str, needle: str) -> list[tuple[str, int]] | None:
     """The needle's rarest grams with the number of texts that hold them; none if it is too short to have one."""
-    asked = spark.range(1).select(grams(F.lit(needle)).alias("g")).first().g
+    asked = grams(spark.range(1).select(F.lower(F.lit(needle)).alias("low")).first().low)  # as the texts' small letters are made
     if not asked:
         return None
     n = {r.gram: r.n for r in _table(spark, path, "postings").where(F.col("gram").isin(asked)).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
@@ -82,8 +137,8 @@ def candidates(spark: SparkSession, path: str, query: str) -> DataFrame | None:
     rarest = _rarest(spark, path, query.strip().lower())
     if rarest is None:
         return None
-    lists = _table(spark, path, "postings").where(F.col("gram").isin([g for g, _ in rarest])).select("bucket", "gram", F.posexplode("gaps").alias("at", "gap"))
-    ids = lists.select("bucket", F.sum("gap").over(Window.partitionBy("bucket", "gram").orderBy("at")).cast("int").alias("id"))
+    lists = _table(spark, path, "postings").where(F.col("gram").isin([g for g, _ in rarest])).select("bucket", "gram", "start", F.posexplode("gaps").alias("at", "gap"))
+    ids = lists.select("bucket", F.sum("gap").over(Window.partitionBy("bucket", "gram", "start").orderBy("at")).cast("int").alias("id"))
     return ids.groupBy("bucket", "id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("bucket", "id")
 
 
@@ -99,5 +154,5 @@ def texts_for(spark: SparkSession, path: str, query: str) -> DataFrame:
 
 
 def indexed_lines(spark: SparkSession, path: str, query: str, per_module: int = 3) -> DataFrame:
-    """What an exact search over all texts gives, from those that can match."""
-    return lexical_lines(texts_for(spark, path, query), query, fuzzy=False, per_module=per_module)
+    """What an exact search over all texts gives, from those that can match; paths are distinct, so that no line is exchanged."""
+    return line_hits(texts_for(spark, path, query), [query], fuzzy=False, per_module=per_module).select("path", "line", "score", "column", "snippet")

@@ -1,5 +1,7 @@
 import random
+from itertools import accumulate
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,38 @@ def test_literal_fuzzy_match_is_the_fold(spark, query):
     df = spark.createDataFrame(rows, "v string")
     fold, chain = S.fuzzy_match(F.col("v"), F.lit(query)), S.fuzzy_match_of(F.lower("v"), query)
     assert [r.a for r in df.select(fold.alias("a")).collect()] == [r.a for r in df.select(chain.alias("a")).collect()]
+
+
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_texts_are_split_once_and_not_for_each_line(spark, files, tmp_path, fuzzy):
+    files.write.parquet(f"{tmp_path}/files")
+    df = W.line_hits(spark.read.parquet(f"{tmp_path}/files"), ["apache"], fuzzy)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the text, and the text in small letters
+    assert not any("split(" in x for x in plan.split("\n") if x.strip(" +-:").startswith("Filter"))
+    assert "transform(arrays_zip(split(" in plan
+
+
+def test_a_bucket_is_shared_by_tasks_and_finds_the_same(spark, files, tmp_path):
+    path = str(tmp_path)
+    I.build(files, path, buckets=1)
+    lists = I._table(spark, path, "postings").where("gram = 'apa'").collect()
+    assert len(lists) > 4 and sum(r.n for r in lists) == files.where(F.contains(F.lower("text"), F.lit("apa"))).count()
+    for needle in ("apache", "🙂🙂 ü", "storekey x"):
+        assert lines(I.indexed_lines(spark, path, needle)) == lines(W.lexical_lines(files, needle, fuzzy=False))
+
+
+def test_lists_of_blocks_are_those_of_all_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = [(b, b % 2, k, "".join(rng.choice("abé🙂\n") for _ in range(rng.randint(0, 9)))) for b in range(2) for k in range(0, 80, 2)]
+    monkeypatch.setattr(I, "BLOCK", 20)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("bucket", "share", "id", "low"), x, strict=True)) for x in texts[at : at + 7]]) for at in range(0, len(texts), 7)]
+    got, rows = {}, [r for b in I._lists(iter(batches)) for r in b.to_pylist()]
+    for r in rows:
+        got.setdefault((r["bucket"], r["gram"]), []).extend(accumulate(r["gaps"]))
+        assert len(r["gaps"]) == r["n"]
+    wanted = {}
+    for bucket, _, k, low in texts:
+        for g in I.grams(low):
+            wanted.setdefault((bucket, g), []).append(k)
+    assert got == wanted and len({(r["bucket"], r["start"]) for r in rows}) > 4
