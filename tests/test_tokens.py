@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.plans import project
+from factloom.plans import catalog, project
 from factloom.plans.source_queries import SOURCES
 from factloom.sources import tokens as K
 from factloom.sources import typescript
@@ -171,3 +171,15 @@ def test_no_token_is_exchanged(spark, family):
     files = spark.createDataFrame([("p", "f();")], "path string, content string")
     plan = K.FAMILIES[family](K.tokens(files))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange " not in plan[: plan.index("Generate ")]  # texts are dealt before they are cut
+
+
+@pytest.mark.parametrize("name", ["t_imports", "t_exports", "t_items", "t_flow_counts", "t_runtime_calls", "t_combinators", "t_signals"])
+def test_lines_are_dealt_once(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("FileScan ")  # lines are dealt, neither their texts nor their tokens
+
+
+def test_windows_that_do_not_build_on_each_other_are_one(spark):
+    files = spark.createDataFrame([("p", "f();")], "path string, content string")
+    plan = K.calls(K.tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" :+-*(0123456789)").startswith("Window ") for line in plan.splitlines()) <= 5
