@@ -786,11 +786,12 @@ def f_occurrences_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n_files, 0 AS n_different, count(*) FILTER (WHERE doc_id % 7 = 0) > 0 AS some_reused FROM documents")
 def u_incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the files of a snapshot that was updated incrementally, how many of them differ from one made anew (none is right), and whether any were taken over (those of valid files are)."""
+    from factloom.checkpoints import stored
     from factloom.streaming import incremental
 
     f = R.files(spark, sf_dir).select("path", F.col("text").alias("content"), F.lit(0).cast("bigint").alias("mtime_ms"))
-    before = incremental.snapshot_of(f.where(F.col("path").contains("/tests/")))
-    after, _ = incremental.update(f, before)
+    before = stored(incremental.snapshot_of(f.where(F.col("path").contains("/tests/"))))
+    after = stored(incremental.update(f, before)[0])  # snapshots are kept: texts are read for each once
     differ = after.exceptAll(incremental.snapshot_of(f)).agg(F.count("*").cast("int").alias("n_different"))
     stats = incremental.reuse_stats(before, after).select("n_files", (F.col("n_reused") > 0).alias("some_reused"))
     return stats.crossJoin(differ)  # a row each

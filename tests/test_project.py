@@ -366,3 +366,10 @@ def test_edges_read_the_texts_for_imports_once(spark):
     c = project.build(spark.createDataFrame(rows, "path string, content string, mtime_ms long"), keep=False)
     plan = c["edges"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") <= 1  # the modules'; imports are read from where they were written
+
+
+def test_an_updated_snapshot_reads_texts_once(spark, sf_dir):
+    from factloom.plans import catalog
+
+    plan = catalog.QUERIES["u_incremental_equals_full"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # of the snapshot made anew; the others are read from where they were written
