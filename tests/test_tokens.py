@@ -183,3 +183,11 @@ def test_windows_that_do_not_build_on_each_other_are_one(spark):
     files = spark.createDataFrame([("p", "f();")], "path string, content string")
     plan = K.calls(K.tokens(files))._jdf.queryExecution().executedPlan().toString()
     assert sum(line.lstrip(" :+-*(0123456789)").startswith("Window ") for line in plan.splitlines()) <= 5
+
+
+def test_a_task_has_bounded_texts(spark):
+    """However few partitions a session has."""
+    texts = spark.range(1000).selectExpr("'p' || id AS path", "repeat('f();', 10000) AS content")  # 40 MB
+    assert K.tokens(texts).select("path").rdd.getNumPartitions() <= 32 < K.dealt(texts, 40 * F.octet_length("content")).rdd.getNumPartitions() == 763
+    nothing = texts.where("id < 0")
+    assert K.dealt(nothing, F.octet_length("content")).rdd.getNumPartitions() == 32
