@@ -185,6 +185,13 @@ def test_windows_that_do_not_build_on_each_other_are_one(spark):
     assert sum(line.lstrip(" :+-*(0123456789)").startswith("Window ") for line in plan.splitlines()) <= 5
 
 
+@pytest.mark.parametrize("family", ["imports", "exports"])
+def test_tokens_are_cut_once(spark, family):
+    files = spark.createDataFrame([("p", "f();")], "path string, content string")
+    plan = K.FAMILIES[family](K.tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_a_task_has_bounded_texts(spark):
     """However few partitions a session has."""
     texts = spark.range(1000).selectExpr("'p' || id AS path", "repeat('f();', 10000) AS content")  # 40 MB
