@@ -373,3 +373,17 @@ def test_an_updated_snapshot_reads_texts_once(spark, sf_dir):
 
     plan = catalog.QUERIES["u_incremental_equals_full"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1  # of the snapshot made anew; the others are read from where they were written
+
+
+def test_signs_of_one_letter_need_no_pattern(monkeypatch):
+    matched, pattern = [], lexer._TOKEN
+
+    class Counted:
+        def match(self, text, at):
+            matched.append(at)
+            return pattern.match(text, at)
+
+    monkeypatch.setattr(lexer, "_TOKEN", Counted())
+    s = lexer.lex("f((a), [b, {c: 1}]);\n")
+    assert [t.text for t in s.tokens] == [*"f((a),[b,{c:1}]);"] and len(matched) == 6  # four names, a number and the line's end
+    assert [(i, j) for i, j in sorted(s.pair.items()) if i < j] == [(1, 15), (2, 4), (6, 14), (9, 13)]
