@@ -104,8 +104,8 @@ def _plain(df: DataFrame, columns: str) -> DataFrame:
     return df.select(*[(F.array_join(c, ",") if c in arrays else F.col(c)).alias(c) for c in columns.split()])
 
 
-def family(name: str, columns: str, rows: list[tuple], where: str = "true", query: str = "") -> None:
-    add(query or f"x_{name}", lambda spark, sf_dir: _plain(typescript.facts(files(spark, sf_dir), name).where(where), columns), _expected(columns, rows))
+def family(name: str, columns: str, rows: list[tuple], signal: str | None = None, query: str = "") -> None:
+    add(query or f"x_{name}", lambda spark, sf_dir: _plain(typescript.facts(files(spark, sf_dir), name, signal), columns), _expected(columns, rows))
 
 
 _A, _E, _V, _T, _P = "src/store§.ts", "src/effects§.ts", "src/view§.tsx", "tests/store§.test.ts", "src/plain§.ts"
@@ -168,7 +168,7 @@ for _name, _rows in {
     "production-boundary": [(_E, "load§", "Effect.promise", "observability,resilience", 2), (_E, "run§", "fetch", "observability,resilience", 10)], "render-purity": [(_V, "Panel§", "Date.now", "impure-call", 3), (_V, "Panel§", "document", "global-assignment", 5)],
     "hook-call": [(_V, "Panel§", "useEffect", "conditional", 2), (_V, "useThing§", "useState", "loop", 9)], "static-definition": [(_V, "Panel§", "Inner", "component", 4)],
 }.items():
-    family("signals", "path owner_name callee kinds line", _rows, f"family = '{_name}'", "x_" + _name.replace("-", "_"))
+    family("signals", "path owner_name callee kinds line", _rows, _name, "x_" + _name.replace("-", "_"))
 family("function_shapes", "path name exported is_async n_params n_boolean_params statements max_nesting branches loops awaits returns", [
     (_A, "lazy", False, False, 0, 0, 0, 1, 0, 0, 0, None), (_A, "save§", True, False, 4, 1, 15, 3, 4, 1, 0, "[string, number]"), (_E, "load§", True, False, 0, 0, 0, 1, 0, 0, 0, "Effect.Effect<string, Error, Db>"), (_E, "run§", True, True, 0, 0, 9, 3, 0, 1, 2, "Promise<void>"), (_E, "safe§", True, False, 0, 0, 3, 2, 0, 0, 0, None),
     (_V, "Panel§", True, False, 1, 0, 7, 3, 1, 0, 0, None), (_V, "useThing§", True, False, 0, 0, 4, 3, 0, 1, 0, None), (_T, "testHelper", False, False, 0, 0, 1, 2, 0, 0, 0, None), (_P, "hidden", False, False, 0, 0, 0, 1, 0, 0, 0, None),

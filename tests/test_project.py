@@ -387,3 +387,14 @@ def test_signs_of_one_letter_need_no_pattern(monkeypatch):
     s = lexer.lex("f((a), [b, {c: 1}]);\n")
     assert [t.text for t in s.tokens] == [*"f((a),[b,{c:1}]);"] and len(matched) == 6  # four names, a number and the line's end
     assert [(i, j) for i, j in sorted(s.pair.items()) if i < j] == [(1, 15), (2, 4), (6, 14), (9, 13)]
+
+
+@pytest.mark.parametrize("family, signal", [("fixtures", None), ("signals", "runtime-call"), ("signals", "promise-interop"), ("signals", "resource-scope")])
+def test_texts_without_a_sign_are_passed_over(spark, family, signal):
+    bodies = ["Effect.runFork(a());", "appRuntime . runPromiseExit(a());", "Effect . promise(async () => { throw 1; });", "Effect.acquireRelease(a, b);", 'fs.writeFileSync("a", "b");', "a();", "runSync(a);", None]
+    files = spark.createDataFrame([(f"p{i}.ts", b and f"export function f() {{ {b} }}") for i, b in enumerate(bodies)], "path string, content string")
+    found = typescript.facts(files, family, signal)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(content" in plan[plan.index("Exchange ") :]
+    every = [r for f in files.collect() for r in typescript.read(f.path, f.content, family) if signal in (None, r.get("family"))]
+    assert sorted(r.path for r in found.collect()) == sorted(r["path"] for r in every) != []
