@@ -120,3 +120,19 @@ def test_stamps_beyond_four_digits(spark):
     assert one(spark, S.utc_stamp(F.lit(205256 * 1234567891))) == "10000-01-02T22:10:35Z"
     assert one(spark, S.utc_stamp(F.lit(205256 * 1234567891), for_file=True)) == "10000-01-02T22-10-35Z"
     assert one(spark, S.utc_stamp(F.lit(0))) == "1970-01-01T00:00:00Z"
+
+
+def test_stamps_beyond_the_range_of_timestamps(spark):
+    ms = [9_000_000 * 1234567891, 0, -1, 951782400000 + 400 * 31556952000 * 1000, 1 << 62, None, (1 << 63) - 1, -(1 << 63)]
+    found = [r.x for r in spark.createDataFrame([(i, m) for i, m in enumerate(ms)], "i int, ms long").select("i", S.utc_stamp(F.col("ms")).alias("x")).orderBy("i").collect()]
+    assert found[:4] == ["354067-02-02T23:30:00Z", "1970-01-01T00:00:00Z", "1969-12-31T23:59:59Z", "402000-02-29T00:00:00Z"]
+    assert found[4] == "146140482-04-24T15:36:27Z" and found[5] is None and found[6] == "292278994-08-17T07:12:55Z" and found[7].startswith("-292275055-05-16T16:47:04")
+
+
+def test_stamps_follow_no_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # half past two is left out there on that day
+        assert one(spark, S.utc_stamp(F.lit(1710037800000))) == "2024-03-10T02:30:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
