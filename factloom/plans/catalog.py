@@ -301,7 +301,7 @@ def j9_tests_for_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.col(c).cast("string").alias("function_name")
     params = R.table(spark, sf_dir, "orders").select(F.lit("a").alias("path"), "o_orderkey", name("o_orderkey"))
-    place = F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index")  # line numbers repeat in an order: of equal ones the table's first row wins
+    place = F.struct(F.col("l_linenumber").isNull(), "l_linenumber", "_metadata.file_path", "_metadata.row_index")  # nulls come last; line numbers repeat in an order: of equal ones the table's first row wins
     flows = R.table(spark, sf_dir, "lineitem").select(F.lit("a").alias("path"), name("l_orderkey"), place.alias("seq"), F.col("l_quantity").alias("branches"), F.lit(0).alias("loops"), F.lit(0).alias("max_nesting"))
     return J.params_with_flow(params, flows).select("o_orderkey", "branches")
 

@@ -45,3 +45,9 @@ def test_first_match_takes_the_first_row_of_equal_lines(spark, tmp_path):
         pq.write_table(pa.table({"l_orderkey": keys, "l_linenumber": pa.array([1] * len(keys), pa.int32()), "l_quantity": [n + i for i in range(len(keys))]}), tmp_path / "lineitem.parquet" / f"{name}.parquet")
     spark.range(400).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.o_orderkey: r.branches for r in catalog.j10_first_match(spark, str(tmp_path)).collect()} == {k: 1.0 + k for k in range(400)}
+
+
+def test_first_match_takes_rows_without_a_line_last(spark, tmp_path):
+    spark.createDataFrame([(1, None, 1.0), (1, 2, 2.0), (2, None, 3.0)], "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 4).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.o_orderkey: r.branches for r in catalog.j10_first_match(spark, str(tmp_path)).collect()} == {1: 2.0, 2: 3.0, 3: None}
