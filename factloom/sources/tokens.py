@@ -378,10 +378,11 @@ def combinators(called: DataFrame) -> DataFrame:
 
 
 def unvalidated_json(called: DataFrame) -> DataFrame:
-    """Calls that parse JSON in an owner without a call that decodes by a schema; one join by file and owner."""
-    parses = called.where((F.col("callee") == "JSON.parse") | F.col("callee").rlike(r"\.json$"))
-    decoded = called.where(F.col("callee").rlike(DECODES)).select(F.col("path").alias("_p"), F.col("owner").alias("_o")).distinct()
-    return parses.join(decoded, (F.col("path") == F.col("_p")) & F.col("owner").eqNullSafe(F.col("_o")), "left_anti")
+    """Calls that parse JSON in an owner without a call that decodes by a schema; one window by file and owner over these two sorts of calls, so that texts are cut once."""
+    parses = (F.col("callee") == "JSON.parse") | F.col("callee").rlike(r"\.json$")
+    t = called.withColumns({"_parses": parses, "_decodes": F.col("callee").rlike(DECODES)}).where("_parses OR _decodes")
+    t = t.withColumn("_decoded", F.max("_decodes").over(Window.partitionBy("path", "owner")))
+    return t.where("_parses AND NOT _decoded").drop("_parses", "_decodes", "_decoded")
 
 
 def numbered_signals(found: DataFrame) -> DataFrame:

@@ -198,3 +198,11 @@ def test_a_task_has_bounded_texts(spark):
     assert K.tokens(texts).select("path").rdd.getNumPartitions() <= 32 < K.dealt(texts, 40 * F.octet_length("content")).rdd.getNumPartitions() == 763
     nothing = texts.where("id < 0")
     assert K.dealt(nothing, F.octet_length("content")).rdd.getNumPartitions() == 32
+
+
+def test_parsed_json_is_held_beside_decoding_in_one_pass(spark, sf_dir):
+    plan = catalog.QUERIES["t_unvalidated_json"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan ") == plan.count("Generate ") == 1 and "Join" not in plan
+    text = "JSON.parse(a); function f() { JSON.parse(b); x.json(); } function g() { Schema.decode(S)(JSON.parse(c)); }"
+    called = K.calls(K.tokens(spark.createDataFrame([("p", text), ("q", "Schema.is(S); JSON.parse(a);")], "path string, content string")))
+    assert sorted((r.path, r.owner or "", r.callee) for r in K.unvalidated_json(called).collect()) == [("p", "", "JSON.parse"), ("p", "f", "JSON.parse"), ("p", "f", "x.json")]
