@@ -206,3 +206,35 @@ def test_parsed_json_is_held_beside_decoding_in_one_pass(spark, sf_dir):
     text = "JSON.parse(a); function f() { JSON.parse(b); x.json(); } function g() { Schema.decode(S)(JSON.parse(c)); }"
     called = K.calls(K.tokens(spark.createDataFrame([("p", text), ("q", "Schema.is(S); JSON.parse(a);")], "path string, content string")))
     assert sorted((r.path, r.owner or "", r.callee) for r in K.unvalidated_json(called).collect()) == [("p", "", "JSON.parse"), ("p", "f", "JSON.parse"), ("p", "f", "x.json")]
+
+
+def test_tokens_and_what_is_near_are_one_window(spark):
+    files = spark.createDataFrame([("p", "f();")], "path string, content string")
+    windows = lambda df: sum(line.lstrip(" :+-*(0123456789)").startswith("Window ") for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+    found = K.tokens(files)
+    assert windows(found) == 1 and windows(K.calls(found)) <= 4 and windows(K.imports(found)) <= 4
+
+
+def test_comments_and_type_arguments_lie_in_a_piece_with_their_token(spark):
+    text = "/* a\n */ // b\n f<A,\n B<C>>(x) /* c */ . y;\n<b>'tis so</b>; x = /[<]/g // end\n"
+    rows = K.tokens(spark.createDataFrame([("p", text), ("q", " // only\n")], "path string, content string")).orderBy("at").collect()
+    assert [(r.text, r.line) for r in rows] == [("f", 3), ("(", 4), ("x", 4), (")", 4), (".", 4), ("y", 4), (";", 4), ("<", 5), ("b", 5), (">", 5), ("'tis so", 5), (";", 5), ("x", 5), ("=", 5), ("/[<]/g", 5)]
+    assert rows[-1].next is None and [r.prev_line for r in rows[:3]] == [None, 3, 4]
+
+
+def test_signals_sort_by_depth_once(spark):
+    files = spark.createDataFrame([("p", "f();")], "path string, content string")
+    plan = K.signals(K.tokens(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 6 and plan.count("depth") and sum("Sort [" in x and "depth" in x for x in plan.splitlines()) == 1
+
+
+def test_a_return_behind_brackets_and_loops_inside_callbacks(spark):
+    text = """export const useA = (x) => {
+  if (x) return 1;
+  useB();
+  for (const y of x) { xs.map(async () => { while (y) { await g(); } }); }
+  return useQuery({ queryFn: function () { for (const z of x) { Effect.runPromise(z); } await k(); } });
+};
+"""
+    rows = K.signals(K.tokens(spark.createDataFrame([("p", text)], "path string, content string"))).collect()
+    assert sorted((r.family, r.callee, ",".join(r.kinds), r.line) for r in rows) == [("concurrency", "while", "await-in-loop", 4), ("hook-call", "useB", "after-return", 3), ("hook-call", "useQuery", "after-return", 5), ("runtime-call", "Effect.runPromise", "query-hook", 5)]
