@@ -238,3 +238,8 @@ def test_a_return_behind_brackets_and_loops_inside_callbacks(spark):
 """
     rows = K.signals(K.tokens(spark.createDataFrame([("p", text)], "path string, content string"))).collect()
     assert sorted((r.family, r.callee, ",".join(r.kinds), r.line) for r in rows) == [("concurrency", "while", "await-in-loop", 4), ("hook-call", "useB", "after-return", 3), ("hook-call", "useQuery", "after-return", 5), ("runtime-call", "Effect.runPromise", "query-hook", 5)]
+
+
+def test_texts_made_of_rows_are_made_once(spark, sf_dir):
+    plan = catalog.QUERIES["t_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("export async function f") == 1
